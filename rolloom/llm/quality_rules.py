@@ -8,8 +8,9 @@ smallest distances, estimate from these, and repeat), and a text goes where its
 Mahalanobis distance is beyond the cutoff.
 
 The statistics are transformed so that clean texts are near normal: the logarithm
-of the mean word length, and square roots of the shares of symbols, capitals,
-repeated lines and repeated words. They are kept as whole 256ths, so all sums are
+of the mean word length, square roots of the shares of symbols and capitals, and
+the shares of repeated lines and words as they are (clean texts repeat a line now
+and then, so small shares must not be stretched by a root). They are kept as whole 256ths, so all sums are
 exact, whatever the order in which tasks add them, and exact percentiles need a
 bounded number of distinct values. A small ridge keeps the scatter invertible
 where a statistic is constant.
@@ -74,7 +75,7 @@ def _vector() -> dict[str, Column]:
     share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
     x = {
         "length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))), "symbols": share("n_symbols", "word_chars"), "capitals": share("n_capitals", "word_chars"),
-        "lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"),
+        "lines": F.col("n_dup_lines") / (F.col("n_lines") + 4), "repeats": F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
     }
     return {k: F.round(v * SCALE).cast("long") for k, v in x.items()}
 
@@ -110,7 +111,7 @@ def _binned() -> Column:
     return F.round(F.least(F.sqrt("d2"), F.lit(1000.0)) * 32).cast("long")
 
 
-def evaluate(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float = 60.0, min_group: int = 100, **columns: str) -> DataFrame:
+def evaluate(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float = 25.0, min_group: int = 100, **columns: str) -> DataFrame:
     """The statistics of every row with distance (null where not judged) and kept."""
     prepare(docs.sparkSession)
     rows = materialize(statistics(docs, **columns).withColumns(_vector()))
