@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloom.llm import decontamination, language_id, packing, quality_rules, secrets, sharding, token_counts, warc
+from rolloom.llm import decontamination, jaccard, language_id, packing, quality_rules, secrets, sharding, token_counts, warc
 from rolloom.session import prepare, table
 
 
@@ -13,6 +13,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(prepare(spark), sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(table(prepare(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(prepare(spark), sf_dir, "documents")).drop("span_list")
 
@@ -41,7 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(prepare(spark), sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_secret_scans, op5_best_fit_packing, op6_language_id, op7_token_counts, op8_quality_rules, op9_decontamination, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_secret_scans, op5_best_fit_packing, op6_language_id, op7_token_counts, op8_quality_rules, op9_decontamination, op10_warc)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES = {
