@@ -283,7 +283,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, text_col: str)
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_frequent: int = MAX_FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class and row number (rid) of every row."""
+    """doc_id, n_shingles, component_id of every row, with its class, its component's label (null for empty sets) and its row number (rid)."""
     spark = prepare(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
     nodes = materialize(ids.mapInArrow(_nodes, "doc_id long, rid long, n long, class long"))
@@ -344,6 +344,6 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
 
     named = reps.join(labels, "class", "left").select("class", "first_id", F.coalesce("label", "class").alias("label"))
     first = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_class = materialize(named.join(first, "label").select("class", "component_id"))
-    linked = nodes.where("n > 0").join(by_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class", "rid")
-    return linked.unionByName(nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "class", "rid"))
+    by_class = materialize(named.join(first, "label").select("class", "component_id", "label"))
+    linked = nodes.where("n > 0").join(by_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class", "label", "rid")
+    return linked.unionByName(nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "class", F.lit(None).cast("long").alias("label"), "rid"))

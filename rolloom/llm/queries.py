@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloom.llm import decontamination, jaccard, language_id, packing, quality_rules, secrets, sharding, token_counts, warc
+from rolloom.llm import decontamination, jaccard, language_id, packing, quality_classifier, quality_rules, secrets, sharding, token_counts, warc
 from rolloom.session import prepare, table
 
 
@@ -21,6 +21,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(prepare(spark), sf_dir, "documents")).drop("span_list")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,7 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(prepare(spark), sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_secret_scans, op5_best_fit_packing, op6_language_id, op7_token_counts, op8_quality_rules, op9_decontamination, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_secret_scans, op4_quality_classifier, op5_best_fit_packing, op6_language_id, op7_token_counts, op8_quality_rules, op9_decontamination, op10_warc)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES = {
