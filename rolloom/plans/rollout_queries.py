@@ -124,8 +124,8 @@ def by_source(t: Tables) -> DataFrame:
     return rounded(groups.validation_by_source(t.rollouts, "dataset", "raw_reward"), "mean")
 
 
-@query("agg12_run_summary", """WITH {ROLLOUTS}, g AS (SELECT prompt_id, min_by(raw_reward, sample_id) one, bool_or(is_correct) some, count_if(is_correct) c, count(*) n, var_samp(final_reward) v FROM d GROUP BY 1)
-SELECT round(avg(one), 6) AS pass_1, round(avg(some::INT), 6) AS pass_k, round(avg((c = n)::INT), 6) AS all_correct, round(avg((c = 0)::INT), 6) AS all_wrong, round(avg(v), 6) AS mean_variance FROM g""")
+@query("agg12_run_summary", """WITH {ROLLOUTS}, g AS (SELECT prompt_id, min_by(raw_reward, sample_id) one, bool_or(is_correct) hit, count_if(is_correct) c, count(*) n, var_samp(final_reward) v FROM d GROUP BY 1)
+SELECT round(avg(one), 6) AS pass_1, round(avg(hit::INT), 6) AS pass_k, round(avg((c = n)::INT), 6) AS all_correct, round(avg((c = 0)::INT), 6) AS all_wrong, round(avg(v), 6) AS mean_variance FROM g""")
 def run_summary(t: Tables) -> DataFrame:
     g = t.unique.groupBy("prompt_id").agg(F.min_by("raw_reward", "sample_id").alias("first"), F.bool_or("is_correct").alias("any"), F.count_if("is_correct").alias("c"), F.count("*").alias("n"), F.var_samp("final_reward").alias("v"))
     share = lambda c: F.avg(c.cast("int"))
@@ -157,11 +157,15 @@ def dense(t: Tables) -> DataFrame:
     return advantages.dense_ids(t.lineitem.select("l_orderkey").distinct(), "l_orderkey").select("l_orderkey", F.col("dense_id").cast("long"))
 
 
-ADV = "WITH {ROLLOUTS} SELECT prompt_id, sample_id, round(%s, 5) + 0.0 AS advantage FROM d WINDOW w AS (PARTITION BY prompt_id)"
+ADV = "WITH {ROLLOUTS} SELECT prompt_id, sample_id, round(%s + 1.234e-6, 5) + 0.0 AS advantage FROM d WINDOW w AS (PARTITION BY prompt_id)"
+
+
+#: Added before rounding, here and in the SQL: rewards have few decimals, and ties would round by the last bit.
+NUDGE = 1.234e-6
 
 
 def advantage_rows(df: DataFrame) -> DataFrame:
-    return df.select("prompt_id", "sample_id", (F.round("advantage", 5) + 0.0).alias("advantage"))
+    return df.select("prompt_id", "sample_id", (F.round(F.col("advantage") + NUDGE, 5) + 0.0).alias("advantage"))
 
 
 @query("win3_group_advantage", ADV % "CASE WHEN count(*) OVER w = 1 THEN final_reward / (1 + 1e-6) ELSE (final_reward - avg(final_reward) OVER w) / (stddev_samp(final_reward) OVER w + 1e-6) END")
@@ -184,7 +188,7 @@ def opo(t: Tables) -> DataFrame:
     return advantage_rows(advantages.length_weighted(t.unique, "final_reward", "response_tokens", "prompt_id"))
 
 
-@query("win6_greedy_baseline", "WITH {ROLLOUTS}, x AS (SELECT *, max(CASE WHEN sample_id = 1 THEN final_reward END) OVER (PARTITION BY prompt_id) b FROM d) SELECT prompt_id, sample_id, round(final_reward - b, 5) + 0.0 AS advantage FROM x WHERE sample_id <> 1")
+@query("win6_greedy_baseline", "WITH {ROLLOUTS}, x AS (SELECT *, max(CASE WHEN sample_id = 1 THEN final_reward END) OVER (PARTITION BY prompt_id) b FROM d) SELECT prompt_id, sample_id, round(final_reward - b + 1.234e-6, 5) + 0.0 AS advantage FROM x WHERE sample_id <> 1")
 def remax(t: Tables) -> DataFrame:
     return advantage_rows(advantages.greedy_baseline(t.unique.withColumn("greedy", F.col("sample_id") == 1), "final_reward", "greedy", "prompt_id"))
 
