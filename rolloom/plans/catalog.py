@@ -1,6 +1,6 @@
 """All queries and their SQL."""
 
-from rolloom.plans import array_queries, rollout_queries  # noqa: F401
+from rolloom.plans import array_queries, rollout_queries, text_queries  # noqa: F401
 from rolloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolloom.functions import text
 from rolloom.operators import advantages, balance, groups, relations, validation
-from rolloom.plans.registry import ORDER, Tables, query
+from rolloom.plans.registry import ORACLES, ORDER, Tables, query
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -66,7 +66,7 @@ def canonical(t: Tables) -> DataFrame:
 @query("agg4_tags", """WITH {ROLLOUTS}, g AS (SELECT prompt_id, count(*) n, count_if(is_correct) c, count_if(extraction_ok) e, count_if(hit_max) h FROM d GROUP BY 1)
 SELECT prompt_id, array_to_string(list_filter([CASE WHEN c = 0 THEN 'all_wrong' END, CASE WHEN c = n THEN 'all_correct' END, CASE WHEN c = 0 OR c = n THEN 'zero_variance' END, CASE WHEN h > 0 THEN 'truncated' END,
   CASE WHEN e < n THEN 'extraction_failure' END], lambda x: x IS NOT NULL), ';') AS tags FROM g""")
-@query("src10_group_csv_tags", None)
+@query("src10_group_csv_tags")
 def tags(t: Tables) -> DataFrame:
     return groups.group_metrics(t.unique, ["prompt_id"]).select("prompt_id", F.concat_ws(";", "tags").alias("tags"))
 
@@ -270,7 +270,7 @@ def rescored(t: Tables) -> DataFrame:
 
 @query("jon3_rescored_groups", """WITH {ROLLOUTS}, g AS (SELECT prompt_id, count_if(is_correct) c, count_if(format_ok) f, count(*) n FROM d GROUP BY 1), o AS (SELECT CASE WHEN f = 0 THEN 'all_wrong' WHEN f = n THEN 'all_correct' ELSE 'mixed' END AS before,
   CASE WHEN c = 0 THEN 'all_wrong' WHEN c = n THEN 'all_correct' ELSE 'mixed' END AS after FROM g) SELECT before, after, count(*) AS n FROM o GROUP BY ALL""")
-@query("pip3_rescore", None)
+@query("pip3_rescore")
 def rescored_groups(t: Tables) -> DataFrame:
     after = groups.group_metrics(t.unique, ["prompt_id"]).select("prompt_id", "outcome")
     before = groups.group_metrics(t.unique.withColumn("is_correct", F.col("format_ok")), ["prompt_id"]).select("prompt_id", "outcome")
@@ -555,3 +555,7 @@ def upserted(t: Tables) -> DataFrame:
 @query("flt12_leakage", "WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k FROM documents) SELECT doc_id FROM n WHERE doc_id % 2 = 0 AND k IN (SELECT k FROM n WHERE doc_id % 2 = 1)")
 def leakage(t: Tables) -> DataFrame:
     return relations.leaked(t.documents.where("doc_id % 2 = 0"), t.documents.where("doc_id % 2 = 1"), "text").select("doc_id")
+
+
+for _name, _same in (("src10_group_csv_tags", "agg4_tags"), ("pip3_rescore", "jon3_rescored_groups")):
+    ORACLES[_name] = ORACLES[_same]
