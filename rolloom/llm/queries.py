@@ -53,6 +53,21 @@ QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_sec
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES = {
+    "op9_decontamination": """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), g AS (
+  SELECT item_id, least(len(w), 13) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda k: array_to_string(w[k:k + least(len(w), 13) - 1], ' '))) AS gram FROM b WHERE len(w) > 0
+), items AS (SELECT DISTINCT item_id, n, gram FROM g), sizes AS (SELECT DISTINCT n FROM items), p AS (
+  SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: {'k': k, 'gram': array_to_string(w[k:k + n - 1], ' ')})) AS x FROM d, sizes WHERE len(w) >= n
+), hits AS (SELECT p.doc_id, p.x.k AS k, p.n, item_id FROM p JOIN items ON items.n = p.n AND items.gram = p.x.gram), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM hits) GROUP BY 1
+), named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op10_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS sha FROM pages
