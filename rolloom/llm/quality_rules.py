@@ -111,7 +111,7 @@ def _binned() -> Column:
     return F.round(F.least(F.sqrt("d2"), F.lit(1000.0)) * 32).cast("long")
 
 
-def evaluate(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float = 25.0, min_group: int = 100, **columns: str) -> DataFrame:
+def evaluate(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float = 30.0, min_group: int = 100, **columns: str) -> DataFrame:
     """The statistics of every row with distance (null where not judged) and kept."""
     prepare(docs.sparkSession)
     rows = materialize(statistics(docs, **columns).withColumns(_vector()))
