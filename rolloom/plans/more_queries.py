@@ -240,3 +240,46 @@ def summary(t: Tables) -> DataFrame:
 def sorted_groups(t: Tables) -> DataFrame:
     g = groups.group_metrics(t.unique, ["prompt_id"]).select("prompt_id")
     return relations.numbered(g, ["prompt_id"], "place").orderBy("prompt_id").limit(100).select("prompt_id", (F.col("place") + 1).alias("place"))
+
+
+@query("src25_collected_responses", "SELECT l_orderkey, array_to_string(list(l_quantity::BIGINT::VARCHAR ORDER BY l_linenumber, l_partkey, l_suppkey), ',') AS responses FROM lineitem GROUP BY 1")
+def collected(t: Tables) -> DataFrame:
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").cast("string").alias("q"))))
+    return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(rows, lambda x: x["q"]), ",").alias("responses"))
+
+
+@query("prj10_lists", "SELECT vec_id, len(embedding)::INT AS n, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings")
+def lists(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", F.size("embedding").alias("n"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
+@query("src6_dataset_rows", "SELECT doc_id, 'docs-train-' || lpad(doc_id::VARCHAR, 6, '0') AS prompt_id, (doc_id % 9)::VARCHAR AS gold FROM documents")
+@query("src7_dataset_union", "SELECT doc_id, 'docs-train-' || lpad(doc_id::VARCHAR, 6, '0') AS prompt_id, (doc_id % 9)::VARCHAR AS gold FROM documents")
+def dataset_rows(t: Tables) -> DataFrame:
+    answer = F.concat(F.col("lang"), F.lit("\n#### "), (F.col("doc_id") % 9).cast("string"))
+    parts = [t.documents.where((F.col("doc_id") % 2) == k) for k in (0, 1)]
+    both = parts[0].unionByName(parts[1])
+    return both.select("doc_id", F.format_string("docs-%s-%06d", F.lit("train"), "doc_id").alias("prompt_id"), text.hash_answer(answer).alias("gold"))
+
+
+@query("str3_staleness_budget", "SELECT user_id % 4 AS worker, count(*) AS made, count(*) >= 100 AS paused FROM events GROUP BY 1")
+def staleness_budget(t: Tables) -> DataFrame:
+    from rolloom.streaming.streams import StalenessBudget
+
+    limit = StalenessBudget(50, 1.0, 1).limit
+    g = t.events.groupBy((F.col("user_id") % 4).alias("worker")).agg(F.count("*").alias("made"))
+    return g.withColumn("paused", F.col("made") >= limit)
+
+
+@query("str2_ready", "WITH s AS (SELECT user_id, max_by(event_type, event_id) AS status FROM events GROUP BY 1) SELECT count_if(status = 'click')::BIGINT AS finished, count_if(status = 'click') >= 3 AS ready FROM s")
+def ready(t: Tables) -> DataFrame:
+    from rolloom.streaming.streams import enough
+
+    s = relations.latest_status(t.events, ["user_id"], "event_type", "event_id")
+    return enough(s.withColumn("status", F.when(F.col("status") == "click", "finished").otherwise("running")), 3).select("finished", "ready")
+
+
+@query("dis1_two_level_sum", "SELECT l_orderkey, round(sum(l_discount), 4) AS total FROM lineitem GROUP BY 1")
+def two_level(t: Tables) -> DataFrame:
+    part = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_discount").alias("s"))
+    return part.groupBy("l_orderkey").agg(F.round(F.sum("s"), 4).alias("total"))
