@@ -15,17 +15,22 @@ the bound are decided by binary probes of one class's shingles in the sorted
 shingles of the other. Long lists are never built.
 
 Frequent shingles (a passage in every third text) would make long merges. They
-are counted first, over each text's first shingles in hash order; the most
-frequent ones, at most ``max_frequent``, go to the end of the order. Any set of
-them gives exact results, since the order is the same for all texts.
-
-Large groups of near copies share most lists, and all pairs of such a group would
-be too many. So one pivot round goes first: in each list every class meets the
-list's most central class only (the one with the largest share of shared
-shingles). What links is joined into components, and the second round merges the
-lists again for classes of different components only. Pairs within a component
-need no decision, so no link between components is lost, and dense groups cost
-about as many comparisons as they have members.
+are counted first, over each text's first shingles in hash order and, where some of
+these are frequent, over those that would take their place; the most frequent
+ones, at most ``max_frequent`` of either count, go to the end of the order. Any set of
+them gives exact results, since the order is the same for all texts. Short lists
+of other shingles stay short, and their pairs are counted in one shuffle.
+
+Two classes that meet in no short list of a rare shingle can link only if both
+have frequent shingles among their first p, that is, consist of frequent
+shingles by four fifths: members of large groups of near copies. These classes
+are gathered by the frequent shingles that they share and compared inside tasks
+of bounded size: a group is cut into chunks by its number of shingles, and each
+pair of chunks is one task's work, so a hot group spreads over the cluster. A
+task builds its own lists and runs DivideSkip in them: short lists are merged by
+counting, candidates with at least T - L occurrences are probed in the L long
+lists, and candidates already known to be in the query's component are skipped.
+A task returns at most one link per class, never all pairs of a group.
 
 Defined results: null and empty texts and texts of white space have an empty set and
 are linked with nothing; shorter texts are one shingle; texts that occur again
@@ -50,7 +55,11 @@ from rolloom.session import materialize, prepare
 SHINGLE = 5
 #: A shingle that more short lists than this hold, in hash order, counts as frequent.
 FREQUENT = 8
-MAX_FREQUENT = 400_000
+MAX_FREQUENT = 2_000_000
+#: For each frequent shingle among a set's first ones, so many of the next are counted too, since they would take its place.
+REACH = 4
+#: Shingles of a chunk of a group of near copies; a task compares two chunks.
+CHUNK = 1_000_000
 #: Classes up to which their row numbers are broadcast to fetch texts; beyond, a shuffled join does it.
 MAX_BROADCAST = 2_000_000
 
@@ -151,6 +160,13 @@ def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([_signed(h), pa.array(n.astype(np.int64))], names=["h", "n"])
 
 
+def _among(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which members of s are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(s), bool)
+    return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of n over runs of equal h; those above the limit. Rows come sorted by h."""
     last, held = None, 0
@@ -171,27 +187,6 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([held], pa.int64())], names=["h", "n"])
 
 
-def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lists that hold two classes or more, each once. Rows come sorted by h and class."""
-    rest = None
-    for b in _with_end(batches):
-        if b is not None:
-            part = np.stack([b.column(i).to_numpy() for i in range(3)])
-            rest = part if rest is None else np.concatenate([rest, part], axis=1)
-            # All but the last list are complete;
-            cut = int(np.searchsorted(rest[0], rest[0, -1]))
-        else:
-            cut = 0 if rest is None else rest.shape[1]
-        if rest is None or not cut:
-            continue
-        rows, rest = rest[:, :cut], rest[:, cut:]
-        rows = rows[:, np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]]
-        same = rows[0, 1:] == rows[0, :-1]
-        keep = np.r_[same, False] | np.r_[False, same]
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(rows[i, keep]) for i in range(3)], names=["h", "class", "n"])
-
-
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     for b in batches:
         if b.num_rows:
@@ -200,11 +195,11 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of different components in each list, with sizes that can link. Rows come sorted by h."""
+    """Pairs of classes in each list, with sizes that can link. Rows come sorted by h."""
     rest = None
     for b in _with_end(batches):
         if b is not None:
-            part = np.stack([b.column(i).to_numpy() for i in range(4)])
+            part = np.stack([b.column(i).to_numpy() for i in range(3)])
             rest = part if rest is None else np.concatenate([rest, part], axis=1)
             cut = int(np.searchsorted(rest[0], rest[0, -1]))
         else:
@@ -212,16 +207,17 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rest is None or not cut:
             continue
         rows, rest = rest[:, :cut], rest[:, cut:]
-        starts = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
-        for at, end in zip(starts, np.r_[starts[1:], rows.shape[1]], strict=True):
-            c, n, comp = rows[1, at:end], rows[2, at:end], rows[3, at:end]
-            if (comp == comp[0]).all():
-                continue
-            for i in range(len(c) - 1):
-                j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-                j = j[(5 * n[j] >= 4 * n[i]) & (4 * n[j] <= 5 * n[i])]
-                if len(j):
-                    yield _pair_batch(np.full(len(j), c[i]), c[j], np.full(len(j), n[i]), n[j])
+        rows = rows[:, np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]]
+        shift = 1
+        while shift < rows.shape[1]:  # members of a list that are ``shift`` places apart
+            i = np.flatnonzero(rows[0, shift:] == rows[0, :-shift])
+            if not len(i):
+                break
+            m, n = rows[2, i], rows[2, i + shift]
+            i = i[(5 * n >= 4 * m) & (4 * n <= 5 * m)]
+            if len(i):
+                yield _pair_batch(rows[1, i], rows[1, i + shift], rows[2, i], rows[2, i + shift])
+            shift += 1
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -246,6 +242,91 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
+class _Roots:
+    """Union-find over places 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def of(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.of(i), self.of(j)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def divide_skip(sets: list[np.ndarray], sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (places of sets) that join all linked sets into their components.
+
+    sides: where given, only sets of different sides are compared.
+    """
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sizes = np.array([len(sets[i]) for i in order])
+    side = np.array([sides[i] for i in order]) if sides else None
+    names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    owner = np.repeat(np.arange(len(order)), sizes)
+    by = np.argsort(flat, kind="stable")
+    postings, starts = owner[by], np.r_[0, np.cumsum(np.bincount(flat, minlength=len(names)))]
+    ends, roots, out = np.cumsum(sizes), _Roots(len(order)), []
+    for q in range(1, len(order)):
+        low = int(np.searchsorted(sizes[:q], _ceil(int(sizes[q]))))
+        if low == q:
+            continue
+        t = flat[ends[q] - sizes[q] : ends[q]]
+        lists = [postings[starts[x] : starts[x + 1]] for x in t]
+        lists = [x[np.searchsorted(x, low) : np.searchsorted(x, q)] for x in lists]
+        lists = sorted((x for x in lists if len(x)), key=len)
+        least = _ceil(int(sizes[q]))  # shared shingles at the fewest, for the smallest partner
+        if len(lists) < least:
+            continue
+        middle = len(lists[len(lists) // 2])
+        n_long = min(least - 1, sum(len(x) > 4 * middle for x in lists))
+        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        counts = np.bincount(np.concatenate(short) - low, minlength=q - low)
+        found = np.flatnonzero(counts >= least - n_long)
+        if side is not None:
+            found = found[side[found + low] != side[q]]
+        own = roots.of(q)
+        found = np.array([j for j in found if roots.of(int(j) + low) != own], dtype=np.int64)
+        both = counts[found]
+        for x in long:
+            at = np.minimum(np.searchsorted(x, found + low), len(x) - 1)
+            both = both + (x[at] == found + low)
+        for j in found[100 * both >= 80 * (sizes[q] + sizes[found + low] - both)] + low:
+            if roots.join(q, int(j)):
+                out.append((order[q], order[int(j)]))
+    return out
+
+
+def _block(pdf):
+    """Links of one task: all pairs of a chunk, or pairs across two chunks."""
+    import pandas as pd
+
+    sides = pdf["side"].tolist()
+    links = divide_skip([np.frombuffer(x, np.uint64) for x in pdf["set"]], sides if len(set(sides)) > 1 else None) if len(pdf) > 1 else []
+    names = pdf["class"].to_numpy()
+    return pd.DataFrame({"a": [names[i] for i, _ in links], "b": [names[j] for _, j in links]}, dtype="int64")
+
+
+def near_copies(heavy: DataFrame, chunk: int) -> DataFrame:
+    """Links (a, b) among classes (class, n, tokens, set) that share a token."""
+    rows = heavy.select("class", F.explode("tokens").alias("token"))
+    first = rows.groupBy("token").agg(F.min("class").alias("first"), F.count("*").alias("c")).where("c > 1").select("token", "first")
+    edges = rows.join(first, "token").where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
+    labels = components(edges)
+    named = heavy.join(labels, "class").select("label", "class", "n", "set")
+    chunks = named.groupBy("label").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
+    named = named.join(chunks, "label").withColumn("side", F.pmod(F.hash("class"), F.col("chunks")))
+    tasks = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tasks = tasks.select("label", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "class", "side", "set")
+    return materialize(tasks.groupBy("label", "x", "y").applyInPandas(_block, "a long, b long"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """class, label over the classes in ``links`` (a, b): the smallest class of each component.
 
@@ -282,64 +363,68 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, text_col: str)
     return materialize(rows.select("a", "b", "ta", "tb").mapInArrow(_decided, "a long, b long"))
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_frequent: int = MAX_FREQUENT) -> DataFrame:
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_frequent: int = MAX_FREQUENT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, with its class, its component's label (null for empty sets) and its row number (rid)."""
     spark = prepare(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
     nodes = materialize(ids.mapInArrow(_nodes, "doc_id long, rid long, n long, class long"))
     texts = docs.select(F.col(text_col).alias("text"))
 
-    counts = texts.mapInArrow(_prefix_counts, "h long, n long").repartition("h").sortWithinPartitions("h").mapInArrow(_frequent, "h long, n long")
-    frequent = np.sort(np.array([r.h for r in counts.orderBy(F.desc("n"), "h").limit(max_frequent).collect()], dtype=np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(frequent)
-    del counts
+    def counted(rows: DataFrame) -> np.ndarray:
+        found = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_frequent, "h long, n long")
+        top = found.orderBy(F.desc("n"), "h").limit(max_frequent).select("h").toArrow()
+        return np.sort(top.column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+    first = spark.sparkContext.broadcast(counted(texts.mapInArrow(_prefix_counts, "h long, n long")))
     _release(spark)
 
-    def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = shared.value
+    def next_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _sets(batches):
-            hs, cs = [], []
-            for c, s in sets:
+            found = []
+            for _, s in sets:
                 p = len(s) - _ceil(len(s)) + 1
-                if len(late):
-                    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                    common = late[at] == s
-                    rare = s[~common][:p]
-                    s = np.concatenate([rare, s[common][: p - len(rare)]]) if len(rare) < p else rare
-                else:
-                    s = s[:p]
-                hs.append(s)
-                cs.append(np.full(len(s), c, np.int64))
-            ns = [len(s) for _, s in sets]
-            if hs:
-                lengths = [len(x) for x in hs]
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(hs)), pa.array(np.concatenate(cs)), pa.array(np.repeat(np.array(ns, np.int64), lengths))], names=["h", "class", "n"])
-
-    lists = texts.mapInArrow(short_lists, "h long, class long, n long").repartition("h").sortWithinPartitions("h", "class")
-    lists = materialize(lists.mapInArrow(_shared_lists, "h long, class long, n long"))
+                if f := int(_among(s[:p], first.value).sum()):
+                    found.append(s[p : p + REACH * f])
+            if found:
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    late = counted(texts.mapInArrow(next_counts, "h long, n long")) if len(first.value) else first.value
+    shared = spark.sparkContext.broadcast(np.union1d(first.value, late))
     _release(spark)
-    reps = nodes.where("n > 0").groupBy("class").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id"))
 
-    # The pivot round.
-    central = lists.groupBy("class").agg((F.count("*") / F.first("n")).alias("share"))
-    pivot = lists.join(central, "class").groupBy("h").agg(F.max(F.struct("share", -F.col("n"), "class", "n")).alias("p")).select("h", F.col("p.class").alias("pivot"), F.col("p.n").alias("np"))
+    def split(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A set's rare and frequent shingles among its first ones."""
+        common, p = _among(s, shared.value), len(s) - _ceil(len(s)) + 1
+        rare = s[~common][:p]
+        return rare, s[common][: p - len(rare)]
+
+    def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets in _sets(batches):
+            rare = [split(s)[0] for _, s in sets]
+            if rare:
+                lengths = [len(x) for x in rare]
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(np.concatenate(rare)), pa.array(np.repeat(np.array([c for c, _ in sets], np.int64), lengths)), pa.array(np.repeat(np.array([len(s) for _, s in sets], np.int64), lengths))], names=["h", "class", "n"])
+
+    def frequent_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets in _sets(batches):
+            found = [(c, s, t) for c, s in sets if len(t := split(s)[1])]
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c for c, _, _ in found], pa.int64()), pa.array([len(s) for _, s, _ in found], pa.int64()), pa.array([t.view(np.int64) for _, _, t in found], pa.list_(pa.int64())), pa.array([s.tobytes() for _, s, _ in found], pa.binary())],
+                    names=["class", "n", "tokens", "set"])
+
+    pairs = texts.mapInArrow(short_lists, "h long, class long, n long").repartition("h").sortWithinPartitions("h", "class").mapInArrow(_pairs, "a long, b long, na long, nb long")
     need = F.greatest(F.lit(1), F.ceil(4 * (F.col("na") + F.col("nb")) / 9) - F.greatest(F.ceil(4 * F.col("na") / 5), F.ceil(4 * F.col("nb") / 5)) + 1)
-    lo = F.col("class") < F.col("pivot")
-    met = lists.join(pivot, "h").where("class <> pivot AND 5 * np >= 4 * n AND 4 * np <= 5 * n").select(
-        F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"), F.when(lo, F.col("n")).otherwise(F.col("np")).alias("na"), F.when(lo, F.col("np")).otherwise(F.col("n")).alias("nb"))
-    enough = lambda rows: rows.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= need)
-    tried = materialize(enough(met))
-    links = _verified(docs, reps, tried, text_col)
-    labels = components(links)
+    pairs = materialize(pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("a", "b"))
     _release(spark)
+    reps = nodes.where("n > 0").groupBy("class").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id"))
+    links = _verified(docs, reps, pairs, text_col)
 
-    # All others: lists are merged for classes of different components.
-    named = lists.join(labels, "class", "left").select("h", "class", "n", F.coalesce("label", "class").alias("label"))
-    rest = named.repartition("h").sortWithinPartitions("h", "class").mapInArrow(_pairs, "a long, b long, na long, nb long")
-    rest = materialize(enough(rest).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _verified(docs, reps, rest, text_col)
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    heavy = texts.mapInArrow(frequent_sets, "class long, n long, tokens array<long>, set binary")
+    heavy = materialize(heavy.groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("set").alias("set")))
+    labels = components(links.unionByName(near_copies(heavy, chunk)))
     _release(spark)
 
     named = reps.join(labels, "class", "left").select("class", "first_id", F.coalesce("label", "class").alias("label"))

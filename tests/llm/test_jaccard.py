@@ -41,11 +41,11 @@ def check(docs, got):
 
 
 def test_against_all_pairs(spark):
-    for seed, most in ((1, jaccard.MAX_FREQUENT), (2, 0)):
+    for seed, most, chunk in ((1, jaccard.MAX_FREQUENT, jaccard.CHUNK), (2, 0, 1), (3, jaccard.MAX_FREQUENT, 1500)):
         docs = list(enumerate(rows(300, seed)))
         random.Random(seed).shuffle(docs)
         df = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, class string").repartition(3)
-        check(docs, jaccard.cluster(spark.createDataFrame(df.collect(), df.schema), max_frequent=most).collect())
+        check(docs, jaccard.cluster(spark.createDataFrame(df.collect(), df.schema), max_frequent=most, chunk=chunk).collect())
 
 
 def test_real_texts(spark):
@@ -67,3 +67,20 @@ def test_bound_never_drops_a_link():
             continue
         short = [set(sorted(s)[: len(s) - jaccard._ceil(len(s)) + 1]) for s in (a, b)]
         assert len(short[0] & short[1]) >= jaccard.needed(np.array(len(a)), np.array(len(b)))
+
+
+def test_divide_skip_finds_all_components():
+    rng = random.Random(6)
+    base = list(range(100))
+    for sides in (None, [i % 2 for i in range(120)]):
+        sets = [sorted(set(x for x in base if rng.random() > rng.choice([0.02, 0.12, 0.3])) | set(rng.sample(range(100, 140), rng.randrange(8)))) for _ in range(120)]
+        roots = jaccard._Roots(120)
+        for i, j in jaccard.divide_skip([np.array(s, np.uint64) for s in sets], sides):
+            roots.join(i, j)
+        want = jaccard._Roots(120)
+        for i in range(120):
+            for j in range(i):
+                a, b = set(sets[i]), set(sets[j])
+                if (not sides or sides[i] != sides[j]) and 100 * len(a & b) >= 80 * len(a | b):
+                    want.join(i, j)
+        assert [roots.of(i) for i in range(120)] == [want.of(i) for i in range(120)]
