@@ -60,6 +60,21 @@ def test_random_tokens(spark):
     assert all(out[i] == "" for i in range(40, 46))
 
 
+def test_random_tokens_of_each_encoding(spark):
+    rng = random.Random(3)
+    encodings = {"base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24), "base36": ("abcdefghijklmnopqrstuvwxyz0123456789", 24), "hex": ("0123456789ABCDEF", 28)}
+    keys = [(name, "".join(rng.choice(letters) for _ in range(n))) for name, (letters, n) in encodings.items() for _ in range(80)]
+    plain = ["informationsgesellschaft", "vierundzwanzigstesmal", "contemporaneousness", "sectionheadingnumber"]
+    plain = [("text", x + str(y)) for x in plain for y in range(2000, 2010)] + [("text", x.upper() + str(y)) for x in plain for y in range(22, 28)]
+    df = spark.createDataFrame([(i, f"see {k} here") for i, (_, k) in enumerate(keys + plain)], "doc_id long, text string")
+    found = {name: 0 for name in [*encodings, "text"]}
+    for r in secrets.scan(df).collect():
+        found[(keys + plain)[r.doc_id][0]] += "random:" in r.spans
+    tokens = {name: [k for e, k in keys if e == name and any(c.isdigit() for c in k) and any(c.isalpha() for c in k)] for name in encodings}
+    assert all(found[name] >= 0.8 * len(tokens[name]) for name in encodings), found
+    assert found["text"] == 0, found
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a secret=abcdefghijklmnop b AKIA" + "Z" * 16), (2, "none"), (3, "token=" + "0123456789abcdef" * 2 + "é")], "doc_id long, text string")
     out = df.join(secrets.scan(df), "doc_id").select("doc_id", secrets.redacted(F.col("text"), F.col("span_list")).alias("t")).collect()
