@@ -186,6 +186,14 @@ def micro(t: Tables) -> DataFrame:
     return rows.groupBy("status").applyInPandas(one, "status string, n long, fits boolean")
 
 
+@query("bal5_all_micro_batches", "WITH x AS (SELECT l_quantity::BIGINT AS q, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) - 1) // 256 AS step FROM lineitem) SELECT step, count(*) AS n, sum(q)::BIGINT AS tokens, true AS fits FROM x GROUP BY 1")
+def all_micro(t: Tables) -> DataFrame:
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"]
+    rows = relations.numbered(t.lineitem.select(*order), order).select(F.floor(F.col("rn") / 256).alias("step"), "rn", F.col("l_quantity").cast("long").alias("length"))
+    micro = balance.micro_batched(rows, "step", "rn", "length", 400).groupBy("step", "micro").agg(F.count("*").alias("k"), F.sum("length").alias("s"))
+    return micro.groupBy("step").agg(F.sum("k").alias("n"), F.sum("s").alias("tokens"), (F.max("s") <= 400).alias("fits"))
+
+
 @query("bal13_dense_flops", "SELECT l_linestatus AS status, round((6 * 7e9 * sum(l_quantity) + 12.0 * 28 * 3584 * sum(l_quantity) * avg(l_quantity)) / 1e15, 4) AS petaflops FROM lineitem GROUP BY 1")
 def flops(t: Tables) -> DataFrame:
     g = t.lineitem.groupBy(F.col("l_linestatus").alias("status")).agg(F.sum("l_quantity").alias("s"), F.avg("l_quantity").alias("m"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rolloom.functions import answers
 from rolloom.operators import balance, relations
 from rolloom.operators.tokens import AdaptiveKL
+from rolloom.plans.catalog import QUERIES
 from rolloom.sources import files
 from rolloom.streaming import streams
 
@@ -127,6 +128,19 @@ def test_balance():
         balance.checked([[0], []], 1)
 
 
+def test_micro_batches_of_all_rows(spark, small):
+    rows = [(step, row, 1 + (7 * row + step) % 50) for step in range(3) for row in range(40)]
+    out = balance.micro_batched(spark.createDataFrame(rows, "step long, row long, length long"), "step", "row", "length", 120).collect()
+    assert sorted((r.step, r.row, r.length) for r in out) == rows
+    sums = {}
+    for r in out:
+        sums[r.step, r.micro] = sums.get((r.step, r.micro), 0) + r.length
+    assert max(sums.values()) <= 120
+    total = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    got = QUERIES["bal5_all_micro_batches"](spark, small).collect()
+    assert sum(r.n for r in got) == total and max(r.n for r in got) <= 256
+
+
 def test_comparison_refuses_drift(spark):
     a = spark.createDataFrame([(1, "x", 1.0)], "k int, truth string, v double")
     with pytest.raises(Exception, match="ground truths differ"):
