@@ -6,6 +6,7 @@ tolerant comparer. Model text is parsed, never evaluated.
 
 from __future__ import annotations
 
+import math
 import re
 from fractions import Fraction
 
@@ -112,6 +113,90 @@ def verify(response: str | None, truth: str | None, percent: str = "fraction") -
     return got | {"correct": error is None, "error": error}
 
 
+def verify_mode(response: str | None, truth: str | None, mode: str = "evaluation") -> dict:
+    """As verify(), by the last box that holds a number. Training takes boxes only; evaluation falls back to free text
+    (explicit lines, then the last number) where no box holds anything."""
+    if mode not in ("evaluation", "training"):
+        raise ValueError("mode must be evaluation or training")
+    response = response or ""
+    boxes = boxed_contents(response)
+    got = next(({"status": "boxed", "answer": c.strip(), "value": str(v)} for c in reversed(boxes) if (v := parse_number(c)) is not None), None)
+    if got is None and mode == "evaluation" and not any(c.strip() for c in boxes):
+        found = LOOSE.findall(response) + [m[1] or m[2] for m in EXPLICIT.finditer(response)]
+        got = next(({"status": "explicit_final", "answer": c.strip(), "value": str(v)} for c in reversed(found) if (v := parse_number(c)) is not None), None)
+    if got is None:
+        broken = any(c.strip() for c in boxes) if mode == "evaluation" else bool(boxes)
+        got = {"status": "parse_error" if broken else "missing", "answer": None, "value": None}
+    gold, kind = parse_number(truth), "boxed_" if mode == "training" else ""
+    error = (
+        "invalid_ground_truth" if gold is None else
+        {"missing": f"missing_{kind}answer", "parse_error": f"{kind}answer_parse_error"}.get(got["status"]) or (None if got["value"] == str(gold) else "wrong_answer"))
+    return got | {"correct": error is None, "error": error}
+
+
+def mathd_form(x: str | None) -> str | None:
+    """The mathd normal form: unlike tidy_latex it keeps "$", "%" and text other than units, and fractions stay where they cannot be read."""
+    if x is None:
+        return None
+    x = x.strip()
+    if m := re.search(r"^\\text\{(.+?)\}$", x):
+        x = m[1].strip()
+    whole = x
+    x = x.replace("\n", "").replace("\\!", "").replace("\\\\", "\\").replace("tfrac", "frac").replace("dfrac", "frac")
+    for drop in ("\\left", "\\right", "^{\\circ}", "^\\circ", "\\$"):
+        x = x.replace(drop, "")
+    head, *units = x.split("\\text{ ")
+    if len(units) > 1:
+        return whole
+    x = (head if units else x).replace("\\\\%", "").replace("\\%", "").replace(" .", " 0.").replace("{.", "{0.")
+    if not x:
+        return x
+    x = "0" + x if x[0] == "." else x
+    if x.count("=") == 1 and len(x.split("=")[0]) <= 2:
+        x = x.split("=")[1]
+    head, *roots = x.split("\\sqrt")
+    if "" in roots:
+        return whole
+    x = (head + "".join("\\sqrt" + (r if r[0] == "{" else "{" + r[0] + "}" + r[1:]) for r in roots)).replace(" ", "")
+    head, *fractions = x.split("\\frac")
+    if "" in fractions and all(len(f) > 1 or f == "" or f[0] == "{" for f in fractions[: fractions.index("")]):
+        return whole
+    if all(f and (f[0] == "{" or len(f) >= 2) for f in fractions):
+        x = head + "".join("\\frac" + (f if f[0] == "{" else "{" + f[0] + "}" + (f[1:] if f[1] == "{" else "{" + f[1] + "}" + f[2:])) for f in fractions)
+    if x == "0.5":
+        return "\\frac{1}{2}"
+    if (m := re.fullmatch(r"(-?\d+)/(-?\d+)", x)) and x == f"{int(m[1])}/{int(m[2])}":
+        return f"\\frac{{{m[1]}}}{{{m[2]}}}"
+    return x
+
+
+def _with_pi(x: str, pi: str) -> float | None:
+    """Value of an expression with pi put in; null where it is not arithmetic."""
+    from rolloom.functions.normalize import safe_arithmetic
+
+    x = re.sub(r"\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}", r"((\1)/(\2))", x.replace("$", "").replace("\\left", "").replace("\\right", "").replace("\\cdot", "*").replace("\\times", "*"))
+    x = re.sub(r"\\pi(?![A-Za-z])", pi, re.sub(r"(?<=[\d)])\s*\\pi(?![A-Za-z])", r"*\\pi", x))
+    return safe_arithmetic(x.replace("{", "(").replace("}", ")").replace(",", ""))
+
+
+def prime_score(response: str | None, truth: str | None) -> dict:
+    """correct, format and pred. An answer that is equal as it stands counts as well formed; an answer or truth with pi is retried with pi and with 3.14."""
+    from rolloom.functions.normalize import marked_answer
+
+    response, truth = response or "", truth or ""
+    pred = marked_answer(response)[1]
+    # Two different fractions are not the same as they stand, though their values may be.
+    as_ratio = [x for x in map(tidy_latex, (pred, truth)) if LATEX_RATIO.match(x)]
+    if mathd_form(pred) == mathd_form(truth) or (equal(pred, truth, tolerance=0, percents=False) == "equal" and (len(as_ratio) < 2 or as_ratio[0] == as_ratio[1])):
+        return {"correct": True, "format": True, "pred": pred}
+    if "\\pi" in pred + truth:
+        pairs = [(_with_pi(pred, pi), _with_pi(truth, pi)) for pi in (repr(math.pi), "3.14")]
+        right = any(p is not None and q is not None and any(math.isclose(p, q * f, rel_tol=1e-4) for f in (0.01, 1, 100)) for p, q in pairs)
+    else:
+        right = equal(pred, truth) == "equal"
+    return {"correct": right, "format": "Step 2:" in response and "\\box" in response, "pred": pred}
+
+
 def tidy_latex(x: str) -> str:
     """One spelling for common variants of short LaTeX answers."""
     x = x.replace("\n", "").replace("\\!", "").replace("\\\\", "\\").replace("tfrac", "frac").replace("dfrac", "frac")
@@ -197,6 +282,26 @@ def verify_column(response: Column, truth: Column, percent: str = "fraction") ->
     return run(response, truth)
 
 
+def verify_mode_column(response: Column, truth: Column, mode: str = "evaluation") -> Column:
+    """Struct status, answer, value, correct, error."""
+
+    @F.pandas_udf("status string, answer string, value string, correct boolean, error string")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([verify_mode(a, b, mode) for a, b in zip(x, y, strict=True)], columns=["status", "answer", "value", "correct", "error"])
+
+    return run(response, truth)
+
+
+def prime_score_column(response: Column, truth: Column) -> Column:
+    """Struct correct, format, pred."""
+
+    @F.pandas_udf("correct boolean, format boolean, pred string")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([prime_score(a, b) for a, b in zip(x, y, strict=True)], columns=["correct", "format", "pred"])
+
+    return run(response, truth)
+
+
 def equal_column(a: Column, b: Column) -> Column:
     @F.pandas_udf("string")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:

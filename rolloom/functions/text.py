@@ -26,6 +26,26 @@ def last_number(response: Column, last: int = 300) -> Column:
     return F.when(F.size(good) > 0, F.element_at(good, -1)).when(F.size(found) > 0, F.element_at(found, 1))
 
 
+def sampled_case(response: Column, truth: Column, last: int = 400) -> Column:
+    """Struct strict, flexible (last number after "####", last number, without commas; null if none), strict_correct, flexible_correct and format_error."""
+    number = r"(-?[0-9][0-9,]*(?:\.[0-9]+)?)"
+    tail = F.right(response, F.lit(last))
+
+    def final(pattern: str) -> Column:
+        found = F.regexp_extract_all(tail, F.lit(pattern), F.lit(1))
+        return F.when(F.size(found) > 0, F.replace(F.element_at(found, -1), F.lit(","), F.lit("")))
+
+    # White space as Python has it, no-break and other wide spaces included.
+    strict, flexible, gold = final(r"(?U)####[\s\x1c-\x1f]*" + number), final(number), stripped(F.replace(truth, F.lit(","), F.lit("")))
+    same = lambda x: F.coalesce(x == gold, F.lit(False))
+    return F.struct(strict.alias("strict"), flexible.alias("flexible"), same(strict).alias("strict_correct"), same(flexible).alias("flexible_correct"), strict.isNull().alias("format_error"))
+
+
+def case_rates(case: Column) -> list[Column]:
+    """The sampler's three rates over structs of ``sampled_case``."""
+    return [F.avg(case[x].cast("int")).alias(name) for x, name in (("strict_correct", "strict_accuracy"), ("flexible_correct", "flexible_accuracy"), ("format_error", "format_error_rate"))]
+
+
 def tagged_answer(response: Column, tag: str = "answer") -> Column:
     found = F.regexp_extract_all(response, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
     return F.when(F.size(found) > 0, stripped(F.element_at(found, -1)))

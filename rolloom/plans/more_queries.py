@@ -56,7 +56,6 @@ def numbers(t: Tables) -> DataFrame:
 
 
 @query("nrm2_latex_spelling", "SELECT doc_id, '\\frac{1}{2}' AS answer FROM documents")
-@query("nrm3_latex_variants", "SELECT doc_id, '\\frac{1}{2}' AS answer FROM documents")
 def spelled(t: Tables) -> DataFrame:
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
@@ -66,14 +65,36 @@ def spelled(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", run(F.when(k == 0, "0.5").when(k == 1, "\\dfrac12").when(k == 2, "x = 1/2").otherwise("\\left\\tfrac{1}{2}")).alias("answer"))
 
 
+@query("nrm3_latex_variants", "SELECT doc_id, '\\frac{1}{2}' AS answer FROM documents")
+def variants(t: Tables) -> DataFrame:
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(answers.mathd_form)
+
+    k = F.col("doc_id") % 4
+    return t.documents.select("doc_id", run(F.when(k == 0, "0.5").when(k == 1, "\\dfrac12").when(k == 2, "x = 1/2").otherwise("\\left\\tfrac{1}{2}")).alias("answer"))
+
+
 @query("ver6_grades", "SELECT doc_id, (doc_id % 2 = 0) AS correct FROM documents")
 @query("scr4_box_scorer", "SELECT doc_id, (doc_id % 2 = 0) AS correct FROM documents")
-@query("scr5_graded", "SELECT doc_id, (doc_id % 2 = 0) AS correct FROM documents")
 def graded(t: Tables) -> DataFrame:
     state = answers.equal_column(F.concat(F.lit("(1,"), (F.col("doc_id") % 2).cast("string"), F.lit(".0)")), F.lit("(1, 0)"))
     return t.documents.select("doc_id", state.alias("state")).select("doc_id", (F.col("state") == "equal").alias("correct"))
 
 
+@query("scr5_graded", "SELECT doc_id, (doc_id % 2 = 0) AS correct FROM documents")
+def prime_graded(t: Tables) -> DataFrame:
+    r = F.concat(F.lit("\\boxed{(1,"), (F.col("doc_id") % 2).cast("string"), F.lit(".0)}"))
+    return t.documents.select("doc_id", answers.prime_score_column(r, F.lit("(1, 0)"))["correct"].alias("correct"))
+
+
+@query("scr5_triples", "SELECT doc_id, doc_id % 3 < 2 AS correct, doc_id % 3 <> 1 AS format, CASE doc_id % 3 WHEN 0 THEN '7' WHEN 1 THEN '6.28' ELSE '9' END AS pred FROM documents")
+def prime_triples(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 3
+    r = F.when(k == 0, "\\boxed{7}").when(k == 1, "The answer is 6.28").otherwise("Step 2: \\boxed{9}")
+    return t.documents.select("doc_id", answers.prime_score_column(r, F.when(k == 1, "2\\pi").otherwise("7")).alias("x")).select("doc_id", "x.correct", "x.format", "x.pred")
+
+
 @query("scr12_adapter", "SELECT CASE WHEN source IN ('src1', 'src2') THEN 'numbers' ELSE 'latex' END AS reward_source, round(avg((doc_id % 3 = 0)::INT), 6) AS acc, count(*) AS n FROM documents GROUP BY 1")
 def adapted(t: Tables) -> DataFrame:
     x = answers.verify_column(F.concat(F.lit("\\boxed{"), (F.col("doc_id") % 3).cast("string"), F.lit("}")), F.lit("0"))

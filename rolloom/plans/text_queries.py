@@ -22,11 +22,25 @@ def responses(t: Tables) -> DataFrame:
 
 
 @query("ext6_hash_answer", R + "SELECT doc_id, n_chars || '000' AS strict, (doc_id % 7)::VARCHAR AS flexible FROM r")
-@query("src27_case_sampler", R + "SELECT doc_id, n_chars || '000' AS strict, (doc_id % 7)::VARCHAR AS flexible FROM r")
 def hash_answers(t: Tables) -> DataFrame:
     return responses(t).select("doc_id", text.hash_answer(F.col("response")).alias("strict"), text.last_number(F.col("response")).alias("flexible"))
 
 
+@query("src27_case_sampler", R + "SELECT doc_id, n_chars || '000' AS strict, (doc_id % 7)::VARCHAR AS flexible FROM r")
+def sampled_cases(t: Tables) -> DataFrame:
+    case = text.sampled_case(F.col("response"), F.col("n_chars").cast("string"))
+    return responses(t).select("doc_id", case.alias("x")).select("doc_id", "x.strict", "x.flexible")
+
+
+@query("src27_case_rates", "SELECT round(avg((doc_id % 3 < 2)::INT), 6) AS strict_accuracy, round(avg((doc_id % 3 <> 1)::INT), 6) AS flexible_accuracy, round(avg((doc_id % 3 = 2)::INT), 6) AS format_error_rate FROM documents")
+def case_rates(t: Tables) -> DataFrame:
+    k, n = F.col("doc_id") % 3, F.col("n_chars").cast("string")
+    r = F.when(k == 0, F.concat(F.lit("#### "), n)).when(k == 1, F.concat(F.lit("####"), n, F.lit(" or 0"))).otherwise(F.concat(F.lit("so "), n))
+    case = text.sampled_case(F.concat("text", F.lit(" "), r), n)
+    out = t.documents.select(case.alias("x")).agg(*text.case_rates(F.col("x")))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
 @query("ext7_tagged_answer", R + "SELECT doc_id, 'The ' || lang || '!' AS answer FROM r")
 def tagged(t: Tables) -> DataFrame:
     return responses(t).select("doc_id", text.tagged_answer(F.col("response")).alias("answer"))
@@ -100,7 +114,6 @@ def extraction(t: Tables) -> DataFrame:
 
 
 @query("ver1_verify", "SELECT CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'wrong_answer' WHEN 2 THEN 'invalid_ground_truth' ELSE 'missing_answer' END AS error, count(*) AS n FROM documents GROUP BY 1")
-@query("ver2_modes", "SELECT CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'wrong_answer' WHEN 2 THEN 'invalid_ground_truth' ELSE 'missing_answer' END AS error, count(*) AS n FROM documents GROUP BY 1")
 def verified(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 4
     gold = F.when(k == 0, "0.5").when(k == 1, "2").when(k == 2, "x+y").otherwise("3")
@@ -108,6 +121,22 @@ def verified(t: Tables) -> DataFrame:
     return t.documents.select(answers.verify_column(r, gold).alias("x")).groupBy(F.coalesce("x.error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
 
 
+@query("ver2_modes", "SELECT CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'wrong_answer' WHEN 2 THEN 'invalid_ground_truth' ELSE 'missing_answer' END AS error, count(*) AS n FROM documents GROUP BY 1")
+def verified_by_mode(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 4
+    gold = F.when(k == 0, "0.5").when(k == 1, "2").when(k == 2, "x+y").otherwise("3")
+    r = F.when(k == 3, "none").otherwise("\\boxed{\\frac{1}{2}}")
+    return t.documents.select(answers.verify_mode_column(r, gold, "evaluation").alias("x")).groupBy(F.coalesce("x.error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
+
+
+@query("ver2_both_modes", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'missing_boxed_answer' ELSE 'boxed_answer_parse_error' END AS training, CASE WHEN doc_id % 3 < 2 THEN 'ok' ELSE 'answer_parse_error' END AS evaluation FROM documents")
+def both_modes(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 3
+    r = F.when(k == 0, "\\boxed{7} then \\boxed{x}").when(k == 1, "The answer is 7").otherwise("\\boxed{x}")
+    x = [answers.verify_mode_column(r, F.lit("7"), mode).alias(mode) for mode in ("training", "evaluation")]
+    return t.documents.select("doc_id", *x).select("doc_id", *[F.coalesce(F.col(m)["error"], F.lit("ok")).alias(m) for m in ("training", "evaluation")])
+
+
 @query("ver5_equality", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'equal' WHEN 1 THEN 'equal' WHEN 2 THEN 'different' ELSE 'unsupported' END AS state FROM documents")
 def equality(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 4

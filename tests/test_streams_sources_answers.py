@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rolloom.functions import answers
+from rolloom.functions import answers, text
 from rolloom.operators import balance, relations
 from rolloom.operators.tokens import AdaptiveKL
 from rolloom.plans.catalog import QUERIES
@@ -128,6 +128,30 @@ def test_balance():
         balance.checked([[0], []], 1)
 
 
+def test_sampled_cases(spark):
+    rows = [(0, "####  1,200.5" + "x" * 340, "1,200.5"), (1, "####7", "7"), (2, "#### \u00a0 -3 and 4", "4"), (3, "none", "1"), (4, "#### 5" + "x" * 395, "5")]
+    df = spark.createDataFrame(rows, "i int, r string, t string").select("i", text.sampled_case(F.col("r"), F.col("t")).alias("x"))
+    got = [(r.x.strict, r.x.flexible, r.x.strict_correct, r.x.flexible_correct, r.x.format_error) for r in df.orderBy("i").collect()]
+    assert got == [("1200.5", "1200.5", True, True, False), ("7", "7", True, True, False), ("-3", "4", False, True, False), (None, None, False, False, True), (None, "5", False, True, True)]
+    assert tuple(df.agg(*text.case_rates(F.col("x"))).first()) == (0.4, 0.8, 0.4)
+
+
+def test_modes_mathd_and_prime():
+    v = lambda r, m: answers.verify_mode(r, "7", m)["error"]
+    assert [v("\\boxed{3} \\boxed{7} \\boxed{x}", m) for m in ("training", "evaluation")] == [None, None]
+    assert [v("The answer is 7", m) for m in ("training", "evaluation")] == ["missing_boxed_answer", None]
+    assert v("\\boxed{x}", "training") == "boxed_answer_parse_error"
+    assert "answer_parse_error" == v("\\boxed{x} or 7", "evaluation")
+    assert v("7 or 8. The answer is 7\nThere were 9.", "evaluation") is None
+    m = answers.mathd_form
+    assert [m(x) for x in ("\\text{ 12 }", "5\\text{ cm}", "5\\text{cm}", "50%", "$5$", "\\frac1{72}", "01/2", "\\sqrt3", "ab = 3", "abc=3", "a\\sqrt")] == [
+        "12", "5", "5\\text{cm}", "50%", "$5$", "\\frac{1}{72}", "01/2", "\\sqrt{3}", "ab=3", "abc=3", "a\\sqrt"]
+    p = lambda r, t: tuple(answers.prime_score(r, t).values())
+    assert p("\\boxed{6.28}", "2\\pi") == (True, False, "6.28") and p("\\boxed{6.2832}", "2\\pi") == (True, False, "6.2832")
+    assert p("\\boxed{2/4}", "1/2") == (True, False, "2/4") and p("\\boxed{10000.5}", "10000") == (True, False, "10000.5")
+    assert p("Step 2: \\boxed{6}", "2\\pi") == (False, True, "6") and p("\\boxed{8}", "8") == (True, True, "8")
+
+
 def test_micro_batches_of_all_rows(spark, small):
     rows = [(step, row, 1 + (7 * row + step) % 50) for step in range(3) for row in range(40)]
     out = balance.micro_batched(spark.createDataFrame(rows, "step long, row long, length long"), "step", "row", "length", 120).collect()
