@@ -63,7 +63,10 @@ def plain_quantity(x: Column) -> Column:
     x = F.regexp_replace(F.regexp_replace(x, r",\\! *", ""), r"^(-?\d+)\.0+$", "$1")
     x = F.regexp_replace(F.regexp_replace(x, "- *", "-"), r"([0-9]) +([0-9])", "$1+$2")
     x = F.lower(x)
-    return F.when(x.rlike(r"^-?\d{1,3}(,\d{3})+$"), F.replace(x, F.lit(","), F.lit(""))).otherwise(x)
+    # Whole numbers in plain form: no thousands, plus sign, zeros in front or after the point.
+    whole = F.regexp_extract(F.replace(x, F.lit(","), F.lit("")), r"^\s*\+?(-?)0*(\d+)(\.0*)?\s*$", 1)
+    digits = F.regexp_extract(F.replace(x, F.lit(","), F.lit("")), r"^\s*[+-]?0*(\d+)(\.0*)?\s*$", 1)
+    return F.when(x.rlike(r"^\s*[+-]?\d+(,\d{3})*(\.0*)?\s*$"), F.when(digits == "0", "0").otherwise(F.concat(whole, digits))).otherwise(x)
 
 
 def _cut(text: str, markers: tuple[str, ...], keep_left: bool = False) -> tuple[str, bool]:

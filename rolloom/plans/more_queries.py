@@ -32,6 +32,13 @@ def quantities(t: Tables) -> DataFrame:
     return t.documents.where("doc_id % 9 <> 0").select("doc_id", normalize.plain_quantity(x).alias("answer"))
 
 
+@query("nrm4_all_quantities", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN (doc_id % 9 * 1000)::VARCHAR WHEN 1 THEN '5*10^6' ELSE '7+3/4' END AS answer FROM documents")
+def all_quantities(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 3
+    x = F.when(k == 0, F.concat((F.col("doc_id") % 9).cast("string"), F.lit(",000"))).when(k == 1, "\\text{$5million}").otherwise("7 3/4")
+    return t.documents.select("doc_id", normalize.plain_quantity(x).alias("answer"))
+
+
 @query("nrm6_arithmetic", "SELECT doc_id, round((doc_id % 9) * 2 + 0.5, 6)::DOUBLE AS value FROM documents")
 def arithmetic(t: Tables) -> DataFrame:
     @F.pandas_udf("double")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rolloom.functions import answers, text
+from rolloom.functions import answers, normalize, text
 from rolloom.operators import balance, relations
 from rolloom.operators.tokens import AdaptiveKL
 from rolloom.plans.catalog import QUERIES
@@ -152,6 +152,12 @@ def test_modes_mathd_and_prime():
     assert p("Step 2: \\boxed{6}", "2\\pi") == (False, True, "6") and p("\\boxed{8}", "8") == (True, True, "8")
 
 
+def test_plain_quantities(spark):
+    values = {"0,000": "0", "007": "7", "-0": "0", "+5": "5", "-012.00": "-12", "1234,567": "1234567", "1,234,567.": "1234567", "12,34": "12,34", "0.50": "0.50", "-1,200": "-1200"}
+    df = spark.createDataFrame([(x,) for x in values], "x string")
+    assert {r.x: r.y for r in df.select("x", normalize.plain_quantity(F.col("x")).alias("y")).collect()} == values
+
+
 def test_micro_batches_of_all_rows(spark, small):
     rows = [(step, row, 1 + (7 * row + step) % 50) for step in range(3) for row in range(40)]
     out = balance.micro_batched(spark.createDataFrame(rows, "step long, row long, length long"), "step", "row", "length", 120).collect()
