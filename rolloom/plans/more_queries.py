@@ -278,6 +278,12 @@ def sorted_groups(t: Tables) -> DataFrame:
     return relations.numbered(g, ["prompt_id"], "place").orderBy("prompt_id").limit(100).select("prompt_id", (F.col("place") + 1).alias("place"))
 
 
+@query("ord1_all_sorted_groups", "WITH {ROLLOUTS} SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) AS place FROM (SELECT DISTINCT prompt_id FROM r)")
+def all_sorted_groups(t: Tables) -> DataFrame:
+    g = groups.group_metrics(t.unique, ["prompt_id"]).select("prompt_id")
+    return relations.numbered(g, ["prompt_id"], "place").select("prompt_id", (F.col("place") + 1).alias("place"))
+
+
 @query("src25_collected_responses", "SELECT l_orderkey, array_to_string(list(l_quantity::BIGINT::VARCHAR ORDER BY l_linenumber, l_partkey, l_suppkey), ',') AS responses FROM lineitem GROUP BY 1")
 def collected(t: Tables) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").cast("string").alias("q"))))

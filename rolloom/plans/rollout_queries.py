@@ -360,6 +360,13 @@ def by_score(t: Tables) -> DataFrame:
     return top.select("o_orderkey", F.row_number().over(relations.Window.orderBy(F.desc("s"), "o_orderkey")).cast("long").alias("place"))
 
 
+@query("ord8_all_by_score", "SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(CASE WHEN o_orderstatus <> 'O' THEN o_totalprice END, 0) DESC, o_orderkey) AS place FROM orders")
+def all_by_score(t: Tables) -> DataFrame:
+    score = F.coalesce(F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice")), F.lit(0.0))
+    rows = relations.numbered(t.orders.select("o_orderkey", (F.lit(0.0) - score).alias("s")), ["s", "o_orderkey"], "place")
+    return rows.select("o_orderkey", (F.col("place") + 1).alias("place"))
+
+
 @query("ord9_oldest_first", "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 40")
 def oldest(t: Tables) -> DataFrame:
     return t.orders.orderBy("o_orderdate", "o_orderkey").limit(40).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))

@@ -158,6 +158,12 @@ def test_plain_quantities(spark):
     assert {r.x: r.y for r in df.select("x", normalize.plain_quantity(F.col("x")).alias("y")).collect()} == values
 
 
+def test_order_keeps_every_row(spark, small):
+    for name, table, key in (("ord1_all_sorted_groups", "lineitem", "l_orderkey"), ("ord8_all_by_score", "orders", "o_orderkey")):
+        n = spark.read.parquet(f"{small}/{table}.parquet").select(key).distinct().count()
+        assert sorted(r.place for r in QUERIES[name](spark, small).collect()) == list(range(1, n + 1))
+
+
 def test_micro_batches_of_all_rows(spark, small):
     rows = [(step, row, 1 + (7 * row + step) % 50) for step in range(3) for row in range(40)]
     out = balance.micro_batched(spark.createDataFrame(rows, "step long, row long, length long"), "step", "row", "length", 120).collect()
