@@ -27,6 +27,17 @@ def test_equal_to_the_library():
         assert word.encode(t) == array("I", lib_w.encode(t, add_special_tokens=False).ids).tobytes(), repr(t)
 
 
+def test_texts_beyond_latin_are_counted_by_distinct_pre_tokens(monkeypatch):
+    byte, lib = ByteCounter(BYTE), Tokenizer.from_file(BYTE)
+    rng = random.Random(6)
+    texts = ["“quoted” – 5 € " * 50, "日本語 text " * 30, "слово и слово, ещё слово", "😀  ok \u2003 x\u3000", "‘it’s’ it's"]
+    texts += ["".join(rng.choice(["я", "’", "–", " ", "  ", "\n", "'s", "7", "٣", "語", "\u2009", "é", "x", "<"]) for _ in range(rng.randrange(40))) + "€" for _ in range(2000)]
+    want = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    monkeypatch.setattr(byte, "by_library", None)
+    assert [byte.count(t) for t in texts] == want
+    assert set(byte.sizes) == {p for t in texts for p, _ in lib.pre_tokenizer.pre_tokenize_str(t)}
+
+
 def test_counts(spark):
     rows = [(1, None), (2, ""), (2, "a b"), (None, "x"), (3, "word " * 600)]
     docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_tokens int")
