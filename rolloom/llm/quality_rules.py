@@ -39,8 +39,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 SCALE = 256
 FEATURES = ("length", "symbols", "capitals", "lines", "repeats")
-#: Standard deviation added to each statistic.
-RIDGE = 0.06
+#: Standard deviation added to each statistic. It is the floor of what counts as unusual where clean texts show less.
+RIDGE = {"length": 0.06, "symbols": 0.02, "capitals": 0.06, "lines": 0.06, "repeats": 0.06}
 #: Median of a chi-squared variable with five degrees of freedom.
 CHI2_MEDIAN = 4.3515
 
@@ -88,7 +88,7 @@ def _estimate(rows: DataFrame) -> DataFrame:
     g = rows.groupBy("pool").agg(*sums)
     n = F.col("n").cast("double")
     g = g.withColumns({f"m{i}": F.col(f"s{i}") / n for i in k})
-    cov = {f"c{i}_{j}": F.col(f"q{i}_{j}") / n - F.col(f"m{i}") * F.col(f"m{j}") + (F.lit((RIDGE * SCALE) ** 2) if i == j else F.lit(0.0)) for i in k for j in range(i + 1)}
+    cov = {f"c{i}_{j}": F.col(f"q{i}_{j}") / n - F.col(f"m{i}") * F.col(f"m{j}") + (F.lit((RIDGE[FEATURES[i]] * SCALE) ** 2) if i == j else F.lit(0.0)) for i in k for j in range(i + 1)}
     g = g.withColumns(cov)
     for j in k:  # one column of the factor after the other
         g = g.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(F.col(f"c{j}_{j}") - total([F.lit(0.0)] + [F.col(f"l{j}_{p}") ** 2 for p in range(j)]), F.lit(1e-6))))
@@ -127,7 +127,7 @@ def evaluate(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float
     passing = materialize(passing.join(pools, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_lang", "_source"))
     mids = passing.groupBy("pool").agg(*[F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p_{x}") for x in FEATURES])
     near = passing.join(mids, "pool").withColumn(
-        "d2", total(((F.col(x) - F.col(f"p_{x}")[1]) / ((F.col(f"p_{x}")[2] - F.col(f"p_{x}")[0]) / 1.349 + RIDGE * SCALE)) ** 2 for x in FEATURES))
+        "d2", total(((F.col(x) - F.col(f"p_{x}")[1]) / ((F.col(f"p_{x}")[2] - F.col(f"p_{x}")[0]) / 1.349 + RIDGE[x] * SCALE)) ** 2 for x in FEATURES))
     for _ in range(steps):
         near = near.select(*passing.columns, _binned().alias("bin"))
         limits = near.groupBy("pool").agg(F.percentile("bin", share).alias("limit"))

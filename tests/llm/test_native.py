@@ -95,6 +95,15 @@ def test_quality_keeps_clean_texts(docs):
     assert share[1] >= 0.995 and share[0] < 0.5
 
 
+def test_few_symbols_where_there_are_none(spark):
+    rng = random.Random(4)
+    clean = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(60)) for _ in range(154)]
+    texts = clean[:150] + [" ".join(w[:-1] + "#" if i % 4 == 0 else w for i, w in enumerate(t.split(" "))) for t in clean[150:]]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality_rules.evaluate(df).collect()}
+    assert all(kept[i] for i in range(150)) and not any(kept[i] for i in range(150, 154))
+
+
 @pytest.mark.parametrize("most", [50_000, 10])
 def test_contamination(spark, docs, most):
     bench = spark.read.parquet(f"{DATA}/sf0.01/benchmark.parquet")
