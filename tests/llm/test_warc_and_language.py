@@ -1,8 +1,11 @@
 import base64
 import hashlib
+import zlib
+from collections import Counter
 
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from rolloom.llm import language_id, warc
 
@@ -53,10 +56,47 @@ def test_language_edges(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("text, first", [("ab", "a")])
-def test_distance_by_hand(text, first):
-    by_lang = {"x": {"a": 0, "b": 1}, "y": {"c": 0, "b": 1}}
-    ranker = language_id.Ranker(by_lang, 2, 2)
-    # ranks of "ab": all n-grams occur once, so the first two by name are " a" and " ab", absent from both
-    assert ranker.predict(text) == ("x", 0.0)
-    assert language_id.grams("ab")[0] == first
+def name_of(code):
+    return "".join(chr(x) for x in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if x)
+
+
+def plain_counts(text):
+    out = Counter()
+    for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        padded = f" {w} "
+        out.update([*w, *(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))])
+    return out
+
+
+def plain_prediction(profiles, text, top, own):
+    counts = plain_counts(text)
+    if not counts or not profiles:
+        return "und", 0.0
+    best = sorted(counts, key=lambda g: (-counts[g], g))[:own]
+    distance = {lang: sum(min(abs(i - p.index(g)), top) if g in p else top for i, g in enumerate(best)) for lang, p in profiles.items()}
+    lang = min(distance, key=lambda x: (distance[x], x))
+    return lang, 1 - distance[lang] / (top * len(best))
+
+
+@pytest.mark.parametrize("block", [3, 7, 1 << 20])
+def test_counts_in_blocks(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    for text in (None, "", "1 2", "a", "a b", "Straße, café! ab_c x²y", "\U0001f600 \U00020000\u0627\u0644", "the cat " * 9):
+        codes, counts = language_id.gram_counts(text)
+        assert {name_of(int(c)): int(n) for c, n in zip(codes, counts)} == plain_counts(text)
+        assert [name_of(int(c)) for c in codes] == sorted(plain_counts(text))
+
+
+def test_predictions_against_plain_python(spark):
+    source = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    rows = [tuple(r) for r in source] + [tuple(source[5])] * 3 + [(None, "ab ba ab", "en"), (900, None, "de"), (901, "the dog " * 30000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("gram", F.lit(1)).withColumn("rank", F.lit("x")).withColumn("held_out", F.lit("y")).withColumn("score", F.lit(2))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    totals = {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and not held(i):
+            totals.setdefault(lang, Counter()).update(plain_counts(text))
+    profiles = {lang: sorted(c, key=lambda g: (-c[g], g))[:400] for lang, c in totals.items()}
+    want = sorted(((i, held(i), *plain_prediction(profiles, text, 400, 300)) for i, text, _ in rows), key=repr)
+    got = sorted(map(tuple, language_id.identify(docs).collect()), key=repr)
+    assert [(*g[:3], round(g[3], 9)) for g in got] == [(*w[:3], round(w[3], 9)) for w in want]
