@@ -8,6 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolloom.session import materialize
+
+#: Rows of a small table that may be broadcast, and the number of copies it is dealt out in beyond.
+MAX_BROADCAST, SALTS = 100_000, 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,3 +65,24 @@ def covered(intervals: Column) -> Column:
 
 def total(columns: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
+
+
+def meet(rows: DataFrame, small: DataFrame, keys: list[str], most: int = MAX_BROADCAST) -> DataFrame:
+    """``rows`` with the columns of ``small``, which has one row for each key (nulls are equal) that occurs.
+
+    ``small`` is counted: up to ``most`` rows it is broadcast. Beyond, it is copied
+    ``SALTS`` times and both sides are dealt out by key and salt, so that the rows of one
+    key reach as many tasks.
+    """
+    small = materialize(small.withColumnsRenamed({k: f"_{k}" for k in keys}))
+    names = [*rows.columns, *[c for c in small.columns if c not in {f"_{k}" for k in keys}]]
+    same = total_and(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)
+    if small.count() <= most:
+        return rows.join(F.broadcast(small), same).select(*names)
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_at", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return rows.join(small, same & (F.col("_at") == F.col("_salt"))).select(*names)
+
+
+def total_and(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)

@@ -2,11 +2,12 @@ import hashlib
 import random
 
 import brute
+import numpy as np
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from rolloom.llm import decontamination, quality_rules, secrets
+from rolloom.llm import columns, decontamination, quality_rules, secrets
 
 EDGES = [None, "", " \n\t ", "\x0b\x0c", "one", "a b c d e f g h " * 400, "l\nl\n\nl \n", "é ß\n", "x" * 30000, "#$ %&|<>*", "A\r\nA\r\n"]
 
@@ -119,3 +120,75 @@ def test_contamination(spark, docs, most):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.contamination(rows_of(df), items)))
     assert {r.n_hit for r in decontamination.decontaminate(df, small.limit(0)).collect()} == {0}
     assert decontamination.decontaminate(df.limit(0), small).count() == 0
+
+
+def plain_mcd(vectors, weights, arbitrary, share, first_steps, max_steps):
+    """Centre, scatter and log determinant of one pool, by the steps of the docstring."""
+    floor = np.diag([(quality_rules.RIDGE[f] * quality_rules.SCALE) ** 2 for f in quality_rules.FEATURES])
+    ridge = np.sqrt(np.diag(floor))
+    binned = lambda d2: np.floor(np.minimum(np.sqrt(d2), 1000) * 32 + 0.5)
+    spread = np.repeat(vectors, weights, axis=0)
+
+    def step(bins):
+        limit = np.quantile(np.repeat(bins, weights), share)
+        x = np.repeat(vectors[bins <= limit], weights[bins <= limit], axis=0)
+        c = np.cov(x.T, bias=True) + floor
+        return np.linalg.slogdet(c)[1], x.mean(axis=0), c
+
+    def bins(found):
+        d = vectors - found[1]
+        return binned(np.einsum("ij,jk,ik->i", d, np.linalg.inv(found[2]), d))
+
+    low, mid, high = np.quantile(spread, [0.25, 0.5, 0.75], axis=0)
+    z = np.abs(vectors - mid) / ((high - low) / 1.349 + ridge)
+    found = []
+    for start in (binned((z**2).sum(axis=1)), binned(z.max(axis=1) ** 2), arbitrary):
+        x = step(start)
+        for _ in range(first_steps - 1):
+            x = step(bins(x))
+        found.append(x)
+    best = min(found, key=lambda x: x[0])
+    for _ in range(max_steps):
+        new = step(bins(best))
+        if new[0] >= best[0] - 1e-6:
+            break
+        best = new
+    d = vectors - best[1]
+    d2 = np.einsum("ij,jk,ik->i", d, np.linalg.inv(best[2]), d)
+    middle = np.quantile(np.repeat(binned(d2), weights), 0.5)
+    return d2 / max(1.0, (middle / 32) ** 2 / quality_rules.CHI2_MEDIAN)
+
+
+def test_outliers_against_plain_mcd(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").withColumns({"pool": F.lit("x"), "w": F.lit(1), "start": F.lit(2), "bin": F.lit(3), "n": F.lit(0), "m0": F.lit(1)})
+    names = list(quality_rules.FEATURES)
+    rows = quality_rules.statistics(docs).withColumns(quality_rules._vector()).where("not base_failed")
+    rows = rows.select("doc_id", "lang", "source", *names, F.pmod(F.xxhash64(*names), F.lit(1000)).alias("arbitrary")).toPandas()
+    sizes = rows.groupby(["lang", "source"]).size()
+    want = {}
+    for key, part in rows.groupby(["lang", "source"]):
+        if sizes[key] < 12:
+            continue
+        g = part.groupby([*names, "arbitrary"]).size().reset_index(name="w")
+        v = g[names].to_numpy(float)
+        d = plain_mcd(v, g.w.to_numpy(), g.arbitrary.to_numpy(float), 0.75, 2, 12)
+        by = dict(zip(map(tuple, v), d))
+        want |= {i: by[tuple(x)] for i, x in zip(part.doc_id, part[names].to_numpy(float))}
+    got = {r.doc_id: r for r in quality_rules.evaluate(docs, min_group=12).where("not base_failed").collect()}
+    assert len(want) > 500 and set(want) <= set(got)
+    cutoff = quality_rules.chi2_quantile(1e-5)
+    for i, d in want.items():
+        assert abs(got[i].distance - d) <= 1e-6 * max(1, d) and got[i].kept == (d <= cutoff), (i, got[i], d)
+
+
+def test_cutoff_is_a_chi_squared_tail():
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(400_000, 5)) ** 2).sum(axis=1)
+    assert abs((x > quality_rules.chi2_quantile(0.01)).mean() - 0.01) < 1e-3 and abs(quality_rules.chi2_quantile(0.5) - quality_rules.CHI2_MEDIAN) < 1e-3
+
+
+def test_meet_by_broadcast_and_by_salt(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", 4)], "k string, x int")
+    small = spark.createDataFrame([("a", 10), (None, 30), ("b", 40)], "k string, y int")
+    for most in (100, 0):
+        assert sorted(columns.meet(rows, small, ["k"], most).collect(), key=repr) == sorted([("a", 1, 10), ("a", 2, 10), (None, 3, 30), ("b", 4, 40)], key=repr)
