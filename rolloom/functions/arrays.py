@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: an array's definition inside a lambda would be worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
@@ -27,16 +35,15 @@ def masked_mean(values: Column, mask: Column) -> Column:
 
 def masked_var(values: Column, mask: Column) -> Column:
     """Unbiased variance; an error where the mask holds fewer than two places."""
-    n, mean = mask_count(mask), masked_sum(values, mask) / mask_count(mask)
-    squares = masked_sum(F.transform(values, lambda x: x * x), mask) / n
-    var = F.greatest(squares - mean * mean, F.lit(0.0)) * n / (n - 1)
-    return F.when(n > 1, var).otherwise(F.raise_error(F.lit("the variance needs two unmasked places")))
+    n = mask_count(mask)
+    squares = let(masked_sum(values, mask) / n, lambda mean: masked_sum(F.transform(values, lambda x: (x - mean) * (x - mean)), mask))
+    return F.when(n > 1, squares / (n - 1)).otherwise(F.raise_error(F.lit("the variance needs two unmasked places")))
 
 
 def response_mask(ids: Column, eos: list[int]) -> Column:
     """Ones through the first end token, itself included."""
-    first = F.array_min(F.filter(F.transform(ids, lambda x, i: F.when(x.isin(eos), i)), lambda i: i.isNotNull()))
-    return F.transform(ids, lambda x, i: F.when(first.isNull() | (i <= first), 1).otherwise(0))
+    first = F.coalesce(F.array_min(F.filter(F.transform(ids, lambda x, i: F.when(x.isin(eos), i)), lambda i: i.isNotNull())), F.size(ids))
+    return let(first, lambda p: F.transform(ids, lambda x, i: F.when(i <= p, 1).otherwise(0)))
 
 
 def pad_right(values: Column, length: int, fill) -> Column:
@@ -69,17 +76,15 @@ def without_padding(values: Column, mask: Column) -> Column:
 
 
 def logsumexp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.log(total(F.transform(values, lambda x: F.exp(x - top))))
+    return let(values, lambda v: let(F.array_max(v), lambda top: top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))))
 
 
 def entropy(logits: Column) -> Column:
-    lse = logsumexp(logits)
-    return lse - total(F.transform(logits, lambda x: F.exp(x - lse) * x))
+    return let(logits, lambda v: let(logsumexp(v), lambda lse: lse - total(F.transform(v, lambda x: F.exp(x - lse) * x))))
 
 
 def sum_pi_squared(logits: Column) -> Column:
-    return F.exp(logsumexp(F.transform(logits, lambda x: 2 * x)) - 2 * logsumexp(logits))
+    return let(logits, lambda v: F.exp(logsumexp(F.transform(v, lambda x: 2 * x)) - 2 * logsumexp(v)))
 
 
 def logprob_of(logits: Column, label: Column) -> Column:
@@ -109,24 +114,63 @@ def kl(logp: Column, ref: Column, kind: str) -> Column:
     return F.zip_with(logp, ref, one[kind])
 
 
+def _by_place(columns: list[pd.Series], step: Callable[..., np.ndarray], width: int = 1 << 22) -> pd.Series:
+    """Backwards over places, all rows of a block at once: step(place, live rows, one padded matrix a column) gives the place's results."""
+    out: list[np.ndarray] = []
+    lengths = columns[0].map(lambda x: -1 if x is None else len(x)).to_numpy()
+    at = 0
+    while at < len(lengths):
+        n = 1
+        longest = max(int(lengths[at]), 1)
+        while at + n < len(lengths) and (n + 1) * max(longest, int(lengths[at + n])) <= width:
+            longest = max(longest, int(lengths[at + n]))
+            n += 1
+        padded = []
+        for c in columns:
+            m = np.zeros((n, longest))
+            for i, x in enumerate(c.iloc[at : at + n]):
+                if x is not None:
+                    m[i, : len(x)] = x
+            padded.append(m)
+        result = np.zeros((n, longest))
+        size = lengths[at : at + n]
+        state = np.zeros((2, n))
+        for t in range(longest - 1, -1, -1):
+            result[:, t] = step(state, size > t, *(m[:, t] for m in padded))
+        out += [None if k < 0 else result[i, :k] for i, k in enumerate(size)]
+        at += n
+    return pd.Series(out, dtype=object)
+
+
 def gae(rewards: Column, values: Column, mask: Column, gamma: float = 1.0, lam: float = 1.0) -> Column:
-    """Generalised advantages, backwards over time; masked places pass the state on and keep its advantage."""
-    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("out"))
+    """Generalised advantages, backwards over time; masked places pass the state on and keep its advantage.
+
+    A Pandas UDF: SQL has no running fold over an array that takes linear time.
+    """
+
+    def scan(r: pd.Series, v: pd.Series, m: pd.Series) -> pd.Series:
+        def step(state, live, r, v, m):
+            on = live & (m != 0)
+            state[1] = np.where(on, r + gamma * state[0] - v + gamma * lam * state[1], state[1])
+            state[0] = np.where(on, v, state[0])
+            return state[1]
 
-    def step(s, x):
-        a = x["r"] + gamma * s["v"] - x["v"] + gamma * lam * s["a"]
-        on = x["m"] != 0
-        now = F.when(on, a).otherwise(s["a"])
-        return F.struct(F.when(on, x["v"]).otherwise(s["v"]).alias("v"), now.alias("a"), F.concat(s["out"], F.array(now)).alias("out"))
+        return _by_place([r, v, m], step)
 
-    rows = F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v"), mask.alias("m")))
-    return F.aggregate(rows, zero, step, lambda s: F.reverse(s["out"]))
+    return F.pandas_udf(scan, "array<double>")(rewards, values, mask)
 
 
 def returns_to_go(rewards: Column, gamma: float = 1.0) -> Column:
-    zero = F.struct(F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("out"))
-    step = lambda s, r: F.struct((r + gamma * s["g"]).alias("g"), F.concat(s["out"], F.array(r + gamma * s["g"])).alias("out"))
-    return F.aggregate(F.reverse(rewards), zero, step, lambda s: F.reverse(s["out"]))
+    """Discounted sums of what is still to come; a Pandas UDF as for ``gae``."""
+
+    def scan(r: pd.Series) -> pd.Series:
+        def step(state, live, r):
+            state[0] = np.where(live, r + gamma * state[0], state[0])
+            return state[0]
+
+        return _by_place([r], step)
+
+    return F.pandas_udf(scan, "array<double>")(rewards)
 
 
 def importance_weights(old: Column, rollout: Column, mask: Column, level: str = "token", upper: float | None = 2.0, band: tuple[float, float] | None = None, log_bound: float = 20.0) -> Column:
@@ -136,8 +180,7 @@ def importance_weights(old: Column, rollout: Column, mask: Column, level: str =
     """
     ratio = F.zip_with(old, rollout, lambda a, b: a - b)
     if level == "sequence":
-        whole = clip(masked_sum(ratio, mask), -log_bound, log_bound)
-        weights = F.transform(mask, lambda m: F.exp(whole))
+        weights = let(F.exp(clip(masked_sum(ratio, mask), -log_bound, log_bound)), lambda whole: F.transform(mask, lambda m: whole))
     else:
         weights = F.transform(ratio, lambda x: F.exp(clip(x, -log_bound, log_bound)))
     if band:
@@ -164,7 +207,7 @@ def rejection_mask(old: Column, rollout: Column, mask: Column, mode: str, low: f
     else:
         whole = masked_sum(each, mask)
         whole = whole / F.greatest(mask_count(mask), F.lit(1.0)) if level == "seq_mean" else whole
-    return F.transform(mask, lambda m: F.when((m != 0) & inside(whole), 1).otherwise(0))
+    return let(F.coalesce(inside(whole), F.lit(False)), lambda ok: F.transform(mask, lambda m: F.when((m != 0) & ok, 1).otherwise(0)))
 
 
 def threshold(text: str | float) -> tuple[float | None, float]:

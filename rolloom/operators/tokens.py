@@ -9,12 +9,9 @@ from rolloom.functions import arrays as A
 
 
 def masked_moments(df: DataFrame, values: str, mask: str) -> DataFrame:
-    """n, mean and unbiased variance over all unmasked tokens of the batch, from sums per row."""
-    v, m = F.col(values), F.col(mask)
-    s = df.select(A.mask_count(m).alias("n"), A.masked_sum(v, m).alias("s"), A.masked_sum(F.transform(v, lambda x: x * x), m).alias("q"))
-    s = s.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    mean = F.col("s") / F.col("n")
-    return s.select("n", mean.alias("mean"), ((F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1)).alias("var"))
+    """n, mean and unbiased variance over all unmasked tokens of the batch (central moments, so large means cancel nothing)."""
+    kept = df.select(F.explode(A.without_padding(F.col(values), F.col(mask))).alias("x"))
+    return kept.agg(F.count("x").cast("double").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var"))
 
 
 def whiten(df: DataFrame, values: str, mask: str, shift_mean: bool = True) -> DataFrame:
