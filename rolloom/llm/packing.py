@@ -2,45 +2,59 @@
 
 Texts become ids (once per distinct word, see ``vocab``), end with a separator,
 and texts beyond the sequence length are cut into full pieces and a rest. Pieces
-and gaps are then range-sorted by length. Lengths are whole numbers of at most
-``capacity``, so the sorted relation is kept run-length encoded: one run per
-length with its number of pieces, one run per gap with its interval of
-sequences. A round takes the longest pieces not yet placed and sweeps to the
-successor gaps: all pieces of the length go at once, conflicts over a gap are
-resolved by the rank of a piece in its length (the first ranks get the gap's
-sequences), the gaps shrink, and the next round follows. What fits no gap opens
-new sequences. This is best-fit decreasing, exactly, and the driver holds at most
-``capacity`` runs of pieces.
-
-The ranks of pieces are taken in parallel: counts per (length, cell) give offsets,
-and only cells are sorted. A last pass without a shuffle turns length and rank
-into sequence and offset by binary search in the plan, whose size depends on the
-capacity and not on the corpus.
+are range-sorted by length, the longest first; a piece's place in that order is its
+rank. Gaps (the sequences that still have room) are a relation of their own,
+range-sorted by size in every round.
+
+Pieces are taken in batches, whose lengths are within a factor of two. A round is
+one of two supersteps:
+
+* Successor sweep: every unplaced piece of the batch looks for the smallest gap that
+  holds it, the longest pieces first, and each gap takes one piece (or as many as fit
+  whatever their lengths in the batch). Pieces that want one gap are told apart by
+  rank: the first pieces of a length get the gaps of a size in the gaps' own order.
+  The tasks that hold the gaps then give each gap its pieces and shrink it.
+* Opening: where no gap holds any unplaced piece of the batch, the longest of them
+  open new sequences, as many as fit in each, down to ``OPENING`` times the longest
+  or to where a gap just opened would do.
+
+Rounds repeat until the batch is placed. The driver sees counts only, of pieces by
+length and of gaps by size, at most ``capacity`` of each; from these it works out which
+ranks meet which gaps. Pieces, gaps and placements stay on the executors. Each gap
+shrinks by half or more within a few rounds of a batch and a batch halves the
+lengths, so rounds grow with the logarithm of the capacity and not with the corpus.
+
+Placements name ranks; they meet the pieces in one equality join by rank.
 
 Defined results: a null text counts as empty and is one piece that holds only the
-separator; repeated rows are packed each; null ids are carried through; an empty
-table gives an empty result; other columns are ignored.
+separator; very long texts are cut as any other; pieces of equal length are ranked by
+row; repeated rows are packed each; null ids are carried through; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rolloom.llm.vocab import WordEncoder, opened
 from rolloom.session import materialize, prepare
 
 SEPARATOR = 1
-CELLS = 64
+#: Share of the longest unplaced length down to which pieces open sequences together.
+OPENING = 0.8
+#: Gaps of a task.
+TASK_GAPS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, rid long"
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+RANKED = "doc_id long, piece int, start long, length long, ids_crc32 long, rank long"
+#: A gap has rank -1 and its size as value; a placement has a piece's rank and its offset as value.
+STATE = "rank long, sequence_id long, value long"
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,54 +83,191 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id"
     return rows.mapInArrow(cut, PIECES)
 
 
-class _Gaps:
-    """Runs of sequences with equal gaps, sorted by gap; a gap's runs are a stack of (first, end)."""
-
-    def __init__(self) -> None:
-        self.sizes: list[int] = []
-        self.runs: dict[int, list[tuple[int, int]]] = {}
-
-    def put(self, gap: int, first: int, end: int) -> None:
-        if gap > 0 and end > first:
-            if gap not in self.runs:
-                bisect.insort(self.sizes, gap)
-                self.runs[gap] = []
-            self.runs[gap].append((first, end))
-
-    def successor(self, length: int) -> int | None:
-        i = bisect.bisect_left(self.sizes, length)
-        return self.sizes[i] if i < len(self.sizes) else None
-
-    def take(self, gap: int, n: int) -> tuple[int, int]:
-        first, end = self.runs[gap].pop()
-        if end - first > n:
-            self.runs[gap].append((first + n, end))
-            end = first + n
-        if not self.runs[gap]:
-            del self.runs[gap]
-            self.sizes.pop(bisect.bisect_left(self.sizes, gap))
-        return first, end
-
-
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing over runs of equal lengths: (length, first rank, first sequence, pieces a sequence, offset)."""
-    gaps, rules, sequences = _Gaps(), [], 0
-    for length in sorted(counts, reverse=True):
-        rank, n = 0, counts[length]
-        while rank < n and (gap := gaps.successor(length)) is not None:
-            first, end = gaps.take(gap, n - rank)
-            rules.append((length, rank, first, 1, capacity - gap))
-            gaps.put(gap - length, first, end)
-            rank += end - first
-        if rank < n:
+def ranked_pieces(pieces: DataFrame) -> DataFrame:
+    """The pieces with their rank, the longest first; equal lengths by row. Only counts of range partitions reach the driver."""
+    rows = pieces.repartitionByRange(F.desc("length"), "rid", "piece").sortWithinPartitions(F.desc("length"), "rid", "piece")
+    rows = materialize(rows).withColumn("part", F.spark_partition_id())
+    counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}
+    first, at = {}, 0
+    for k in sorted(counts):
+        first[k], at = at, at + counts[k]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for b in batches:
+            if b.num_rows:
+                rank = first[b.column(6)[0].as_py()] + done + np.arange(b.num_rows)
+                done += b.num_rows
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(rank, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "rank"])
+
+    return rows.mapInArrow(numbered, RANKED)
+
+
+class Lengths:
+    """Lengths by rank: the steps of the sorted order, at most as many as the capacity."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.values = np.array(sorted(counts, reverse=True), np.int64)
+        self.starts = np.cumsum([0, *[counts[int(v)] for v in self.values]])[:-1].astype(np.int64)
+
+    def of(self, ranks: np.ndarray) -> np.ndarray:
+        return self.values[np.searchsorted(self.starts, ranks, side="right") - 1]
+
+
+Runs = list[tuple[int, int, int]]  # (length, first rank, end), the longest first
+
+
+def meetings(gaps: dict[int, int], waiting: Runs) -> tuple[list[tuple[int, int, int, int]], Runs]:
+    """Which ranks meet which gaps in a sweep: (gap size, first slot, first rank, n), and the runs that found none.
+
+    gaps: how many gaps there are of each size. A gap of twice the longest length or more has a slot for
+    each time that length fits, others have one.
+    """
+    longest, sizes, rules, rest, stack = waiting[0][0], sorted(gaps, reverse=True), [], [], []
+    at = 0
+    for length, rank, end in waiting:
+        while at < len(sizes) and sizes[at] >= length:
+            stack.append([sizes[at], 0, gaps[sizes[at]] * max(sizes[at] // longest, 1)])
+            at += 1
+        while rank < end and stack:
+            top = stack[-1]
+            n = min(end - rank, top[2] - top[1])
+            rules.append((top[0], top[1], rank, n))
+            rank, top[1] = rank + n, top[1] + n
+            if top[1] == top[2]:
+                stack.pop()
+        if rank < end:
+            rest.append((length, rank, end))
+    return rules, rest
+
+
+def openings(waiting: Runs, capacity: int, first: int) -> tuple[list[tuple[int, int, int]], np.ndarray, int, Runs]:
+    """New sequences for the longest waiting pieces: blocks (first sequence, first piece, pieces a sequence), the
+    waiting runs as rows (first piece, first rank), the end of the sequences, and the runs left."""
+    longest, largest, chosen, rest = waiting[0][0], 0, [], []
+    for run in waiting:
+        if not rest and (run[0] >= OPENING * longest or run[0] > largest):
+            chosen.append(run)
+            largest = max(largest, capacity - capacity // run[0] * run[0])
+        else:
+            rest.append(run)
+    starts = np.cumsum([0, *[b - a for _, a, b in chosen]])
+    blocks, at = [], 0
+    for (length, _, _), end in zip(chosen, starts[1:].tolist(), strict=True):
+        while at < end:
             each = capacity // length
-            full, rest = divmod(n - rank, each)
-            rules.append((length, rank, sequences, each, 0))
-            gaps.put(capacity - each * length, sequences, sequences + full)
-            if rest:
-                gaps.put(capacity - rest * length, sequences + full, sequences + full + 1)
-            sequences += full + bool(rest)
-    return rules
+            full = (end - at) // each
+            blocks.append((first, at, each))
+            first, at = first + max(full, 1), at + max(full, 1) * each
+    table = np.array([(s, a) for s, (_, a, _) in zip(starts.tolist(), chosen)], np.int64)
+    return blocks, np.vstack([table, [[int(starts[-1]), 0]]]), first, rest
+
+
+def _state(ranks: np.ndarray, sequences: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(sequences, pa.int64()), pa.array(values, pa.int64())], names=["rank", "sequence_id", "value"])
+
+
+def _filled(sequences: np.ndarray, gaps: np.ndarray, owner: np.ndarray, ranks: np.ndarray, lengths: Lengths, capacity: int) -> Iterator[pa.RecordBatch]:
+    """Placements of pieces (ranks, ordered by owner, a place in sequences) and the gaps that they leave."""
+    sizes = lengths.of(ranks)
+    ends = np.cumsum(sizes)
+    used = np.bincount(owner, weights=sizes, minlength=len(gaps)).astype(np.int64)
+    before = np.cumsum(used) - used
+    yield _state(ranks, sequences[owner], capacity - gaps[owner] + ends - sizes - before[owner])
+    yield _state(np.full(len(gaps), -1), sequences, gaps - used)
+
+
+def swept(gaps: DataFrame, rules: list, longest: int, first: dict[tuple[int, int], int], lengths: Lengths, capacity: int) -> DataFrame:
+    """One sweep over range-sorted gaps. first: the number of gaps of a size in earlier partitions."""
+    span = 1 << 48
+    table = np.array(sorted(rules), np.int64)
+    keys = table[:, 0] * span + table[:, 1]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = -1, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sequences, sizes, part = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)[0].as_py()
+            at = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1]])
+            base = np.array([first[part, int(s)] for s in sizes[at]])
+            if sizes[0] == last:
+                base[0] += seen
+            place = np.repeat(base - at, np.diff(np.r_[at, len(sizes)])) + np.arange(len(sizes))
+            seen, last = int(place[-1]) + 1 - first[part, int(sizes[-1])], int(sizes[-1])
+            slots = np.maximum(sizes // longest, 1)
+            owner = np.repeat(np.arange(len(sizes)), slots)
+            slot = place[owner] * slots[owner] + np.arange(len(owner)) - (np.cumsum(slots) - slots)[owner]
+            rule = table[np.maximum(np.searchsorted(keys, sizes[owner] * span + slot, side="right") - 1, 0)]
+            hit = (rule[:, 0] == sizes[owner]) & (slot >= rule[:, 1]) & (slot < rule[:, 1] + rule[:, 3])
+            yield from _filled(sequences, sizes, owner[hit], (rule[:, 2] + slot - rule[:, 1])[hit], lengths, capacity)
+
+    return gaps.select("sequence_id", "value", F.spark_partition_id().alias("part")).mapInArrow(sweep, STATE)
+
+
+def opened_sequences(spark: SparkSession, blocks: list, runs: np.ndarray, start: int, end: int, lengths: Lengths, capacity: int) -> DataFrame:
+    """Sequences ``start`` to ``end`` with the pieces that open them."""
+    table, n = np.array(blocks, np.int64), int(runs[-1, 0])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sequences = b.column(0).to_numpy()
+            block = table[np.searchsorted(table[:, 0], sequences, side="right") - 1]
+            at = block[:, 1] + (sequences - block[:, 0]) * block[:, 2]
+            count = np.minimum(block[:, 2], n - at)
+            owner = np.repeat(np.arange(len(sequences)), count)
+            piece = at[owner] + np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+            run = runs[np.searchsorted(runs[:, 0], piece, side="right") - 1]
+            yield from _filled(sequences, np.full(len(sequences), capacity), owner, run[:, 1] + piece - run[:, 0], lengths, capacity)
+
+    return spark.range(start, end, 1, -(-(end - start) // TASK_GAPS)).mapInArrow(fill, STATE)
+
+
+def placements(spark: SparkSession, counts: dict[int, int], capacity: int) -> list[DataFrame]:
+    """The rounds: together they hold the placement of every piece (and gaps, with rank -1), given how many pieces there are of each length."""
+    lengths, least = Lengths(counts), min(counts)
+    runs = [(int(v), int(s), int(s) + counts[int(v)]) for v, s in zip(lengths.values, lengths.starts, strict=True)]
+    gaps: DataFrame | None = None
+    out: list[DataFrame] = []
+    sizes: dict[int, int] = {}
+    first: dict[tuple[int, int], int] = {}
+    at, sequences = 0, 0
+
+    def settled(rows: DataFrame) -> DataFrame:
+        """Open gaps, range-sorted; and their counts, from which the driver knows the first of each size in each partition."""
+        n = max(spark.sparkContext.defaultParallelism, -(-sequences // TASK_GAPS))
+        rows = rows.where((F.col("rank") < 0) & (F.col("value") >= least)).select("sequence_id", "value")
+        rows = materialize(rows.repartitionByRange(n, "value", "sequence_id").sortWithinPartitions("value", "sequence_id"))
+        sizes.clear()
+        first.clear()
+        for r in sorted(rows.groupBy(F.spark_partition_id().alias("part"), "value").count().collect(), key=lambda r: r.part):
+            first[r.part, r.value] = sizes.get(r.value, 0)
+            sizes[r.value] = sizes.get(r.value, 0) + r["count"]
+        return rows
+
+    while at < len(runs):
+        low = (runs[at][0] + 1) // 2
+        waiting = []
+        while at < len(runs) and runs[at][0] >= low:
+            waiting.append(runs[at])
+            at += 1
+        while waiting:
+            longest = waiting[0][0]
+            rules, rest = meetings({k: n for k, n in sizes.items() if k >= waiting[-1][0]}, waiting)
+            if rules:
+                step = swept(gaps, rules, longest, dict(first), lengths, capacity)
+                out.append(step)
+            else:
+                start = sequences
+                blocks, table, sequences, rest = openings(waiting, capacity, sequences)
+                step = opened_sequences(spark, blocks, table, start, sequences, lengths, capacity)
+                out.append(step)
+                if gaps is not None:
+                    step = step.unionByName(gaps.select(F.lit(-1).cast("long").alias("rank"), "sequence_id", "value"))
+            waiting = rest
+            if waiting or at < len(runs):
+                gaps = settled(step)
+    return out
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,26 +275,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_id
     spark = prepare(docs.sparkSession)
     pieces = materialize(cut_pieces(docs, path, capacity, id_col, text_col))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rules = np.array(sorted(plan(counts, capacity)), dtype=np.int64).reshape(-1, 5)
-    # A composite key puts the rules of a length, by first rank, in one sorted array.
-    span = 1 << 48
-    shared = spark.sparkContext.broadcast((rules[:, 0] * span + rules[:, 1], rules))
-
-    cells = pieces.withColumn("cell", F.pmod(F.xxhash64("rid", "piece"), F.lit(CELLS)))
-    by_cell = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.groupBy("length", "cell").agg(F.count("*").alias("n")).select("length", "cell", F.coalesce(F.sum("n").over(by_cell), F.lit(0)).alias("before"))
-    ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy("length", "cell").orderBy("rid", "piece")) - 1)
-    ranked = ranked.join(offsets, ["length", "cell"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).cast("long").alias("rank"))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rules = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            rule = rules[np.searchsorted(keys, length * span + rank, side="right") - 1]
-            at = rank - rule[:, 1]
-            sequence, offset = rule[:, 2] + at // rule[:, 3], rule[:, 4] + at % rule[:, 3] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranked.mapInArrow(placed, PACKED)
+    ranked = ranked_pieces(pieces)
+    if not counts:
+        return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").alias("sequence_id"), F.col("rank").alias("offset"))
+    placed = reduce(DataFrame.unionByName, placements(spark, counts, capacity)).where("rank >= 0")
+    return ranked.join(placed, "rank").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("value").alias("offset"))

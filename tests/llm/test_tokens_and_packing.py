@@ -1,8 +1,12 @@
 import random
 import zlib
 from array import array
+from collections import Counter
 
 import public_tokenizers as P
+import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rolloom.llm import packing, token_counts
@@ -49,24 +53,55 @@ def test_counts(spark):
     assert token_counts.count_tokens(docs.limit(0), BYTE).count() == 0
 
 
-def test_plan_is_best_fit_decreasing():
-    rng = random.Random(3)
-    for _ in range(30):
-        items = sorted((rng.choice([1, 5, 30, 64, rng.randrange(1, 65)]) for _ in range(rng.randrange(1, 200))), reverse=True)
-        gaps: list[int] = []
-        for x in items:  # item by item
-            fit = [g for g in gaps if g >= x]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - x)
-            else:
-                gaps.append(64 - x)
-        rules = packing.plan({x: items.count(x) for x in items}, 64)
-        used = set()
-        for n, (length, rank, first, each, _) in enumerate(rules):
-            end = min([r[1] for r in rules if r[0] == length and r[1] > rank], default=items.count(length))
-            used.update(first + i // each for i in range(end - rank))
-        assert len(used) == len(gaps)
+def best_fit_decreasing(items, capacity):
+    gaps: list[int] = []
+    for x in sorted(items, reverse=True):
+        fit = [g for g in gaps if g >= x]
+        if fit:
+            gaps.remove(min(fit))
+            gaps.append(min(fit) - x)
+        else:
+            gaps.append(capacity - x)
+    return len(gaps)
+
+
+def test_meetings_are_successor_sweeps():
+    rng = random.Random(8)
+    for _ in range(200):
+        lengths = sorted({rng.randrange(20, 40) for _ in range(rng.randrange(1, 8))}, reverse=True)
+        runs, rank = [], 0
+        for x in lengths:
+            n = rng.randrange(1, 5)
+            runs.append((x, rank, rank + n))
+            rank += n + rng.randrange(3)
+        gaps = {g: rng.randrange(1, 4) for g in rng.sample(range(15, 130), rng.randrange(0, 9))}
+        rules, rest = packing.meetings(gaps, runs)
+        slots = sorted(g for g, n in gaps.items() for _ in range(n * max(g // lengths[0], 1)))
+        met, left = {}, []
+        for x, a, b in runs:  # piece by piece: the smallest slot that holds it
+            for r in range(a, b):
+                fit = [g for g in slots if g >= x]
+                if fit:
+                    slots.remove(fit[0])
+                    met[r] = fit[0]
+                else:
+                    left.append(r)
+        assert met == {r + i: g for g, _, r, n in rules for i in range(n)}
+        assert left == [r for _, a, b in rest for r in range(a, b)]
+        taken = [(g, s + i) for g, s, _, n in rules for i in range(n)]
+        assert len(taken) == len(set(taken)) and all(s < gaps[g] * max(g // lengths[0], 1) for g, s in taken)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "tiny", "middle", "one length", "long"])
+def test_rounds_place_every_rank(spark, monkeypatch, kind):
+    monkeypatch.setattr(packing, "TASK_GAPS", 40)
+    rng = random.Random(kind)
+    draw = {"mixed": lambda: rng.choice([1, 5, 30, 64, rng.randrange(1, 65)]), "tiny": lambda: rng.randrange(1, 4), "middle": lambda: rng.randrange(15, 40), "one length": lambda: 22, "long": lambda: rng.randrange(33, 65)}[kind]
+    items = sorted((draw() for _ in range(600)), reverse=True)
+    rows = [r for df in packing.placements(spark, Counter(items), 64) for r in df.where("rank >= 0").collect()]
+    assert sorted(r["rank"] for r in rows) == list(range(600))
+    seqs = check_packing([Row(sequence_id=r.sequence_id, offset=r.value, length=items[r["rank"]]) for r in rows], 64)
+    assert len(seqs) <= 1.03 * best_fit_decreasing(items, 64) + 1
 
 
 def check_packing(rows, capacity):
@@ -84,7 +119,7 @@ def check_packing(rows, capacity):
 
 def test_packing_small(spark):
     texts = [None, "", "a", "a", "b " * 300, "c d " * 40, "the same", "the same"] + [f"w{i} " * (i % 37) for i in range(150)]
-    docs = spark.createDataFrame([(i % 140, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, piece string")
+    docs = spark.createDataFrame([(i % 140, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, piece string").withColumns({"rank": F.lit("x"), "sequence_id": F.lit(1), "value": F.lit(2), "part": F.lit(3)})
     rows = packing.pack(docs, WORD, 64).collect()
     seqs = check_packing(rows, 64)
     lib = Tokenizer.from_file(WORD)
