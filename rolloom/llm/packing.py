@@ -49,8 +49,8 @@ from rolloom.session import materialize, prepare
 SEPARATOR = 1
 #: Share of the longest unplaced length down to which pieces open sequences together.
 OPENING = 0.8
-#: Gaps of a task.
-TASK_GAPS = 500_000
+#: Gaps of a task: few while there are cores for more tasks, then many.
+FEW_GAPS, TASK_GAPS = 20_000, 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, rid long"
 RANKED = "doc_id long, piece int, start long, length long, ids_crc32 long, rank long"
 #: A gap has rank -1 and its size as value; a placement has a piece's rank and its offset as value.
@@ -235,7 +235,7 @@ def placements(spark: SparkSession, counts: dict[int, int], capacity: int) -> li
 
     def settled(rows: DataFrame) -> DataFrame:
         """Open gaps, range-sorted; and their counts, from which the driver knows the first of each size in each partition."""
-        n = max(spark.sparkContext.defaultParallelism, -(-sequences // TASK_GAPS))
+        n = max(min(spark.sparkContext.defaultParallelism, -(-sequences // FEW_GAPS)), -(-sequences // TASK_GAPS))
         rows = rows.where((F.col("rank") < 0) & (F.col("value") >= least)).select("sequence_id", "value")
         rows = materialize(rows.repartitionByRange(n, "value", "sequence_id").sortWithinPartitions("value", "sequence_id"))
         sizes.clear()
