@@ -1,43 +1,117 @@
 """Token counts without materialised ids.
 
-Each text is cut into pre-tokens; the number of pieces is worked out once per
-distinct pre-token and joined to the text's own pre-tokens by a table lookup in
-the Python worker, then summed. No shuffle: a row's count depends on its text
-alone, and the table of a worker is bounded, so memory does not grow with the
-corpus. A shuffled dictionary of all pre-tokens would move several times the
-input for the same sums.
-
-Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows
-are counted each; null ids are carried through; other columns are ignored.
+1. All texts are cut into pre-tokens, which are counted in each task and then over
+   the corpus: one row per distinct pre-token, with its occurrences.
+2. The number of pieces is worked out once for each of these rows. This is the
+   dictionary, a table.
+3. Each text is cut again and becomes its own pre-token frequencies, which meet the
+   dictionary: at most ``head`` of its entries, the most frequent ones, are broadcast
+   and met in the same task; frequencies of all other pre-tokens go through an
+   equality join. A text's count is the sum of frequency times pieces.
+
+The head is cut at a number of occurrences, so that at most ``head`` entries have as
+many; entries have a bounded size, since a pre-token longer than ``KEY`` characters is
+known by a 128-bit digest. What is left for the join is rare by construction, so no
+key of the join holds a large share of the rows.
+
+Defined results: a null text counts as empty (0 bytes, 0 tokens); very long texts are
+counted whole; special strings inside texts are one token each, as the library has it;
+repeated rows are counted each; there is nothing to tie; null ids are carried through;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.llm.vocab import ByteCounter, opened
-from rolloom.session import prepare
+from rolloom.llm.vocab import BytePieces, opened
+from rolloom.session import materialize, prepare
 
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+#: Dictionary entries that are broadcast at most, characters of a key, and distinct pre-tokens a task gathers before it sends them on.
+HEAD, KEY, GATHERED = 500_000, 64, 300_000
+KNOWN = "doc_id long, rid long, n_bytes long, known long, rest array<struct<key:string,n:long>>"
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row, under the tokenizers file at ``path``."""
-    prepare(docs.sparkSession)
+def _key(piece: str) -> str:
+    """A pre-token's name: itself, or for a long one a longer string with its digest."""
+    return piece if len(piece) <= KEY else "\0" * KEY + blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def dictionary(texts: DataFrame, path: str) -> DataFrame:
+    """key, pieces, occurrences of every distinct pre-token of the texts (one column)."""
+
+    def made(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(map(_key, held), pa.string()), pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["key", "piece", "n"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, held = opened(BytePieces, path), Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                if text.is_valid:
+                    for p, n in pieces.frequencies(text.as_py()).items():
+                        held[p] += n
+                if len(held) > GATHERED:
+                    yield made(held)
+                    held = Counter()
+        yield made(held)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = opened(ByteCounter, path)
+        pieces = opened(BytePieces, path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.size(p) for p in b.column(1).to_pylist()], pa.int64()), b.column(2)], names=["key", "pieces", "n"])
+
+    distinct = texts.mapInArrow(gathered, "key string, piece string, n long").groupBy("key").agg(F.first("piece").alias("piece"), F.sum("n").alias("n"))
+    return materialize(distinct.select("key", "piece", "n").mapInArrow(counted, "key string, pieces long, n long"))
+
+
+def _least(known: DataFrame, head: int) -> int:
+    """The smallest number of occurrences that at most ``head`` entries reach: by powers of two."""
+    sizes = {r.b: r["count"] for r in known.groupBy(F.floor(F.log2("n")).alias("b")).count().collect()}
+    at, total = max(sizes, default=0) + 1, 0
+    while at > 0 and total + sizes.get(at - 1, 0) <= head:
+        total += sizes.get(at - 1, 0)
+        at -= 1
+    return 1 << at
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 512, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every row, under the tokenizers file at ``path``."""
+    spark = prepare(docs.sparkSession)
+    known = dictionary(docs.select(F.col(text_col).alias("text")), path)
+    least = _least(known, head)
+    top = known.where(F.col("n") >= least).select("key", "pieces").toArrow()
+    shared = spark.sparkContext.broadcast((top.column("key").to_pylist(), top.column("pieces").to_numpy().astype(np.int64)))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, sizes = opened(BytePieces, path), dict(zip(shared.value[0], shared.value[1].tolist(), strict=True))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes = [len(t.encode()) if t else 0 for t in texts]
-            tokens = [counter.count(t) if t else 0 for t in texts]
+            n_bytes, total, rest = [], [], []
+            for text in batch.column(2):
+                text = text.as_py() or ""
+                n_bytes.append(len(text.encode()))
+                here, left = 0, []
+                for p, n in pieces.frequencies(text).items():
+                    size = sizes.get(p) if len(p) <= KEY else sizes.get(_key(p))
+                    if size is None:
+                        left.append({"key": _key(p), "n": n})
+                    else:
+                        here += n * size
+                total.append(here)
+                rest.append(left)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+                [batch.column(0), batch.column(1), pa.array(n_bytes, pa.int64()), pa.array(total, pa.int64()), pa.array(rest, pa.list_(pa.struct([("key", pa.string()), ("n", pa.int64())])))],
+                names=["doc_id", "rid", "n_bytes", "known", "rest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(counted, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
+    rows = materialize(rows.mapInArrow(summed, KNOWN))
+    tail = rows.select("rid", F.explode("rest").alias("x")).select("rid", "x.key", "x.n").join(known.where(F.col("n") < least).select("key", "pieces"), "key")
+    found = tail.groupBy("rid").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
+    n_tokens = F.col("known") + F.coalesce("more", F.lit(0))
+    return rows.join(found, "rid", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))

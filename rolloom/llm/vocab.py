@@ -1,13 +1,12 @@
-"""Exact token ids and counts of public tokenizers, worked out once per distinct piece of text.
+"""Pre-tokens and exact token ids of public tokenizers, worked out once per distinct piece of text.
 
 Both tokenizers split a text into pre-tokens and merge inside each pre-token only,
-so a pre-token's ids never depend on its neighbours. Each Python worker keeps a
-bounded table from pre-tokens (and from whole words between blanks) to their
-ids; a text's ids are the concatenation of table entries. Counts of texts with
-characters beyond the Latin blocks use the library's own pre-tokens, each
-distinct one worked out once; texts with special-token strings, and ids of texts
-beyond the Latin blocks, take the library's whole path, so results always equal
-the library's.
+so a pre-token's ids never depend on its neighbours. Special strings are cut out
+first. Pre-tokens of texts within the Latin blocks are found by a pattern (equality
+with the library is tested), those of other texts by the library's own pre-tokenizer.
+For ids, each Python worker keeps a bounded table from pre-tokens (and from whole words
+between blanks) to their ids, and a text's ids are the concatenation of table entries;
+texts beyond the Latin blocks or with special strings take the library's whole path.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 BLANKS = "\t-\r \x85\xa0"
 #: Texts with any of these take the library's path.
 UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ſ]|<\\|")
+BEYOND_LATIN = re.compile("[^\x00-\x1b\x20-įı-ſ]")
 UNEVEN_BLANKS = re.compile(rf"[{BLANKS}] (?![^{BLANKS}])|[{BLANKS}][{BLANKS}] ")
 BYTE_PIECES = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 WORD_PIECES = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
@@ -64,40 +64,49 @@ class Vocabulary:
         return self.library.encode(text, add_special_tokens=False).ids
 
 
-class ByteCounter(Vocabulary):
-    """Token counts under a byte-level vocabulary whose words carry the blank before them."""
+class BytePieces(Vocabulary):
+    """Pre-tokens, and their numbers of tokens, under a byte-level vocabulary whose words carry the blank before them."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.sizes: dict[str, int] = {}
-
-    def mapped_size(self, piece: str) -> int:
-        """Tokens of one of the library's pre-tokens, in its printable letters."""
-        n = self.sizes.get(piece)
-        if n is None:
-            if len(self.sizes) >= TABLE_SIZE:
-                self.sizes.clear()
-            n = self.sizes[piece] = len(self.library.model.tokenize(piece))
-        return n
-
-    def count(self, text: str) -> int:
-        if "<|" in text:
-            return len(self.by_library(text))
+        self.bytes = {letter: b for b, letter in ((b, chr(c)) for b, c in self.letters.items())}
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.special = set(added)
+
+    def size(self, piece: str) -> int:
+        """Tokens of one pre-token; a special string is one."""
+        return 1 if piece in self.special else len(self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
+
+    def _whole(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings, by the library beyond the Latin blocks."""
+        if not BEYOND_LATIN.search(text):
+            return BYTE_PIECES.findall(text)
+        return [bytes(map(self.bytes.__getitem__, p)).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _of_word(self, word: str) -> list[str]:
+        found = self.words.get(word)
+        if found is None:
+            found = self.words[word] = BYTE_PIECES.findall(" " + word)
+        return found
+
+    def frequencies(self, text: str) -> Counter[str]:
+        """How often each distinct pre-token occurs in a text."""
         if UNUSUAL.search(text):
-            return sum(n * self.mapped_size(p) for p, n in Counter(p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)).items())
+            if self.added is None:
+                return Counter(self._whole(text))
+            return Counter(p for i, part in enumerate(self.added.split(text)) for p in ([part] if i % 2 else self._whole(part)))
         if UNEVEN_BLANKS.search(text):
-            return sum(len(self.piece(p)) for p in BYTE_PIECES.findall(text))
+            return Counter(BYTE_PIECES.findall(text))
         first, *rest = text.split(" ")
-        words = self.words
-        if len(words) >= TABLE_SIZE:
-            words.clear()
-        total = sum(len(self.piece(p)) for p in BYTE_PIECES.findall(first))
-        for word in rest:
-            n = words.get(word)
-            if n is None:
-                n = words[word] = sum(len(self.piece(p)) for p in BYTE_PIECES.findall(" " + word))
-            total += n
-        return total
+        out = Counter(BYTE_PIECES.findall(first))
+        if len(self.words) >= TABLE_SIZE:
+            self.words.clear()
+        get = out.get
+        for word, n in Counter(rest).items():
+            for p in self._of_word(word):
+                out[p] = get(p, 0) + n
+        return out
 
 
 class WordEncoder(Vocabulary):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rolloom.llm import packing, token_counts
-from rolloom.llm.vocab import ByteCounter, WordEncoder
+from rolloom.llm.vocab import BytePieces, WordEncoder
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 ODD = [
@@ -20,37 +20,50 @@ ODD = [
 
 
 def test_equal_to_the_library():
-    byte, word = ByteCounter(BYTE), WordEncoder(WORD)
+    byte, word = BytePieces(BYTE), WordEncoder(WORD)
     lib_b, lib_w = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
     rng = random.Random(5)
     letters = [chr(c) for c in range(0x180)]
     texts = ODD + letters + [f"a{c}b {c}c" for c in letters]
     texts += ["".join(rng.choice(["a", "B", " ", " ", "\n", "'s", "!", "7", "é", "\t", "\xa0", "ll", "'ll"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
     for t in texts:
-        assert byte.count(t) == len(lib_b.encode(t, add_special_tokens=False).ids), repr(t)
+        assert sum(n * byte.size(p) for p, n in byte.frequencies(t).items()) == len(lib_b.encode(t, add_special_tokens=False).ids), repr(t)
         assert word.encode(t) == array("I", lib_w.encode(t, add_special_tokens=False).ids).tobytes(), repr(t)
 
 
-def test_texts_beyond_latin_are_counted_by_distinct_pre_tokens(monkeypatch):
-    byte, lib = ByteCounter(BYTE), Tokenizer.from_file(BYTE)
+def test_pre_tokens_are_the_library_s():
+    byte, lib = BytePieces(BYTE), Tokenizer.from_file(BYTE)
+    back = {chr(c): b for b, c in byte.letters.items()}
     rng = random.Random(6)
-    texts = ["“quoted” – 5 € " * 50, "日本語 text " * 30, "слово и слово, ещё слово", "😀  ok \u2003 x\u3000", "‘it’s’ it's"]
+    texts = ["“quoted” – 5 € " * 50, "日本語 text " * 30, "слово и слово, ещё слово", "😀  ok \u2003 x\u3000", "‘it’s’ it's", "plain words and plain words"]
     texts += ["".join(rng.choice(["я", "’", "–", " ", "  ", "\n", "'s", "7", "٣", "語", "\u2009", "é", "x", "<"]) for _ in range(rng.randrange(40))) + "€" for _ in range(2000)]
-    want = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
-    monkeypatch.setattr(byte, "by_library", None)
-    assert [byte.count(t) for t in texts] == want
-    assert set(byte.sizes) == {p for t in texts for p, _ in lib.pre_tokenizer.pre_tokenize_str(t)}
+    for t in texts:
+        want = Counter(bytes(back[c] for c in p).decode() for p, _ in lib.pre_tokenizer.pre_tokenize_str(t))
+        got = byte.frequencies(t)
+        assert got == want
+        assert sum(n * byte.size(p) for p, n in got.items()) == len(lib.encode(t, add_special_tokens=False).ids)
 
 
-def test_counts(spark):
-    rows = [(1, None), (2, ""), (2, "a b"), (None, "x"), (3, "word " * 600)]
-    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_tokens int")
+@pytest.mark.parametrize("head", [0, 3, 500_000])
+def test_counts(spark, head):
+    rows = [(1, None), (2, ""), (2, "a b"), (2, "a b"), (None, "x"), (3, "word " * 60000), (4, "=" * 900 + " " + "=" * 900), (5, "a<|endoftext|>b <|startoftext|>"), (6, "語 “x” 語"), (7, "=" * 900)]
+    rows += [(10 + i, t) for i, t in enumerate(ODD)]
+    docs = spark.createDataFrame([(i, t, 7, "k") for i, t in rows], "doc_id long, text string, n_tokens int, key string").withColumns({"rid": F.lit("r"), "pieces": F.lit(1), "known": F.lit(2)})
     lib = Tokenizer.from_file(BYTE)
-    got = token_counts.count_tokens(docs, BYTE).collect()
-    want = [(i, len((t or "").encode()), len(lib.encode(t or "").ids)) for i, t in rows]
-    assert [tuple(r)[:3] for r in got] == want
-    assert [r.over_limit for r in got] == [n > 512 for _, _, n in want]
-    assert token_counts.count_tokens(docs.limit(0), BYTE).count() == 0
+    got = token_counts.count_tokens(docs, BYTE, head=head).collect()
+    want = [(i, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in rows]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert token_counts.count_tokens(docs.limit(0), BYTE, head=head).count() == 0
+
+
+def test_dictionary_counts_each_pre_token_once(spark):
+    docs = spark.createDataFrame([("the cat the cat",), ("the cat",), (None,), ("=" * 100,)], "text string")
+    got = {r.key: (r.pieces, r.n) for r in token_counts.dictionary(docs, BYTE).collect()}
+    assert {k: v for k, v in got.items() if len(k) < 60} == {"the": (1, 2), " cat": (1, 3), " the": (1, 1)} and len(got) == 4
+    known = spark.createDataFrame([(str(i), 1, i) for i in range(1, 65)], "key string, pieces long, n long")
+    for head in (0, 1, 2, 32, 33, 34, 64, 1000):
+        least = token_counts._least(known, head)
+        assert known.where(f"n >= {least}").count() <= head and (least == 1 or known.where(f"n >= {least // 2}").count() > head)
 
 
 def best_fit_decreasing(items, capacity):
