@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
@@ -86,3 +87,11 @@ def meet(rows: DataFrame, small: DataFrame, keys: list[str], most: int = MAX_BRO
 
 def total_and(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows from a table written in the shared folder: like a checkpoint, but later scans read only the columns that they need."""
+    spark = df.sparkSession
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

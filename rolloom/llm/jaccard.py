@@ -11,8 +11,13 @@ link share T = ceil(4 (m + n) / 9) shingles, and at most ceil(0.8 n) - 1 of them
 in the long lists of the class whose short lists end first, so they meet in at
 least T - max(ceil(0.8 m), ceil(0.8 n)) + 1 short lists. The short lists are merged
 by a sorted shuffle that counts how often two classes meet; candidates that reach
-the bound are decided by binary probes of one class's shingles in the sorted
-shingles of the other. Long lists are never built.
+the bound are decided by binary probes: whether a class is in the long list of a
+shingle is whether the shingle is in the class's sorted set, so long lists are
+never built.
+
+Texts are hashed once. What later steps need of a class is the first part of its
+set in hash order (its head, two fifths of it), kept as a table in the shared
+folder. Only texts whose head holds too few rare shingles, and those of candidates, are read again.
 
 Frequent shingles (a passage in every third text) would make long merges. They
 are counted first, over each text's first shingles in hash order and, where some of
@@ -24,19 +29,24 @@ of other shingles stay short, and their pairs are counted in one shuffle.
 Two classes that meet in no short list of a rare shingle can link only if both
 have frequent shingles among their first p, that is, consist of frequent
 shingles by four fifths: members of large groups of near copies. These classes
-are gathered by the frequent shingles that they share and compared inside tasks
-of bounded size: a group is cut into chunks by its number of shingles, and each
-pair of chunks is one task's work, so a hot group spreads over the cluster. A
-task builds its own lists and runs DivideSkip in them: short lists are merged by
-counting, candidates with at least T - L occurrences are probed in the L long
+are gathered by the frequent shingles that they share. In each such group a few
+classes are pivots, and every member is compared with them: members that link to one
+pivot are one part, in a pass that is linear in the group. What is left are links
+between parts. Jaccard distances obey the triangle inequality, so a member can link
+into another part only if its distance from each pivot is within 0.2 of a distance
+that occurs there; all others are done. The few members left are cut into chunks by
+their number of shingles, and each pair of chunks of different parts is one task's
+work. A task builds its own lists and runs DivideSkip in them: short lists are merged
+by counting, candidates with at least T - L occurrences are probed in the L long
 lists, and candidates already known to be in the query's component are skipped.
 A task returns at most one link per class, never all pairs of a group.
 
 Defined results: null and empty texts and texts of white space have an empty set and
 are linked with nothing; shorter texts are one shingle; texts that occur again
 are copies, also under the same id; null ids take part and are never the smallest
-id unless there is no other; an empty table gives an empty result; other columns
-are ignored. The scan of ``docs`` must give the same rows in the same partitions
+id unless there is no other; very long texts are hashed whole; ties need no order, as
+links are symmetric; an empty table gives an empty result; other columns are ignored,
+whatever their names. The scan of ``docs`` must give the same rows in the same partitions
 when read again (any file source does).
 """
 
@@ -49,7 +59,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from rolloom.llm.columns import meet, written
 from rolloom.session import materialize, prepare
 
 SHINGLE = 5
@@ -60,6 +72,8 @@ MAX_FREQUENT = 2_000_000
 REACH = 4
 #: Shingles of a chunk of a group of near copies; a task compares two chunks.
 CHUNK = 1_000_000
+#: Pivots of a group of near copies, and bytes of all pivots up to which they are broadcast.
+PIVOTS, PIVOT_BYTES = 8, 64 << 20
 #: Classes up to which their row numbers are broadcast to fetch texts; beyond, a shuffled join does it.
 MAX_BROADCAST = 2_000_000
 
@@ -134,30 +148,41 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingles(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64())], names=["doc_id", "rid", "n", "class"])
+def _first(n: int) -> int:
+    """Short lists of a class of n shingles."""
+    return n - _ceil(n) + 1
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The distinct non-empty sets of each batch that the partition has not had, by class."""
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and class of each text's set; its head where the partition has not had the class."""
     seen: set[int] = set()
     for b in batches:
-        out = []
-        for t in b.column(0).to_pylist():
-            s = shingles(t)
-            if len(s) and (c := _class_of(s)) not in seen:
-                seen.add(c)
-                out.append((c, s))
-        yield out
+        n, names, heads = [], [], []
+        for t in b.column(1):
+            s = shingles(t.as_py())
+            c = _class_of(s)
+            n.append(len(s))
+            names.append(c)
+            heads.append(s[: 2 * _first(len(s)) + SHINGLE].tobytes() if len(s) and c not in seen else None)
+            seen.add(c)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(heads, pa.binary())], names=["doc_id", "rid", "n", "class", "head"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """class, size and the first part of the set of rows (class, n, set)."""
+    for b in batches:
+        yield [(c, n, np.frombuffer(s, np.uint64)) for c, n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+
+
+def _counted(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if parts:
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        yield pa.RecordBatch.from_arrays([_signed(h), pa.array(n.astype(np.int64))], names=["h", "n"])
 
 
 def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for sets in _sets(batches):
-        if sets:
-            h, n = np.unique(np.concatenate([s[: len(s) - _ceil(len(s)) + 1] for _, s in sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+    for sets in _parts(batches):
+        yield from _counted([s[: _first(n)] for _, n, s in sets])
 
 
 def _among(s: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -235,9 +260,7 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x != last:
                 last, own = x, shingles(ta.as_py())
             other = shingles(tb.as_py())
-            few, many = sorted((own, other), key=len)
-            at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-            both = int((many[at] == few).sum())
+            both = _shared(own, other)
             keep[i] = 100 * both >= 80 * (len(own) + len(other) - both)
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
@@ -307,24 +330,74 @@ def _block(pdf):
     """Links of one task: all pairs of a chunk, or pairs across two chunks."""
     import pandas as pd
 
+    across = pdf["x"].iloc[0] != pdf["y"].iloc[0]
     sides = pdf["side"].tolist()
-    links = divide_skip([np.frombuffer(x, np.uint64) for x in pdf["set"]], sides if len(set(sides)) > 1 else None) if len(pdf) > 1 else []
+    links = divide_skip([np.frombuffer(x, np.uint64) for x in pdf["set"]], sides if across else None) if len(pdf) > 1 and (not across or len(set(sides)) > 1) else []
     names = pdf["class"].to_numpy()
     return pd.DataFrame({"a": [names[i] for i, _ in links], "b": [names[j] for _, j in links]}, dtype="int64")
 
 
-def near_copies(heavy: DataFrame, chunk: int) -> DataFrame:
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Members that two sorted sets share, by binary probes of the smaller one in the other."""
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    return int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+
+
+def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distances of rows (label, class, n, set, pivots) from the pivots of their group, and the pivots that they link to."""
+    last, sets = None, []
+    for b in batches:
+        distances, linked = [], []
+        for label, s, pivots in zip(b.column(0).to_pylist(), b.column(3), b.column(4), strict=True):
+            if label != last:
+                last, sets = label, [(p["class"], np.frombuffer(p["set"], np.uint64)) for p in pivots.as_py()]
+            own, d, names = np.frombuffer(s.as_py(), np.uint64), [], []
+            for name, other in sets:
+                both = _shared(own, other)
+                d.append(1 - both / (len(own) + len(other) - both))
+                if 100 * both >= 80 * (len(own) + len(other) - both):
+                    names.append(name)
+            distances.append(d)
+            linked.append(names)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(distances, pa.list_(pa.float64())), pa.array(linked, pa.list_(pa.int64()))], names=["label", "class", "n", "d", "linked"])
+
+
+def near_copies(heavy: DataFrame, chunk: int, n_pivots: int = PIVOTS) -> DataFrame:
     """Links (a, b) among classes (class, n, tokens, set) that share a token."""
     rows = heavy.select("class", F.explode("tokens").alias("token"))
     first = rows.groupBy("token").agg(F.min("class").alias("first"), F.count("*").alias("c")).where("c > 1").select("token", "first")
     edges = rows.join(first, "token").where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
-    labels = components(edges)
-    named = heavy.join(labels, "class").select("label", "class", "n", "set")
-    chunks = named.groupBy("label").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
-    named = named.join(chunks, "label").withColumn("side", F.pmod(F.hash("class"), F.col("chunks")))
-    tasks = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tasks = tasks.select("label", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "class", "side", "set")
-    return materialize(tasks.groupBy("label", "x", "y").applyInPandas(_block, "a long, b long"))
+    named = materialize(heavy.join(components(edges), "class").select("label", "class", "n", "set"))
+
+    # Pivots: at most ``n_pivots`` a group, by the hash of their class.
+    by = Window.partitionBy("label").orderBy(F.xxhash64("class"), "class")
+    chosen = named.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n_pivots)
+    pivots = materialize(chosen.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("class", "set"))).alias("pivots")))
+    size = pivots.select(F.sum(F.aggregate("pivots", F.lit(0).cast("long"), lambda a, p: a + F.length(p["set"])))).first()[0] or 0
+    seen = meet(named, pivots, ["label"], 1 << 62 if size <= PIVOT_BYTES else 0).select("label", "class", "n", "set", "pivots")
+    seen = materialize(seen.mapInArrow(_to_pivots, "label long, class long, n long, d array<double>, linked array<long>"))
+    links = materialize(seen.select(F.col("class").alias("a"), F.explode("linked").alias("b")))
+
+    # Parts of a group: what its pivots hold together, and the rest (null).
+    parts = components(links).withColumnRenamed("label", "part")
+    members = materialize(seen.drop("linked").join(parts, "class", "left"))
+    at = members.select("label", "part", "n", F.posexplode("d").alias("p", "x")).groupBy("label", "part", "p").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    ranges = at.groupBy("label", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "low", "high"))), lambda r: F.struct(r["low"].alias("low"), r["high"].alias("high"))).alias("ranges"))
+    sizes = members.groupBy("label", "part").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
+    both = meet(sizes, ranges, ["label", "part"])
+    before = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("start", F.coalesce(F.sum("chunks").over(before), F.lit(0)).cast("int"))
+    groups = both.groupBy("label").agg(F.collect_list(F.struct("part", "start", "chunks", "ranges")).alias("groups")).where((F.size("groups") > 1) | F.exists("groups", lambda g: g["part"].isNull()))
+    near = meet(members, groups, ["label"])
+    # Bounds are a little wider than 0.2, for the rounding of distances.
+    reaches = lambda g: F.forall(F.zip_with(F.col("d"), g["ranges"], lambda x, r: (x >= r["low"] - 0.2000001) & (x <= r["high"] + 0.2000001)), lambda ok: ok)
+    others = F.filter("groups", lambda g: (~g["part"].eqNullSafe(F.col("part")) | g["part"].isNull()) & reaches(g))
+    own = F.filter("groups", lambda g: g["part"].eqNullSafe(F.col("part")))[0]
+    near = near.select("label", "class", own.alias("own"), F.flatten(F.transform(others, lambda g: F.sequence(g["start"], g["start"] + g["chunks"] - 1))).alias("others"))
+    near = near.where(F.size("others") > 0).withColumn("side", F.col("own.start") + F.pmod(F.hash("class"), F.col("own.chunks")))
+    near = near.select("class", "side", F.explode("others").alias("other")).join(named.select("label", "class", "set"), "class")
+    tasks = near.select("label", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "class", "side", "set")
+    return links.unionByName(materialize(tasks.groupBy("label", "x", "y").applyInPandas(_block, "a long, b long")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -352,83 +425,99 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (a, b) that link."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class"))
+def _texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """class and text of the rows wanted (class, rid)."""
+    wanted = materialize(wanted)
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text")).join(wanted, "rid").select("class", "text")
-    texts = materialize(texts)
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text")).join(wanted, "rid").select("class", "text")
+
+
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (a, b) that link."""
+    texts = materialize(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class"), text_col))
     rows = pairs.select("a", "b").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a")
     return materialize(rows.select("a", "b", "ta", "tb").mapInArrow(_decided, "a long, b long"))
 
 
+def _rare_and_frequent(n: int, s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rare and frequent shingles among a class's first ones, from the first part of its set; whether that part is enough to tell."""
+    common, p = _among(s, frequent), _first(n)
+    rare = s[~common][:p]
+    return rare, s[common][: p - len(rare)], len(rare) == p or len(s) == n
+
+
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_frequent: int = MAX_FREQUENT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, with its class, its component's label (null for empty sets) and its row number (rid)."""
     spark = prepare(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
-    nodes = materialize(ids.mapInArrow(_nodes, "doc_id long, rid long, n long, class long"))
-    texts = docs.select(F.col(text_col).alias("text"))
+    nodes = written(ids.mapInArrow(_nodes, "doc_id long, rid long, n long, class long, head binary"))
+    heads = nodes.where("head IS NOT NULL").select("class", "n", "head")
 
     def counted(rows: DataFrame) -> np.ndarray:
         found = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_frequent, "h long, n long")
         top = found.orderBy(F.desc("n"), "h").limit(max_frequent).select("h").toArrow()
         return np.sort(top.column("h").to_numpy().astype(np.int64).view(np.uint64))
 
-    first = spark.sparkContext.broadcast(counted(texts.mapInArrow(_prefix_counts, "h long, n long")))
+    first = spark.sparkContext.broadcast(counted(heads.mapInArrow(_prefix_counts, "h long, n long")))
     _release(spark)
 
     def next_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _sets(batches):
+        for sets in _parts(batches):
             found = []
-            for _, s in sets:
-                p = len(s) - _ceil(len(s)) + 1
+            for _, n, s in sets:
+                p = _first(n)
                 if f := int(_among(s[:p], first.value).sum()):
                     found.append(s[p : p + REACH * f])
-            if found:
-                h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+            yield from _counted(found)
 
-    late = counted(texts.mapInArrow(next_counts, "h long, n long")) if len(first.value) else first.value
+    late = counted(heads.mapInArrow(next_counts, "h long, n long")) if len(first.value) else first.value
     shared = spark.sparkContext.broadcast(np.union1d(first.value, late))
     _release(spark)
 
-    def split(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A set's rare and frequent shingles among its first ones."""
-        common, p = _among(s, shared.value), len(s) - _ceil(len(s)) + 1
-        rare = s[~common][:p]
-        return rare, s[common][: p - len(rare)]
+    def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets in _parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, n, s in sets if not _rare_and_frequent(n, s, shared.value)[2]], pa.int64())], names=["class"])
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "n", "set"])
 
     def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _sets(batches):
-            rare = [split(s)[0] for _, s in sets]
-            if rare:
-                lengths = [len(x) for x in rare]
+        for sets in _parts(batches):
+            found = [(c, n, rare) for c, n, s in sets for rare, _, enough in [_rare_and_frequent(n, s, shared.value)] if enough]
+            if found:
+                lengths = [len(x) for _, _, x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate(rare)), pa.array(np.repeat(np.array([c for c, _ in sets], np.int64), lengths)), pa.array(np.repeat(np.array([len(s) for _, s in sets], np.int64), lengths))], names=["h", "class", "n"])
+                    [_signed(np.concatenate([x for _, _, x in found])), pa.array(np.repeat(np.array([c for c, _, _ in found], np.int64), lengths)), pa.array(np.repeat(np.array([n for _, n, _ in found], np.int64), lengths))], names=["h", "class", "n"])
 
     def frequent_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _sets(batches):
-            found = [(c, s, t) for c, s in sets if len(t := split(s)[1])]
+        for sets in _parts(batches):
+            found = [(c, n, t, s) for c, n, s in sets for _, t, enough in [_rare_and_frequent(n, s, shared.value)] if enough and len(t)]
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _, _ in found], pa.int64()), pa.array([len(s) for _, s, _ in found], pa.int64()), pa.array([t.view(np.int64) for _, _, t in found], pa.list_(pa.int64())), pa.array([s.tobytes() for _, s, _ in found], pa.binary())],
+                    [pa.array([c for c, _, _, _ in found], pa.int64()), pa.array([n for _, n, _, _ in found], pa.int64()), pa.array([t.view(np.int64) for _, _, t, _ in found], pa.list_(pa.int64())), pa.array([s.tobytes() for _, _, _, s in found], pa.binary())],
                     names=["class", "n", "tokens", "set"])
 
-    pairs = texts.mapInArrow(short_lists, "h long, class long, n long").repartition("h").sortWithinPartitions("h", "class").mapInArrow(_pairs, "a long, b long, na long, nb long")
+    reps = nodes.where("n > 0").groupBy("class").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id"))
+    reps = materialize(reps)
+    again = heads.mapInArrow(unsettled, "class long").distinct().join(reps.select("class", "rid"), "class")
+    known = heads.withColumnRenamed("head", "set").unionByName(written(_texts(docs, again, text_col).mapInArrow(whole_sets, "class long, n long, set binary")))
+
+    pairs = known.mapInArrow(short_lists, "h long, class long, n long").repartition("h").sortWithinPartitions("h", "class").mapInArrow(_pairs, "a long, b long, na long, nb long")
     need = F.greatest(F.lit(1), F.ceil(4 * (F.col("na") + F.col("nb")) / 9) - F.greatest(F.ceil(4 * F.col("na") / 5), F.ceil(4 * F.col("nb") / 5)) + 1)
     pairs = materialize(pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("a", "b"))
     _release(spark)
-    reps = nodes.where("n > 0").groupBy("class").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id"))
-    links = _verified(docs, reps, pairs, text_col)
+    links = _verified(docs, reps.select("class", "rid"), pairs, text_col)
 
-    heavy = texts.mapInArrow(frequent_sets, "class long, n long, tokens array<long>, set binary")
+    heavy = known.mapInArrow(frequent_sets, "class long, n long, tokens array<long>, set binary")
     heavy = materialize(heavy.groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("set").alias("set")))
     labels = components(links.unionByName(near_copies(heavy, chunk)))
     _release(spark)
 
     named = reps.join(labels, "class", "left").select("class", "first_id", F.coalesce("label", "class").alias("label"))
-    first = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_class = materialize(named.join(first, "label").select("class", "component_id", "label"))
+    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    by_class = materialize(named.join(least, "label").select("class", "component_id", "label"))
     linked = nodes.where("n > 0").join(by_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class", "label", "rid")
     return linked.unionByName(nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "class", F.lit(None).cast("long").alias("label"), "rid"))

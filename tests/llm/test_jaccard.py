@@ -84,3 +84,39 @@ def test_divide_skip_finds_all_components():
                 if (not sides or sides[i] != sides[j]) and 100 * len(a & b) >= 80 * len(a | b):
                     want.join(i, j)
         assert [roots.of(i) for i in range(120)] == [want.of(i) for i in range(120)]
+
+
+def test_near_copies_find_all_components(spark):
+    """Two families with texts between them, loose texts, and a family of its own, all sharing a token."""
+    rng = random.Random(9)
+    one, two = list(range(100)), list(range(38, 100)) + list(range(200, 238))
+    sets = []
+    for i in range(260):
+        base = one if i < 110 else two if i < 200 else [x if rng.random() < 0.5 else y for x, y in zip(one, two)] if i < 245 else rng.sample(range(400), 60)
+        noise = rng.choice([0.0, 0.03, 0.08, 0.15])
+        sets.append(sorted({x for x in base if rng.random() > noise} | {500} | set(rng.sample(range(300, 340), rng.randrange(4)))))
+    rows = [(i, len(s), [1 if i % 2 else 7, 8], bytearray(np.array(s, np.uint64).tobytes())) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "class long, n long, tokens array<long>, set binary")
+    want = jaccard._Roots(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = set(sets[i]), set(sets[j])
+            if 100 * len(a & b) >= 80 * len(a | b):
+                want.join(i, j)
+    for chunk, pivots in ((1500, 3), (10**6, 8), (400, 1)):
+        roots = jaccard._Roots(len(sets))
+        for r in jaccard.near_copies(df, chunk, pivots).collect():
+            a, b = set(sets[r.a]), set(sets[r.b])
+            assert 100 * len(a & b) >= 80 * len(a | b)
+            roots.join(r.a, r.b)
+        assert [roots.of(i) for i in range(len(sets))] == [want.of(i) for i in range(len(sets))]
+    assert len({want.of(i) for i in range(len(sets))}) > 3
+
+
+def test_a_large_family_is_linked_in_one_pass(spark):
+    """Nothing is left for the pairs of chunks where all members link to a pivot."""
+    rng = random.Random(10)
+    sets = [sorted(set(range(200)) - set(rng.sample(range(200), 3))) for _ in range(4000)]
+    df = spark.createDataFrame([(i, len(s), [5], bytearray(np.array(s, np.uint64).tobytes())) for i, s in enumerate(sets)], "class long, n long, tokens array<long>, set binary")
+    links = jaccard.near_copies(df, 2000, 4).collect()
+    assert len(links) <= 4 * 4000 and {r.a for r in links} == set(range(4000)) and len({r.b for r in links}) == 4
