@@ -7,22 +7,22 @@ rank. Gaps (the sequences that still have room) are a relation of their own,
 range-sorted by size in every round.
 
 Pieces are taken in batches, whose lengths are within a factor of two. A round is
-one of two supersteps:
+a superstep of two parts:
 
 * Successor sweep: every unplaced piece of the batch looks for the smallest gap that
   holds it, the longest pieces first, and each gap takes one piece (or as many as fit
   whatever their lengths in the batch). Pieces that want one gap are told apart by
   rank: the first pieces of a length get the gaps of a size in the gaps' own order.
   The tasks that hold the gaps then give each gap its pieces and shrink it.
-* Opening: where no gap holds any unplaced piece of the batch, the longest of them
-  open new sequences, as many as fit in each, down to ``OPENING`` times the longest
-  or to where a gap just opened would do.
+* Opening: of the pieces that no gap holds, the longest open new sequences, as many
+  as fit in each, down to a share of the longest one's length (see ``OPENING``) or to where
+  a gap just opened would do. Shorter ones wait for the next round's gaps.
 
 Rounds repeat until the batch is placed. The driver sees counts only, of pieces by
 length and of gaps by size, at most ``capacity`` of each; from these it works out which
-ranks meet which gaps. Pieces, gaps and placements stay on the executors. Each gap
-shrinks by half or more within a few rounds of a batch and a batch halves the
-lengths, so rounds grow with the logarithm of the capacity and not with the corpus.
+ranks meet which gaps. Pieces, gaps and placements stay on the executors. A batch takes
+a few rounds and halves the lengths, so rounds grow with the logarithm of the capacity
+and not with the corpus.
 
 Placements name ranks; they meet the pieces in one equality join by rank.
 
@@ -47,8 +47,10 @@ from rolloom.llm.vocab import WordEncoder, opened
 from rolloom.session import materialize, prepare
 
 SEPARATOR = 1
-#: Share of the longest unplaced length down to which pieces open sequences together.
-OPENING = 0.8
+#: Pieces open sequences together down to a share of the longest one's length: the nearer to 1, the fewer of them fit in a sequence.
+OPENING = 0.7
+#: Lengths up to which all that is left is one batch.
+SMALL = 128
 #: Gaps of a task: few while there are cores for more tasks, then many.
 FEW_GAPS, TASK_GAPS = 20_000, 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, rid long"
@@ -145,8 +147,9 @@ def openings(waiting: Runs, capacity: int, first: int) -> tuple[list[tuple[int,
     """New sequences for the longest waiting pieces: blocks (first sequence, first piece, pieces a sequence), the
     waiting runs as rows (first piece, first rank), the end of the sequences, and the runs left."""
     longest, largest, chosen, rest = waiting[0][0], 0, [], []
+    share = max(OPENING, 1 - capacity // longest / 20)
     for run in waiting:
-        if not rest and (run[0] >= OPENING * longest or run[0] > largest):
+        if not rest and (run[0] >= share * longest or run[0] > largest):
             chosen.append(run)
             largest = max(largest, capacity - capacity // run[0] * run[0])
         else:
@@ -223,6 +226,20 @@ def opened_sequences(spark: SparkSession, blocks: list, runs: np.ndarray, start:
     return spark.range(start, end, 1, -(-(end - start) // TASK_GAPS)).mapInArrow(fill, STATE)
 
 
+def _sizes(gaps: DataFrame) -> DataFrame:
+    """part, value, n: how many gaps of a size each partition of the range-sorted gaps holds."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], int] = {}
+        for b in batches:
+            for v, n in zip(*np.unique(b.column(0).to_numpy(), return_counts=True), strict=True):
+                key = (b.column(1)[0].as_py(), int(v))
+                found[key] = found.get(key, 0) + int(n)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([v for _, v in found], pa.int64()), pa.array(found.values(), pa.int64())], names=["part", "value", "n"])
+
+    return gaps.select("value", F.spark_partition_id().alias("part")).mapInArrow(counted, "part int, value long, n long")
+
+
 def placements(spark: SparkSession, counts: dict[int, int], capacity: int) -> list[DataFrame]:
     """The rounds: together they hold the placement of every piece (and gaps, with rank -1), given how many pieces there are of each length."""
     lengths, least = Lengths(counts), min(counts)
@@ -237,36 +254,36 @@ def placements(spark: SparkSession, counts: dict[int, int], capacity: int) -> li
         """Open gaps, range-sorted; and their counts, from which the driver knows the first of each size in each partition."""
         n = max(min(spark.sparkContext.defaultParallelism, -(-sequences // FEW_GAPS)), -(-sequences // TASK_GAPS))
         rows = rows.where((F.col("rank") < 0) & (F.col("value") >= least)).select("sequence_id", "value")
-        rows = materialize(rows.repartitionByRange(n, "value", "sequence_id").sortWithinPartitions("value", "sequence_id"))
+        rows = rows.repartitionByRange(n, "value", "sequence_id") if n > 1 else rows.coalesce(1)
+        rows = materialize(rows.sortWithinPartitions("value", "sequence_id"))
         sizes.clear()
         first.clear()
-        for r in sorted(rows.groupBy(F.spark_partition_id().alias("part"), "value").count().collect(), key=lambda r: r.part):
+        for r in sorted(_sizes(rows).collect(), key=lambda r: r.part):
             first[r.part, r.value] = sizes.get(r.value, 0)
-            sizes[r.value] = sizes.get(r.value, 0) + r["count"]
+            sizes[r.value] = sizes.get(r.value, 0) + r.n
         return rows
 
     while at < len(runs):
-        low = (runs[at][0] + 1) // 2
+        low = (runs[at][0] + 1) // 2 if runs[at][0] > SMALL else 1
         waiting = []
         while at < len(runs) and runs[at][0] >= low:
             waiting.append(runs[at])
             at += 1
         while waiting:
-            longest = waiting[0][0]
+            longest, step = waiting[0][0], []
             rules, rest = meetings({k: n for k, n in sizes.items() if k >= waiting[-1][0]}, waiting)
             if rules:
-                step = swept(gaps, rules, longest, dict(first), lengths, capacity)
-                out.append(step)
-            else:
+                step.append(swept(gaps, rules, longest, dict(first), lengths, capacity))
+            elif gaps is not None:
+                step.append(gaps.select(F.lit(-1).cast("long").alias("rank"), "sequence_id", "value"))
+            if rest:
                 start = sequences
-                blocks, table, sequences, rest = openings(waiting, capacity, sequences)
-                step = opened_sequences(spark, blocks, table, start, sequences, lengths, capacity)
-                out.append(step)
-                if gaps is not None:
-                    step = step.unionByName(gaps.select(F.lit(-1).cast("long").alias("rank"), "sequence_id", "value"))
+                blocks, table, sequences, rest = openings(rest, capacity, sequences)
+                step.append(opened_sequences(spark, blocks, table, start, sequences, lengths, capacity))
+            out += step if rules or gaps is None else step[1:]
             waiting = rest
             if waiting or at < len(runs):
-                gaps = settled(step)
+                gaps = settled(reduce(DataFrame.unionByName, step))
     return out
 
 

@@ -108,6 +108,7 @@ def test_meetings_are_successor_sweeps():
 @pytest.mark.parametrize("kind", ["mixed", "tiny", "middle", "one length", "long"])
 def test_rounds_place_every_rank(spark, monkeypatch, kind):
     monkeypatch.setattr(packing, "TASK_GAPS", 40)  # several partitions
+    monkeypatch.setattr(packing, "SMALL", 6)
     rng = random.Random(kind)
     draw = {"mixed": lambda: rng.choice([1, 5, 30, 64, rng.randrange(1, 65)]), "tiny": lambda: rng.randrange(1, 4), "middle": lambda: rng.randrange(15, 40), "one length": lambda: 22, "long": lambda: rng.randrange(33, 65)}[kind]
     items = sorted((draw() for _ in range(600)), reverse=True)
