@@ -462,48 +462,60 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     first = spark.sparkContext.broadcast(counted(heads.mapInArrow(_prefix_counts, "h long, n long")))
     _release(spark)
 
+    def short_of(n: int, s: np.ndarray) -> bool:
+        """Whether a head ends before the shingles that would take the places of its frequent ones."""
+        return len(s) < n and _first(n) + REACH * int(_among(s[: _first(n)], first.value).sum()) > len(s)
+
     def next_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _parts(batches):
             found = []
             for _, n, s in sets:
                 p = _first(n)
-                if f := int(_among(s[:p], first.value).sum()):
+                if (f := int(_among(s[:p], first.value).sum())) and not short_of(n, s):
                     found.append(s[p : p + REACH * f])
             yield from _counted(found)
 
-    late = counted(heads.mapInArrow(next_counts, "h long, n long")) if len(first.value) else first.value
-    shared = spark.sparkContext.broadcast(np.union1d(first.value, late))
-    _release(spark)
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets in _parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, n, s in sets if short_of(n, s)], pa.int64())], names=["class"])
 
     def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _parts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, n, s in sets if not _rare_and_frequent(n, s, shared.value)[2]], pa.int64())], names=["class"])
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, n, s in sets if not short_of(n, s) and not _rare_and_frequent(n, s, shared.value)[2]], pa.int64())], names=["class"])
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "n", "set"])
 
+    def settled(sets: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """class, size, part of the set, rare and frequent shingles of what need not be read again."""
+        return [(c, n, s, rare, common) for c, n, s in sets if not short_of(n, s) for rare, common, enough in [_rare_and_frequent(n, s, shared.value)] if enough]
+
     def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _parts(batches):
-            found = [(c, n, rare) for c, n, s in sets for rare, _, enough in [_rare_and_frequent(n, s, shared.value)] if enough]
-            if found:
-                lengths = [len(x) for _, _, x in found]
+            if found := settled(sets):
+                lengths = [len(x[3]) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate([x for _, _, x in found])), pa.array(np.repeat(np.array([c for c, _, _ in found], np.int64), lengths)), pa.array(np.repeat(np.array([n for _, n, _ in found], np.int64), lengths))], names=["h", "class", "n"])
+                    [_signed(np.concatenate([x[3] for x in found])), pa.array(np.repeat(np.array([x[0] for x in found], np.int64), lengths)), pa.array(np.repeat(np.array([x[1] for x in found], np.int64), lengths))], names=["h", "class", "n"])
 
     def frequent_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _parts(batches):
-            found = [(c, n, t, s) for c, n, s in sets for _, t, enough in [_rare_and_frequent(n, s, shared.value)] if enough and len(t)]
-            if found:
+            if found := [x for x in settled(sets) if len(x[4])]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _, _, _ in found], pa.int64()), pa.array([n for _, n, _, _ in found], pa.int64()), pa.array([t.view(np.int64) for _, _, t, _ in found], pa.list_(pa.int64())), pa.array([s.tobytes() for _, _, _, s in found], pa.binary())],
+                    [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[4].view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([x[2].tobytes() for x in found], pa.binary())],
                     names=["class", "n", "tokens", "set"])
 
-    reps = nodes.where("n > 0").groupBy("class").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id"))
-    reps = materialize(reps)
-    again = heads.mapInArrow(unsettled, "class long").distinct().join(reps.select("class", "rid"), "class")
-    known = heads.withColumnRenamed("head", "set").unionByName(written(_texts(docs, again, text_col).mapInArrow(whole_sets, "class long, n long, set binary")))
+    def read_again(classes: DataFrame) -> DataFrame:
+        wanted = classes.distinct().join(reps.select("class", "rid"), "class")
+        return written(_texts(docs, wanted, text_col).mapInArrow(whole_sets, "class long, n long, set binary"))
+
+    reps = materialize(nodes.where("n > 0").groupBy("class").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id")))
+    known = heads.withColumnRenamed("head", "set").unionByName(read_again(heads.mapInArrow(lacking, "class long")))
+    late = counted(known.mapInArrow(next_counts, "h long, n long")) if len(first.value) else first.value
+    shared = spark.sparkContext.broadcast(np.union1d(first.value, late))
+    _release(spark)
+    known = known.unionByName(read_again(heads.mapInArrow(unsettled, "class long")))
 
     pairs = known.mapInArrow(short_lists, "h long, class long, n long").repartition("h").sortWithinPartitions("h", "class").mapInArrow(_pairs, "a long, b long, na long, nb long")
     need = F.greatest(F.lit(1), F.ceil(4 * (F.col("na") + F.col("nb")) / 9) - F.greatest(F.ceil(4 * F.col("na") / 5), F.ceil(4 * F.col("nb") / 5)) + 1)

@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rolloom.llm import packing, token_counts
+from rolloom.llm import packing, token_counts, vocab
 from rolloom.llm.vocab import BytePieces, WordEncoder
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -19,16 +19,29 @@ ODD = [
 ]
 
 
-def test_equal_to_the_library():
+def frequencies(byte, texts):
+    out = []
+    for block in byte.blocks(texts):
+        own = [Counter(o) for o in block.others]
+        for i, j in zip(block.doc, block.at):
+            own[i].update(byte.of_word(block.words[j]))
+        out += own
+    return out
+
+
+def test_equal_to_the_library(monkeypatch):
     byte, word = BytePieces(BYTE), WordEncoder(WORD)
     lib_b, lib_w = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
     rng = random.Random(5)
     letters = [chr(c) for c in range(0x180)]
     texts = ODD + letters + [f"a{c}b {c}c" for c in letters]
     texts += ["".join(rng.choice(["a", "B", " ", " ", "\n", "'s", "!", "7", "é", "\t", "\xa0", "ll", "'ll"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
-    for t in texts:
-        assert sum(n * byte.size(p) for p, n in byte.frequencies(t).items()) == len(lib_b.encode(t, add_special_tokens=False).ids), repr(t)
-        assert word.encode(t) == array("I", lib_w.encode(t, add_special_tokens=False).ids).tobytes(), repr(t)
+    for size in (1, 200, 1 << 22):
+        monkeypatch.setattr(vocab, "SLICE", size)
+        for t, found in zip(texts, frequencies(byte, texts), strict=True):
+            assert sum(n * byte.size(p) for p, n in found.items()) == len(lib_b.encode(t, add_special_tokens=False).ids), repr(t)
+        for t, ids in zip(texts, word.encode_all(texts), strict=True):
+            assert ids.tolist() == lib_w.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_pre_tokens_are_the_library_s():
@@ -37,9 +50,8 @@ def test_pre_tokens_are_the_library_s():
     rng = random.Random(6)
     texts = ["“quoted” – 5 € " * 50, "日本語 text " * 30, "слово и слово, ещё слово", "😀  ok \u2003 x\u3000", "‘it’s’ it's", "plain words and plain words"]
     texts += ["".join(rng.choice(["я", "’", "–", " ", "  ", "\n", "'s", "7", "٣", "語", "\u2009", "é", "x", "<"]) for _ in range(rng.randrange(40))) + "€" for _ in range(2000)]
-    for t in texts:
+    for t, got in zip(texts, frequencies(byte, texts), strict=True):
         want = Counter(bytes(back[c] for c in p).decode() for p, _ in lib.pre_tokenizer.pre_tokenize_str(t))
-        got = byte.frequencies(t)
         assert got == want
         assert sum(n * byte.size(p) for p, n in got.items()) == len(lib.encode(t, add_special_tokens=False).ids)
 
