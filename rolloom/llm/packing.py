@@ -66,8 +66,8 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id"
         encoder, end, width = opened(WordEncoder, path), SEPARATOR.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             index, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = encoder.encode(text or "") + end
+            for i, found in enumerate(encoder.encode_all(t.as_py() for t in batch.column(1))):
+                ids = found.astype("<u4").tobytes() + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     index.append(i)

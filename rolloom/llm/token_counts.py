@@ -23,7 +23,7 @@ an empty table gives an empty result; other columns are ignored, whatever their
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -45,18 +45,24 @@ def _key(piece: str) -> str:
 
 
 def dictionary(texts: DataFrame, path: str) -> DataFrame:
-    """key, pieces, occurrences of every distinct pre-token of the texts (one column)."""
+    """key, pieces, n (occurrences) of every distinct pre-token of the texts (one column)."""
 
     def made(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(map(_key, held), pa.string()), pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["key", "piece", "n"])
+        # Only a long pre-token has to come along beside its key.
+        return pa.RecordBatch.from_arrays([pa.array(map(_key, held), pa.string()), pa.array((p if len(p) > KEY else None for p in held), pa.string()), pa.array(held.values(), pa.int64())], names=["key", "piece", "n"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, held = opened(BytePieces, path), Counter()
         for batch in batches:
-            for text in batch.column(0):
-                if text.is_valid:
-                    for p, n in pieces.frequencies(text.as_py()).items():
-                        held[p] += n
+            for block in pieces.blocks(t.as_py() for t in batch.column(0)):
+                get = held.get
+                for word, n in zip(block.words, np.bincount(block.at, minlength=len(block.words)).tolist(), strict=True):
+                    if n:
+                        for p in pieces.of_word(word):
+                            held[p] = get(p, 0) + n
+                for counts in block.others:
+                    for p, n in counts.items():
+                        held[p] = get(p, 0) + n
                 if len(held) > GATHERED:
                     yield made(held)
                     held = Counter()
@@ -65,10 +71,11 @@ def dictionary(texts: DataFrame, path: str) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = opened(BytePieces, path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.size(p) for p in b.column(1).to_pylist()], pa.int64()), b.column(2)], names=["key", "pieces", "n"])
+            sizes = [pieces.size(k if p is None else p) for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), b.column(2)], names=["key", "pieces", "n"])
 
-    distinct = texts.mapInArrow(gathered, "key string, piece string, n long").groupBy("key").agg(F.first("piece").alias("piece"), F.sum("n").alias("n"))
-    return materialize(distinct.select("key", "piece", "n").mapInArrow(counted, "key string, pieces long, n long"))
+    distinct = texts.mapInArrow(gathered, "key string, piece string, n long").groupBy("key", "piece").agg(F.sum("n").alias("n"))
+    return materialize(distinct.mapInArrow(counted, "key string, pieces long, n long"))
 
 
 def _least(known: DataFrame, head: int) -> int:
@@ -91,20 +98,44 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, head: int = HEAD,
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, sizes = opened(BytePieces, path), dict(zip(shared.value[0], shared.value[1].tolist(), strict=True))
+
+        def met(found: Iterable[tuple[str, int]], left: Counter) -> int:
+            """Pieces of pre-tokens that are in the head; the others go to ``left``."""
+            total = 0
+            for p, n in found:
+                size = sizes.get(p) if len(p) <= KEY else sizes.get(_key(p))
+                if size is None:
+                    left[_key(p)] += n
+                else:
+                    total += n * size
+            return total
+
         for batch in batches:
             n_bytes, total, rest = [], [], []
-            for text in batch.column(2):
-                text = text.as_py() or ""
-                n_bytes.append(len(text.encode()))
-                here, left = 0, []
-                for p, n in pieces.frequencies(text).items():
-                    size = sizes.get(p) if len(p) <= KEY else sizes.get(_key(p))
-                    if size is None:
-                        left.append({"key": _key(p), "n": n})
-                    else:
-                        here += n * size
-                total.append(here)
-                rest.append(left)
+            for block in pieces.blocks(t.as_py() for t in batch.column(2)):
+                of_word, lacking = np.zeros(len(block.words), np.int64), {}
+                for j, word in enumerate(block.words):
+                    size = sizes.get(" " + word)  # most words are one pre-token
+                    if size is None or not (word.isascii() and word.isalpha()):
+                        left: Counter = Counter()
+                        size = met(((p, 1) for p in pieces.of_word(word)), left)
+                        if left:
+                            lacking[j] = left
+                    of_word[j] = size
+                n = len(block.texts)
+                here = np.bincount(block.doc, weights=of_word[block.at], minlength=n).astype(np.int64)
+                more: list[Counter] = [Counter() for _ in range(n)]
+                flags = np.zeros(len(block.words), bool)
+                flags[list(lacking)] = True
+                hit = flags[block.at]
+                pairs, times = np.unique(block.doc[hit] * len(block.words) + block.at[hit], return_counts=True)
+                for pair, k in zip(pairs.tolist(), times.tolist(), strict=True):
+                    i, j = divmod(pair, len(block.words))
+                    for key, c in lacking[j].items():
+                        more[i][key] += c * k
+                total += [int(h) + met(o.items(), m) for h, o, m in zip(here, block.others, more, strict=True)]
+                rest += [[{"key": k, "n": c} for k, c in m.items()] for m in more]
+                n_bytes += [len(t.encode()) for t in block.texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n_bytes, pa.int64()), pa.array(total, pa.int64()), pa.array(rest, pa.list_(pa.struct([("key", pa.string()), ("n", pa.int64())])))],
                 names=["doc_id", "rid", "n_bytes", "known", "rest"])

@@ -14,6 +14,12 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters below U+0180 by Unicode class; equality with the library is tested on each of them.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
@@ -27,6 +33,8 @@ BYTE_PIECES = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+|
 WORD_PIECES = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
 #: Entries of a worker's table; it starts anew beyond.
 TABLE_SIZE = 300_000
+#: Characters of the texts that are worked on together.
+SLICE = 8 << 20
 
 
 def _byte_letters() -> dict[int, int]:
@@ -84,46 +92,114 @@ class BytePieces(Vocabulary):
             return BYTE_PIECES.findall(text)
         return [bytes(map(self.bytes.__getitem__, p)).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _of_word(self, word: str) -> list[str]:
+    def of_word(self, word: str) -> list[str]:
+        """Pre-tokens of a word that follows a blank."""
+        if word.isascii() and word.isalpha():
+            return [" " + word]
         found = self.words.get(word)
         if found is None:
+            if len(self.words) >= TABLE_SIZE:
+                self.words.clear()
             found = self.words[word] = BYTE_PIECES.findall(" " + word)
         return found
 
-    def frequencies(self, text: str) -> Counter[str]:
-        """How often each distinct pre-token occurs in a text."""
-        if UNUSUAL.search(text):
-            if self.added is None:
-                return Counter(self._whole(text))
-            return Counter(p for i, part in enumerate(self.added.split(text)) for p in ([part] if i % 2 else self._whole(part)))
-        if UNEVEN_BLANKS.search(text):
-            return Counter(BYTE_PIECES.findall(text))
-        first, *rest = text.split(" ")
-        out = Counter(BYTE_PIECES.findall(first))
-        if len(self.words) >= TABLE_SIZE:
-            self.words.clear()
-        get = out.get
-        for word, n in Counter(rest).items():
-            for p in self._of_word(word):
-                out[p] = get(p, 0) + n
-        return out
+    def whole(self, text: str) -> Counter[str]:
+        """How often each distinct pre-token occurs in a text, text by text."""
+        if self.added is None or "<|" not in text:
+            return Counter(self._whole(text))
+        return Counter(p for i, part in enumerate(self.added.split(text)) for p in ([part] if i % 2 else self._whole(part)))
+
+    def blocks(self, texts: Iterable[str | None]) -> Iterator[Block]:
+        """The texts in order, a bounded number of characters at a time."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if held and size + len(text or "") > SLICE:
+                yield self._block(held)
+                held, size = [], 0
+            held.append(text or "")
+            size += len(text or "")
+        if held:
+            yield self._block(held)
+
+    def _block(self, texts: list[str]) -> Block:
+        even = [not UNUSUAL.search(t) and not UNEVEN_BLANKS.search(t) for t in texts]
+        split = pc.split_pattern(pa.array([t if ok else "" for t, ok in zip(texts, even, strict=True)], pa.large_string()), " ")
+        ends = split.offsets.to_numpy()
+        words = split.flatten().dictionary_encode()
+        at, doc = words.indices.to_numpy(), np.repeat(np.arange(len(texts)), np.diff(ends))
+        # The first word has no blank before it.
+        later = np.ones(len(at), bool)
+        later[ends[:-1] - ends[0]] = False
+        others = [Counter(BYTE_PIECES.findall(t.partition(" ")[0])) if ok else self.whole(t) for t, ok in zip(texts, even, strict=True)]
+        return Block(texts, words.dictionary.to_pylist(), at[later], doc[later], others)
+
+
+class Block(NamedTuple):
+    """Some texts: words that follow a blank by their place among the distinct ones, and each text's further pre-tokens."""
+
+    texts: list[str]
+    words: list[str]
+    at: np.ndarray
+    doc: np.ndarray
+    others: list[Counter[str]]
 
 
 class WordEncoder(Vocabulary):
-    """Ids under a lower-case vocabulary that drops white space, as little-endian unsigned 32-bit bytes."""
-
-    def encode(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
-            return array("I", self.by_library(text)).tobytes()
-        words, out = self.words, []
-        if len(words) >= TABLE_SIZE:
-            words.clear()
-        for word in text.lower().split():
-            ids = words.get(word)
-            if ids is None:
-                ids = words[word] = array("I", [i for p in WORD_PIECES.findall(word) for i in self.piece(p)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+    """Ids under a lower-case vocabulary that drops white space."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.older: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, as bytes. Words not seen since the table was last full are forgotten."""
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isascii() and word.isalpha():
+                found = [t.id for t in self.library.model.tokenize(word)]
+            else:
+                found = [i for p in WORD_PIECES.findall(word) for i in self.piece(p)]
+            ids = array("I", found).tobytes()
+        self.words[word] = ids
+        return ids
+
+    def _latin(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts within the Latin blocks: words are told apart by Arrow, and each distinct one is worked out once."""
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        ends = split.offsets.to_numpy()
+        words = split.flatten().dictionary_encode()
+        if len(self.words) >= TABLE_SIZE:
+            self.older, self.words = self.words, {}
+        get = self.words.get
+        known = [get(w) or self._word(w) for w in words.dictionary.to_pylist()]
+        if not known:
+            return [np.empty(0, np.uint32)] * len(texts)
+        at, sizes = words.indices.to_numpy(), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        count = sizes[at]
+        stops = np.cumsum(count)
+        flat, first = np.frombuffer(b"".join(known), np.uint32), np.cumsum(sizes) - sizes
+        ids = flat[np.repeat(first[at] - (stops - count), count) + np.arange(stops[-1] if len(stops) else 0)]
+        bounds = np.r_[0, stops][ends - ends[0]]
+        return [ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, in order."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            odd = UNUSUAL.search(text) is not None
+            if held and (odd or size + len(text) > SLICE):
+                yield from self._latin(held)
+                held, size = [], 0
+            if odd:
+                yield np.array(self.by_library(text), np.uint32)
+            else:
+                held.append(text)
+                size += len(text)
+        if held:
+            yield from self._latin(held)
 
 
 _open: dict[tuple[type, str], Vocabulary] = {}
