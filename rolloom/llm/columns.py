@@ -6,13 +6,14 @@ import uuid
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.session import materialize
 
-#: Rows of a small table that may be broadcast, and the number of copies it is dealt out in beyond.
-MAX_BROADCAST, SALTS = 100_000, 32
+#: Rows of a small table that may be broadcast; beyond, keys with more than one row in so many are joined apart.
+MAX_BROADCAST, HOT = 100_000, 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,21 +69,25 @@ def total(columns: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def meet(rows: DataFrame, small: DataFrame, keys: list[str], most: int = MAX_BROADCAST) -> DataFrame:
-    """``rows`` with the columns of ``small``, which has one row for each key (nulls are equal) that occurs.
+def meet(rows: DataFrame, small: DataFrame, keys: list[str], most: int = MAX_BROADCAST, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``small``, which has at most one row for each key (nulls are equal). how: inner or left.
 
-    ``small`` is counted: up to ``most`` rows it is broadcast. Beyond, it is copied
-    ``SALTS`` times and both sides are dealt out by key and salt, so that the rows of one
-    key reach as many tasks.
+    ``small`` is counted: up to ``most`` rows it is broadcast. Beyond, keys that hold more than one row in ``HOT``
+    (there are fewer of them than ``HOT``) are joined by broadcasting their rows of ``small``, and all others by a
+    shuffle, in which no key has a larger share.
     """
     small = materialize(small.withColumnsRenamed({k: f"_{k}" for k in keys}))
     names = [*rows.columns, *[c for c in small.columns if c not in {f"_{k}" for k in keys}]]
     same = total_and(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)
     if small.count() <= most:
-        return rows.join(F.broadcast(small), same).select(*names)
-    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("_at", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    return rows.join(small, same & (F.col("_at") == F.col("_salt"))).select(*names)
+        return rows.join(F.broadcast(small), same, how).select(*names)
+    rows = materialize(rows)
+    least = rows.count() / HOT
+    hot = materialize(rows.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.count("*").alias("_c")).where(F.col("_c") > least).drop("_c"))
+    is_hot = lambda prefix: total_and(F.col(f"{prefix}{k}").eqNullSafe(F.col(f"_hot_{k}")) for k in keys)
+    few = rows.join(F.broadcast(hot), is_hot(""), "left_semi").join(F.broadcast(small.join(F.broadcast(hot), is_hot("_"), "left_semi")), same, how)
+    rest = rows.join(F.broadcast(hot), is_hot(""), "left_anti").join(small.hint("merge"), same, how)
+    return few.select(*names).unionByName(rest.select(*names))
 
 
 def total_and(conditions: Iterable[Column]) -> Column:
@@ -95,3 +100,43 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def free_name(taken: Iterable[str], wanted: str) -> str:
+    """A column name that is not taken (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in taken}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+class BitFilter:
+    """A set of 64-bit hashes as bits in the plan: what is in the set always passes, little else does.
+
+    The filter has ``BITS`` bits a hash and at most ``MOST`` bits (16 MB), however large the set is; with more
+    hashes more of the others pass, which whoever uses it must sort out by an exact test.
+    """
+
+    BITS, MOST = 64, 1 << 27
+
+    def __init__(self, hashes: DataFrame, n: int):
+        """hashes: one column of longs, of which there are about n."""
+        self.size = 64
+        while self.size < min(self.BITS * n, self.MOST):
+            self.size *= 2
+        h = F.col(hashes.columns[0])
+        places = hashes.select(F.explode(F.array(*self._places(h))).alias("p"))
+        words = places.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("w")).toArrow()
+        bits = np.zeros(self.size // 64, ">i8")
+        bits[words.column("i").to_numpy()] = words.column("w").to_numpy()
+        sc = hashes.sparkSession.sparkContext
+        array = sc._gateway.new_array(sc._jvm.long, len(bits))
+        sc._jvm.java.nio.ByteBuffer.wrap(bytearray(bits.tobytes())).asLongBuffer().get(array)
+        self.words = Column(sc._jvm.org.apache.spark.sql.functions.lit(array))
+
+    def _places(self, h: Column) -> list[Column]:
+        return [x.bitwiseAND(self.size - 1).cast("int") for x in (h, F.shiftrightunsigned(h, 32))]
+
+    def passes(self, h: Column) -> Column:
+        on = [F.getbit(F.get(self.words, F.shiftright(p, 6)), p.bitwiseAND(63)) == 1 for p in self._places(h)]
+        return on[0] & on[1]

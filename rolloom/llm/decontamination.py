@@ -1,19 +1,20 @@
 """Benchmark decontamination (DataFrame operations only).
 
 Windows of ``width`` words of the benchmark items (shorter items are one window)
-form a hash set that travels with the plan. Every text is scanned by its own
-window hashes, and places whose hash is in the set are verified: the words
-themselves are compared, by an equality join with the windows. A word is hit if a
-verified window covers it.
-
-The set is counted first. Beyond ``max_windows`` it is not broadcast: all
-windows of the texts are then shuffled and joined by hash, and the candidates are
-verified beside their text.
+form a hash set that travels with the plan, as bits (``columns.BitFilter``: a bounded
+size, whatever the number of windows). Every text is scanned by its own window
+hashes. Places that pass are verified: the words themselves are compared, by an
+equality join with the windows, which are broadcast where they are few; where they are
+many, those of hot windows still are (``columns.meet``). Only hits and what passes beside them are
+joined, so what is shuffled grows with the hits, at every size of the benchmark. A
+word is hit if a verified window covers it.
 
 Defined results: null and empty texts and items have no words; an item without
 words has no window and never occurs; repeated items with one id count once;
-null item ids are ignored; repeated rows are judged each; null ids are carried
-through; empty tables give empty results or no hits; other columns are ignored.
+null item ids are ignored; ids of items may be of any type that can be a string;
+repeated rows are judged each; nothing is ranked, so there are no ties; very long
+texts are scanned whole; null ids are carried through; empty tables give empty
+results or no hits; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +24,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.llm.columns import ascii_lower, covered, window_hashes, words
+from rolloom.llm.columns import BitFilter, ascii_lower, covered, meet, window_hashes, words
 from rolloom.session import materialize, prepare
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 13
-MAX_WINDOWS = 50_000
 
 
 def _spans(words_col: Column, places: Column, length: int) -> Column:
@@ -38,7 +38,7 @@ def _spans(words_col: Column, places: Column, length: int) -> Column:
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """gram, length, h, items: each distinct window of the benchmark with the items that hold it."""
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS).alias("w"))
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS).alias("w"))
     items = materialize(items.withColumn("length", F.least(F.size("w"), F.lit(width))).where("length > 0"))
     parts = []
     for n in sorted(r.length for r in items.select("length").distinct().collect()):
@@ -50,44 +50,32 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, item_col: str = "item
     return rows.groupBy("gram", "length", "h").agg(F.collect_set("item").alias("items"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, spans (sorted structs start, end in words) and items of every row."""
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+    """doc_id, n_words, spans (sorted structs start, end in words) and items (as strings) of every row."""
     prepare(docs.sparkSession)
-    windows = materialize(item_windows(benchmark, width))
-    lengths = sorted(r.length for r in windows.select("length").distinct().collect())
+    windows = materialize(item_windows(benchmark, width, **columns))
+    counts = {r.length: r.n for r in windows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), words(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS).alias("w"))
     rows = rows.withColumn("n_words", F.size("w").cast("long"))
-    hashed = window_hashes(rows, "w", lengths)
-    span = "struct<start:int,end:int,items:array<bigint>>"
-    if windows.count() <= max_windows:
-        found = F.lit(None).cast("array<struct<start:int,end:int,gram:string>>")
-        parts = []
-        for n in lengths:
-            known = ",".join(f"{r.h}L" if r.h != -(1 << 63) else "(-9223372036854775807L - 1L)" for r in windows.where(F.col("length") == n).select("h").distinct().collect())
-            hashed = hashed.withColumn(f"h{n}", F.expr(f"filter(transform(h{n}, (x, i) -> IF(x IN ({known}), i, NULL)), p -> p IS NOT NULL)"))
-            parts.append(_spans(F.col("w"), F.col(f"h{n}"), n))
-        places = hashed.select("rid", "doc_id", "n_words", (F.concat(*parts) if parts else found).alias("places")).select("rid", "doc_id", "n_words", F.explode_outer("places").alias("x"))
-        hits = places.join(F.broadcast(windows.groupBy("gram").agg(F.flatten(F.collect_list("items")).alias("items"))), F.col("x.gram") == F.col("gram"), "left")
-        hit = F.when(F.col("items").isNotNull(), F.struct(F.col("x.start").alias("start"), F.col("x.end").alias("end"), "items"))
-        out = hits.groupBy("rid", "doc_id", "n_words").agg(F.collect_list(hit).alias("hits"))
-    else:
-        pairs = [hashed.select("rid", F.lit(n).alias("length"), F.posexplode_outer(f"h{n}").alias("p", "h")).where("h IS NOT NULL") for n in lengths]
-        every = pairs[0]
-        for x in pairs[1:]:
-            every = every.unionByName(x)
-        near = every.join(windows, ["length", "h"]).groupBy("rid").agg(F.collect_list(F.struct("p", "length", "gram", "items")).alias("near"))
-        both = rows.join(near, "rid", "left")
-        true = F.filter("near", lambda x: F.array_join(F.slice(F.col("w"), x.p + 1, x.length), " ") == x.gram)
-        out = both.select("rid", "doc_id", "n_words", F.coalesce(F.transform(true, lambda x: F.struct(x.p.alias("start"), (x.p + x.length).alias("end"), x["items"].alias("items"))), F.array().cast(f"array<{span}>")).alias("hits"))
-    return out.select(
-        "doc_id", "n_words", F.sort_array(F.transform("hits", lambda x: F.struct(x.start.alias("start"), x.end.alias("end")))).alias("spans"),
-        F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))).alias("items"))
+    hashed = window_hashes(rows, "w", sorted(counts))
+    parts = [F.array().cast("array<struct<start:int,end:int,gram:string>>")]
+    for n in sorted(counts):
+        known = BitFilter(windows.where(F.col("length") == n).select("h"), counts[n])
+        at = F.transform(f"h{n}", lambda x, i: F.when(known.passes(x), i))  # noqa: B023
+        hashed = hashed.withColumn(f"h{n}", F.filter(at, lambda p: p.isNotNull()))
+        parts.append(_spans(F.col("w"), F.col(f"h{n}"), n))
+    scanned = materialize(hashed.select("rid", "doc_id", "n_words", F.concat(*parts).alias("places")))
+    passed = scanned.select("rid", F.explode("places").alias("x")).select("rid", "x.*")
+    by_gram = windows.groupBy("gram").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    hits = meet(passed, by_gram, ["gram"]).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return scanned.join(hits, "rid", "left").select("doc_id", "n_words", none("spans", "array<struct<start:int,end:int>>"), none("items", "array<string>"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
     rows = scan(docs, benchmark, **options).withColumn("n_hit", covered(F.col("spans")))
-    names = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
+    names = F.array_join(F.sort_array("items"), ",")
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

@@ -105,18 +105,21 @@ def test_few_symbols_where_there_are_none(spark):
     assert all(kept[i] for i in range(150)) and not any(kept[i] for i in range(150, 154))
 
 
-@pytest.mark.parametrize("most", [50_000, 10])
-def test_contamination(spark, docs, most):
+@pytest.mark.parametrize("most, small_side", [(1 << 27, 100_000), (64, 100_000), (1 << 27, 0)])
+def test_contamination(spark, docs, monkeypatch, most, small_side):
+    """Also where every window passes a filter that is too small, and where windows are too many to broadcast."""
+    monkeypatch.setattr(columns.BitFilter, "MOST", most)
+    monkeypatch.setattr(decontamination, "meet", lambda *a: columns.meet(*a, small_side))
     bench = spark.read.parquet(f"{DATA}/sf0.01/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
-    got = decontamination.decontaminate(docs, bench, max_windows=most).collect()
+    got = decontamination.decontaminate(docs, bench).collect()
     assert sorted(map(tuple, got)) == sorted(brute.contamination(rows_of(docs), items))
     assert sum(r.contaminated for r in got) > 0
     texts = EDGES + ["alpha beta gamma", "x alpha BETA, gamma y alpha-beta-gamma", "two words", " ".join(f"w{i}" for i in range(20)), "w0 " + " ".join(f"w{i}" for i in range(3, 20)), "Été à la plage", "w5 w6 w7"]
     items = [(1, "alpha beta gamma"), (1, "alpha beta gamma"), (2, " ".join(f"w{i}" for i in range(16))), (3, None), (4, "..."), (None, "two"), (5, "two"), (6, "été À"), (7, "alpha beta gamma")]
     small = spark.createDataFrame(items, "item_id long, text string")
     df = edges(spark, texts)
-    got = decontamination.decontaminate(df, small, max_windows=most).collect()
+    got = decontamination.decontaminate(df, small).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.contamination(rows_of(df), items)))
     assert {r.n_hit for r in decontamination.decontaminate(df, small.limit(0)).collect()} == {0}
     assert decontamination.decontaminate(df.limit(0), small).count() == 0
@@ -187,8 +190,30 @@ def test_cutoff_is_a_chi_squared_tail():
     assert abs((x > quality_rules.chi2_quantile(0.01)).mean() - 0.01) < 1e-3 and abs(quality_rules.chi2_quantile(0.5) - quality_rules.CHI2_MEDIAN) < 1e-3
 
 
-def test_meet_by_broadcast_and_by_salt(spark):
+def test_meet_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(columns, "HOT", 3)  # the key "a" is hot
     rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", 4)], "k string, x int")
     small = spark.createDataFrame([("a", 10), (None, 30), ("b", 40)], "k string, y int")
     for most in (100, 0):
         assert sorted(columns.meet(rows, small, ["k"], most).collect(), key=repr) == sorted([("a", 1, 10), ("a", 2, 10), (None, 3, 30), ("b", 4, 40)], key=repr)
+        left = columns.meet(rows, small.where("k = 'b'"), ["k"], most, "left").collect()
+        assert sorted(left, key=repr) == sorted([("a", 1, None), ("a", 2, None), (None, 3, None), ("b", 4, 40)], key=repr)
+
+
+def test_bit_filter(spark):
+    known = spark.range(0, 5000).select(F.xxhash64("id").alias("h"))
+    bits = columns.BitFilter(known, 5000)
+    assert known.where(bits.passes(F.col("h"))).count() == 5000
+    others = spark.range(10_000, 110_000).select(F.xxhash64("id").alias("h"))
+    assert others.where(bits.passes(F.col("h"))).count() < 500
+    none = columns.BitFilter(known.limit(0), 0)
+    assert known.where(none.passes(F.col("h"))).count() == 0
+
+
+def test_many_benchmark_windows(spark):
+    """Half a million windows, of which few occur; what is joined are the hits."""
+    items = spark.range(20_000).select(F.col("id").cast("string").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(36)), lambda i: F.concat(F.lit("w"), F.xxhash64("id", i).cast("string"))), " ").alias("text"))
+    docs = items.where("item_id in ('7', '8', '19999')").select(F.col("item_id").cast("long").alias("doc_id"), F.concat(F.lit("before "), F.replace("text", F.lit("-"), F.lit("-")), F.lit(" after")).alias("text"))
+    got = {r.doc_id: r for r in decontamination.decontaminate(docs, items).collect()}
+    assert {i: r.n_items for i, r in got.items()} == {7: 1, 8: 1, 19999: 1}
+    assert all(r.n_hit == r.n_words - 2 and r.contaminated for r in got.values())
