@@ -1,34 +1,46 @@
 """WARC archives with resolved revisits.
 
 1. Headers only (no payloads) are shuffled by payload digest; the first page of a
-   digest is its original, and only digests that occur twice or more go on.
+   digest is its original, and only digests that occur twice or more go on. These are
+   broadcast where they are few; where they are many, those of hot digests still are
+   (``columns.meet``), so a digest of very many pages (such as the empty page) is no
+   task's burden.
 2. Pages meet their decision by row number and become records: a response with
-   its payload, or a revisit with a fresh header that names the original.
+   its payload, or a revisit with a fresh header that names the original. The number
+   of archives follows from the bytes that they hold.
 3. Spark's text writer puts the records into archives: the separator between two
    text rows is the CRLF CRLF that ends a WARC record, so every part file is a
    sequence of valid records, on any file system Spark can write.
-4. The archives are read back whole, parsed by Content-Length, and revisits are
-   joined to their originals by record id for what their headers leave out.
+4. The archives are read back, parsed by Content-Length as they are decompressed, and
+   revisits are joined to their originals by record id for what their headers leave
+   out. Digests and sizes of responses are worked out again from the payload that was
+   read; a header that disagrees is an error.
+
+An archive is one gzip member, since Spark's writers give no others: a reader cannot
+begin in its middle, so archives are kept to about ``ARCHIVE_BYTES``.
 
 Originals: of pages with equal payloads of at least ``min_bytes`` bytes, the one
-with the smallest id (null ids last; of repeated rows, one). Defined results: a
-null html is an empty payload; a null url gives no WARC-Target-URI; control
-characters and blanks in a url are percent-encoded, so that no header can be
-injected; repeated rows give a record each; an empty table gives an empty
-archive; other columns are ignored.
+with the smallest id (null ids last; of repeated rows, the first by row number).
+Defined results: a null html is an empty payload; very long payloads are one record
+each; a null url gives no WARC-Target-URI; control characters and blanks in a url are
+percent-encoded, so that no header can be injected; repeated rows give a record each;
+an empty table gives an empty archive; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolloom.llm.columns import meet
 from rolloom.session import materialize, prepare
 
 #: The alphabets of conv(…, 32) and of base32 (RFC 4648).
@@ -36,8 +48,10 @@ CONV_DIGITS, BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMN
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 RECORD = "page_id long, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to_id string, payload string"
-#: Rows of an archive at most, and bytes of payload it is meant to hold.
-ARCHIVE_ROWS, ARCHIVE_BYTES = 20_000, 16 << 20
+#: Bytes of payload that an archive is meant to hold, and its rows at most.
+ARCHIVE_BYTES, ARCHIVE_ROWS = 16 << 20, 100_000
+#: Bytes read and passed on at once.
+BLOCK = 4 << 20
 
 
 def payload_digest(payload: Column) -> Column:
@@ -64,7 +78,7 @@ def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
         .where("n > 1").select("payload_digest", F.col("first.page_id").alias("first_id"), F.col("first.rid").alias("first_rid"))
     )
     again = F.col("first_rid").isNotNull() & (F.col("rid") != F.col("first_rid")) & (F.col("payload_bytes") >= min_bytes)
-    return heads.join(copied, "payload_digest", "left").select(
+    return meet(heads, copied, ["payload_digest"], how="left").select(
         "page_id", "rid", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first_rid")).alias("first_rid"),
     )
@@ -77,18 +91,20 @@ def _record_id(digest: Column, rid: Column) -> Column:
 
 
 def _safe_url(url: Column) -> Column:
-    for bad, code in (("\r", "%0D"), ("\n", "%0A"), (" ", "%20"), ("\t", "%09")):
-        url = F.replace(url, F.lit(bad), F.lit(code))
-    return url
+    """Control characters and blanks percent-encoded."""
+    safe = url
+    for code in (*range(33), 127):
+        safe = F.replace(safe, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike(r"[\x00-\x20\x7F]"), safe).otherwise(url)
 
 
-def records(pages: DataFrame, resolved: DataFrame, date: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def records(pages: DataFrame, resolved: DataFrame, date: str, n_archives: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The text of one WARC/1.1 record per page, without the blank lines that end it."""
-    source = pages.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.octet_length(F.coalesce(F.col(html_col), F.lit(""))).alias("seen"))
+    source = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     d = resolved.select("rid", "page_id", "payload_bytes", "payload_digest", "record_type", "first_rid")
-    # Payloads of revisits are dropped before the shuffle could carry them twice: only responses need one.
-    rows = source.join(d, "rid")
+    if n_archives is not None:  # the join takes over this partitioning
+        source, d = source.repartition(n_archives, "rid"), d.repartition(n_archives, "rid")
+    rows = source.join(d.hint("merge"), "rid")
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     block = F.when(revisit, F.lit("")).otherwise(F.concat(http, F.col("html")))
@@ -107,24 +123,51 @@ def records(pages: DataFrame, resolved: DataFrame, date: str, id_col: str = "pag
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes deduplicated, gzipped archives of all pages into the folder ``path``."""
-    resolved = resolve(headers(pages, id_col, html_col), min_bytes)
-    out = records(pages, resolved, date, id_col, url_col, html_col)
+    heads = materialize(headers(pages, id_col, html_col))
+    n_archives = max(1, -(-(heads.agg(F.sum("payload_bytes")).first()[0] or 0) // ARCHIVE_BYTES))
+    out = records(pages, materialize(resolve(heads, min_bytes)), date, n_archives, id_col, url_col, html_col)
     out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_ROWS).mode("overwrite").text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and blocks of the records of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
+def parse(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and blocks of the records of an archive, whose bytes come in chunks."""
+    source, held = iter(chunks), bytearray()
+
+    def more() -> bool:
+        chunk = next(source, None)
+        if chunk is not None:
+            held.extend(chunk)
+        return chunk is not None
+
+    while held or more():
+        end = held.find(END.encode())
+        while end < 0 and more():
+            end = held.find(END.encode())
+        version, *lines = bytes(held[: max(end, 0)]).decode().split("\r\n")
         if not re.fullmatch(r"WARC/1\.[01]", version):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError("no WARC record")
         head = dict(x.split(": ", 1) for x in lines)
-        start = end + 4
-        stop = start + int(head["Content-Length"])
-        yield head, data[start:stop]
-        at = stop + 4
+        stop = end + 4 + int(head["Content-Length"])
+        while len(held) < stop + 4 and more():
+            pass
+        if len(held) < stop:
+            raise ValueError("a WARC record is cut off")
+        yield head, bytes(held[end + 4 : stop])
+        del held[: stop + 4]
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The contents of a file of gzip members, a bounded piece at a time."""
+    while data:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            out = member.decompress(data, BLOCK)
+            data = member.unconsumed_tail
+            if not out and not data and not member.eof:
+                raise ValueError("a gzip member is cut off")
+            if out:
+                yield out
+        data = member.unused_data
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,15 +180,17 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows, size = [], 0
-            for head, block in parse(zlib.decompress(content.as_py(), 31)):
+            for head, block in parse(_inflated(content.as_py())):
+                digest, page = head["WARC-Payload-Digest"].removeprefix("sha1:"), head.get("X-Page-Id")
                 payload = block.partition(b"\r\n\r\n")[2] if head["WARC-Type"] == "response" else None
-                page = head.get("X-Page-Id")
+                if payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                    raise ValueError(f"the payload of {head['WARC-Record-ID']} is not that of its header")
                 rows.append((
-                    None if page is None else int(page), head["WARC-Record-ID"], head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"),
+                    None if page is None else int(page), head["WARC-Record-ID"], head["WARC-Type"], digest,
                     None if payload is None else len(payload), head.get("WARC-Refers-To"), None if payload is None else payload.decode(),
                 ))
                 size += len(block)
-                if size > 4 << 20:
+                if size > BLOCK:
                     yield made(rows)
                     rows, size = [], 0
             if rows:
@@ -162,11 +207,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def read_resolved(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, with revisits resolved."""
     heads = materialize(read_archives(spark, path).drop("payload"))
-    again = heads.where("record_type = 'revisit'")
-    used = heads.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full"))
-    revisits = again.join(used, "refers_to_id", "left").select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    first = heads.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    return first.unionByName(revisits)
+    again = heads.where("record_type = 'revisit'").drop("payload_bytes")
+    # Only originals that are referred to; one with very many revisits is dealt out.
+    used = heads.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes"))
+    used = used.join(again.select("refers_to_id").distinct(), "refers_to_id", "left_semi")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisits = meet(again, used, ["refers_to_id"], how="left").select(names)
+    return heads.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(names).unionByName(revisits)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
