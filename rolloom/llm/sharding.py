@@ -12,13 +12,16 @@ true greedy run lies between the cut of a run that may cut inside a prefix and
 the cut of one that may not. Each round multiplies the resolution by 256, and
 the rounds end as soon as both runs agree, which proves the capacity minimal.
 
-A group larger than an even share gets a shard of its own first (at most
-``n_shards - 1`` such groups exist), so that one hot text does not leave the other
-shards uneven: the rest is cut into the shards that remain.
+The order has groups larger than an even share at its end, by size (at most
+``n_shards - 1`` such groups exist); each is a run of its own. A capacity that holds such a
+group says nothing of the other shards, so these are cut for the smallest capacity of their
+own: one hot text does not leave them uneven.
 
 Defined results: a null text counts as an empty text (size 1, CRC 0, one group
 with the empty ones); repeated rows each get a slot; null ids are carried
-through; an empty table gives an empty result; other columns are ignored.
+through; very long texts are sized whole; groups of one size go by their MD5, so ties have one
+order; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from rolloom.session import materialize, prepare
 
 #: Hex digits of the first round's prefixes, and those added in each later round.
 FIRST_DIGITS, MORE_DIGITS = 3, 2
-#: Ranking cells of a shard: slots are counted per cell, so no task ranks a whole shard.
-CELLS = 1024
+#: Rows of a ranking cell: slots are counted per cell, so no task ranks a whole shard.
+CELL_ROWS = 50_000
 
 
 def _walk(ends: np.ndarray, atomic: np.ndarray, capacity: int, k: int, split: bool) -> list[int]:
@@ -112,7 +115,8 @@ def slots(rows: DataFrame, shard: str, rid: str) -> DataFrame:
     ``rid`` is unique and must already be materialised. Rows fall into cells by
     its hash; the counts of cells give offsets, and ranks are taken inside cells.
     """
-    rows = rows.withColumn("_cell", F.pmod(F.xxhash64(rid), F.lit(CELLS)))
+    cells = max(16, -(-rows.count() // CELL_ROWS))  # as if all rows were in one shard
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64(rid), F.lit(cells)))
     counts = rows.groupBy(shard, "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
