@@ -366,7 +366,7 @@ def near_copies(heavy: DataFrame, chunk: int, n_pivots: int = PIVOTS) -> DataFra
     """Links (a, b) among classes (class, n, tokens, set) that share a token."""
     rows = heavy.select("class", F.explode("tokens").alias("token"))
     first = rows.groupBy("token").agg(F.min("class").alias("first"), F.count("*").alias("c")).where("c > 1").select("token", "first")
-    edges = rows.join(first, "token").where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
+    edges = meet(rows, first, ["token"]).where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
     named = materialize(heavy.join(components(edges), "class").select("label", "class", "n", "set"))
 
     # Pivots: at most ``n_pivots`` a group, by the hash of their class.

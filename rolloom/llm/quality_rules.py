@@ -25,8 +25,9 @@ keeps the scatter invertible where a statistic is constant, see ``RIDGE``.
 
 Groups with fewer than ``min_group`` passing texts are pooled by language, and
 those again over all; a pool that is still smaller rejects nothing. Group
-parameters are one row a group: they are counted and broadcast, or dealt out with
-salted keys where they are many, so a hot source costs no more than its share.
+parameters are one row a group: they are counted and broadcast, or where they are many
+joined with hot groups apart (``columns.meet``), so a hot source costs no more than its
+share.
 
 Defined results: a null text has no words and fails; null languages and sources
 are groups of their own; repeated rows are judged each; texts with equal statistics

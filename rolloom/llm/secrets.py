@@ -194,7 +194,9 @@ def scan(docs: DataFrame, **options) -> DataFrame:
 
 
 def redacted(text: Column, span_list: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch of overlapping spans (sorted structs start, end) put out by the mark."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.when(s.start >= acc.at, F.struct(F.concat(acc.out, F.substring(text, acc.at + 1, s.start - acc.at), F.lit(mark)).alias("out"), s.end.alias("at"))).otherwise(F.struct(acc.out.alias("out"), F.greatest(acc.at, s.end).alias("at")))
-    return F.aggregate(span_list, zero, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
+    """The text with each stretch of overlapping spans (sorted structs start, end) put out by the mark. What is between stretches is cut out once."""
+    zero = F.struct(F.array().cast("array<struct<start:int,stop:int>>").alias("gaps"), F.lit(0).alias("at"))
+    gap = lambda start, stop: F.array(F.struct(start.alias("start"), stop.alias("stop")))
+    step = lambda acc, s: F.when(s.start >= acc.at, F.struct(F.concat(acc.gaps, gap(acc.at, s.start)).alias("gaps"), s.end.alias("at"))).otherwise(F.struct(acc.gaps.alias("gaps"), F.greatest(acc.at, s.end).alias("at")))
+    gaps = F.aggregate(span_list, zero, step, lambda acc: F.concat(acc.gaps, gap(acc.at, F.length(text))))
+    return F.array_join(F.transform(gaps, lambda g: F.substring(text, g.start + 1, g.stop - g.start)), mark)

@@ -49,3 +49,23 @@ def test_edges(spark, tmp_path):
     empty = docs.where(F.lit(False))
     for _, stage in cp.STAGES:
         assert stage(spark, empty, D).count() == 0
+
+
+def test_clashing_names_long_texts_and_missing_columns(spark, tmp_path):
+    """Columns that have the operators' own names come back as they were."""
+    clean = " ".join(f"a{i} b{i}" for i in range(300))
+    rows = [(1, clean, "en", "s", f"v{1}"), (2, clean + " token=abcdefghijklmnop1", "en", "s", "v2"), (3, " ".join(f"x{i}" for i in range(60_000)), "en", "s", "v3"), (4, None, None, None, "v4")]
+    names = ["_rid", "_rid_", "_text", "_spans", "span_list", "rid", "label", "kept", "pool", "w", "rank", "n", "piece", "places"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mine string").withColumns({n: F.col("mine") for n in names})
+    path = str(tmp_path / "d")
+    docs.coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for k, (name, stage) in enumerate(cp.STAGES[:-1]):
+        out = stage(spark, docs, D)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r[n] == f"v{r.doc_id}" for r in got for n in names), name
+        assert sorted(r.doc_id for r in got) == ([1, 2, 3] if k == 0 else [1, 3, 4] if k == 1 else [1, 2, 3, 4]), name
+    redacted = {r.doc_id: r.text for r in cp.without_secrets(spark, docs, D).collect()}
+    assert redacted[2] == clean + " [SECRET]" and redacted[1] == clean
+    assert {r.doc_id for r in cp.packed(spark, docs, D).collect()} == {1, 2, 3, 4}
