@@ -5,10 +5,14 @@ gives again. What goes (or is changed) is the smaller side: it is broadcast up t
 ``MAX_BROADCAST`` rows, counted first, and shuffled beyond, so texts do not move
 where the decisions are few.
 
-Defined results: as each operator states. Of the rows of one near-duplicate
-component, the one with the smallest doc_id stays (of repeated ids, the first
-row); texts without words have no duplicates. A redacted text has ``[SECRET]`` for
-each stretch of spans, and its n_chars is counted anew.
+Defined results: as each operator states. A stage that filters keeps every row that it
+does not reject as it is, with all its columns, whatever their names: row numbers and
+decisions take names that no column has. Of the rows of one near-duplicate component, the
+one with the smallest doc_id stays (null ids last; of repeated ids, the first row); texts
+without words have no duplicates, so null and empty texts stay there, while the quality
+rules reject them. A redacted text has ``[SECRET]`` for each stretch of spans, and its
+n_chars, where there is such a column, is counted anew. Very long texts are taken whole. An
+empty table passes through all stages as an empty table.
 """
 
 from __future__ import annotations
@@ -20,13 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.llm import decontamination, jaccard, packing, quality_rules, secrets
+from rolloom.llm.columns import free_name, meet
 from rolloom.session import materialize, prepare, table
 
 MAX_BROADCAST = 2_000_000
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_rid", F.monotonically_increasing_id())
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with their number, and the name of its column."""
+    name = free_name(docs.columns, "_rid")
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -35,38 +42,43 @@ def _bounded(rows: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose number is not in ``gone`` (one column, _rid)."""
-    return _numbered(docs).join(_bounded(gone), "_rid", "left_anti").select(*docs.columns)
+    """The rows whose number is not in ``gone`` (one column)."""
+    rows, name = _numbered(docs)
+    return rows.join(_bounded(gone.toDF(name)), name, "left_anti").drop(name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    judged = quality_rules.evaluate(_numbered(docs), id_col="_rid")
-    return _without(docs, judged.where(~F.col("kept")).select(F.col("doc_id").alias("_rid")))
+    rows, name = _numbered(docs)
+    return _without(docs, quality_rules.evaluate(rows, id_col=name).where(~F.col("kept")).select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     rows = jaccard.cluster(docs).where("label IS NOT NULL").select("label", "doc_id", "rid")
-    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
-    gone = rows.join(first.select("label", F.col("first.rid").alias("stays")), "label").where("rid <> stays")
-    return _without(docs, gone.select(F.col("rid").alias("_rid")))
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"), F.count("*").alias("n"))
+    # Only components of more than one row; one of very many rows is dealt out.
+    gone = meet(rows, first.where("n > 1").select("label", F.col("first.rid").alias("stays")), ["label"]).where("rid <> stays")
+    return _without(docs, gone.select("rid"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = decontamination.decontaminate(_numbered(docs), table(spark, sf_dir, "benchmark"), id_col="_rid")
-    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("_rid")))
+    rows, name = _numbered(docs)
+    found = decontamination.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=name)
+    return _without(docs, found.where("contaminated").select("doc_id"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = secrets.scan(_numbered(docs), id_col="_rid").where(F.size("span_list") > 0).select(F.col("doc_id").alias("_rid"), "span_list")
-    rows = _numbered(docs).join(_bounded(found), "_rid", "left")
-    hit = F.col("span_list").isNotNull()
-    text = F.when(hit, secrets.redacted(F.col("text"), F.col("span_list"))).otherwise(F.col("text"))
-    rows = rows.withColumn("_text", text).withColumn("n_chars", F.when(hit, F.length("_text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.withColumn("text", F.col("_text")).select(*docs.columns)
+    rows, name = _numbered(docs)
+    spans = free_name(rows.columns, "_spans")
+    found = secrets.scan(rows, id_col=name).where(F.size("span_list") > 0).select("doc_id", "span_list").toDF(name, spans)
+    hit = F.col(spans).isNotNull()
+    rows = rows.join(_bounded(found), name, "left").withColumn("text", F.when(hit, secrets.redacted(F.col("text"), F.col(spans))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
