@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from pathlib import Path
 
@@ -14,8 +15,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package and make checkpoint() usable.
 
     The folder for checkpoints is the one the cluster names in
-    ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder is used.
+    ``spark.checkpoint.dir``. Where that is unset, a temporary folder is used if all of
+    Spark runs in this process (tests, a laptop); on a cluster that is an error, since
+    executors could not share the folder.
     """
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", "")
@@ -23,6 +25,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = f"{ROOT}:{known}" if known else ROOT
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rolloom-checkpoint-"))
     return spark
 
