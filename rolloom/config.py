@@ -52,19 +52,24 @@ class Correction:
     band: tuple[float, float] | None = None
     rejection: str | None = None  # a mode of functions.arrays.rejection_mask
     threshold: str | float | None = None
-
-
-PRESETS = {
-    "none": Correction(),
-    "token_truncated": Correction("token", 2.0),
-    "token_banded": Correction("token", None, (0.5, 5.0)),
-    "sequence_truncated": Correction("sequence", 2.0),
-    "sequence_banded": Correction("sequence", None, (0.5, 5.0)),
-    "token_rejection_k1": Correction(rejection="token_k1", threshold="0.5_2"),
-    "token_rejection_k2": Correction(rejection="token_k2", threshold=1.0),
-    "token_rejection_k3": Correction(rejection="token_k3", threshold=1.0),
-    "sequence_rejection": Correction(rejection="seq_sum_k1", threshold="0.5_2"),
-    "geometric_rejection": Correction(rejection="seq_mean_k1", threshold="0.99_1.01"),
-    "worst_token_rejection": Correction(rejection="seq_max_k3", threshold=1.0),
-    "truncated_with_rejection": Correction("token", 2.0, None, "seq_mean_k3", 0.01),
-}
+    bypass: bool = False  # the rollout policy stands in for the old one
+    loss: str = "ppo_clip"
+
+
+def _presets() -> dict[str, Correction]:
+    """Every preset by name: what is weighed, what is rejected, and whether the old policy is bypassed."""
+    # Weights and rejections by their part of the names, with their thresholds.
+    token, sequence, banded = {"weights": "token"}, {"weights": "sequence"}, {"weights": "token", "upper": None, "band": (0.5, 5.0)}
+    geometric, k3, ratio = {"rejection": "seq_mean_k1", "threshold": "0.999_1.001"}, {"rejection": "seq_mean_k3", "threshold": 0.01}, {"rejection": "seq_sum_k1", "threshold": "0.5_2.0"}
+    decoupled = {
+        "token_is": token, "seq_is": sequence, "token_icepop": banded, "seq_is_rs": sequence | ratio, "geo_rs": geometric, "geo_rs_seq_tis": geometric | sequence, "geo_rs_token_tis": geometric | token, "k3_rs": k3, "k3_rs_seq_tis": k3 | sequence,
+        "k3_rs_token_tis": k3 | token}
+    clipped = {"": {}, "_geo_rs": geometric, "_k3_rs": k3}
+    gradient = {"is": sequence, "token_icepop": banded, "geo_rs": geometric, "geo_rs_seq_tis": geometric | sequence, "geo_rs_token_tis": geometric | token}
+    out = {f"decoupled_{k}": Correction(**v) for k, v in decoupled.items()}
+    out |= {f"bypass_ppo_clip{k}": Correction(**v, bypass=True) for k, v in clipped.items()}
+    out |= {f"bypass_pg_{k}": Correction(**v, bypass=True, loss="reinforce") for k, v in gradient.items()}
+    return out | {"disabled": Correction()}
+
+
+PRESETS = _presets()

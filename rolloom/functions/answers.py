@@ -215,6 +215,38 @@ def tidy_latex(x: str) -> str:
     return re.sub(r"^(-?\d+)/(\d+)$", r"\\frac{\1}{\2}", x)
 
 
+def box_score(response: str | None, truth: str | None) -> float:
+    """1 if the last box and the truth have one spelling, else 0."""
+    box = last_boxed(response or "")
+    return float(box is not None and truth is not None and tidy_latex(box) == tidy_latex(truth))
+
+
+def grade(given: str | None, truth: str | None) -> bool:
+    """Equal spellings; or, part by part of equal brackets: fractions as they stand, whole numbers only to whole numbers, all else by value."""
+    from rolloom.functions.symbolic import compare
+
+    if given is None or truth is None:
+        return False
+    if mathd_form(given) == mathd_form(truth) or tidy_latex(given) == tidy_latex(truth):
+        return True
+    a, b = tidy_latex(given).replace(" ", ""), tidy_latex(truth).replace(" ", "")
+    a, b = (re.sub(r"(\d),(?=\d{3}(?:\D|$))", r"\1", x) for x in (a, b))
+    if not a or not b:
+        return False
+    flat = lambda x: len(x) > 2 and x[0] in "([" and x[-1] in ")]" and not set(x[1:-1]) & set("()[]")
+    p, q = (x[1:-1].split(",") if flat(x) else [x] for x in (a, b))
+    if len(p) != len(q) or (len(q) > 1 and (a[0], a[-1]) != (b[0], b[-1])):
+        return False
+    whole = lambda x: bool(re.fullmatch(r"-?\d+(?:\.0*)?", x))
+    for x, y in zip(p, q, strict=True):
+        if LATEX_RATIO.match(x) and LATEX_RATIO.match(y):
+            if x != y:
+                return False
+        elif whole(x) != whole(y) or compare(y, x, tolerance=0) != "equal":
+            return False
+    return True
+
+
 def _members(x: str) -> tuple[str, list[str], str] | None:
     """Brackets and members of a tuple, set or interval."""
     x = x.strip().replace("\\{", "{").replace("\\}", "}")
@@ -236,6 +268,7 @@ def equal(a: str | None, b: str | None, tolerance: float = 1e-4, percents: bool
     """
     if a is None or b is None:
         return "different"
+    raw = a, b
     a, b = tidy_latex(a), tidy_latex(b)
     if a == b:
         return "equal"
@@ -257,9 +290,9 @@ def equal(a: str | None, b: str | None, tolerance: float = 1e-4, percents: bool
             return "equal"
         states = [equal(m, o, tolerance, percents) for m, o in zip(p[1], q[1], strict=True)]
         return "different" if "different" in states else "unsupported" if "unsupported" in states else "equal"
-    if (x is None) != (y is None) and not re.search(r"[a-zA-Z\\^]", a + b):
-        return "different"
-    return "unsupported" if re.search(r"[a-zA-Z\\^*+]", a + b) else "different"
+    from rolloom.functions.symbolic import compare
+
+    return compare(*raw, tolerance)
 
 
 def extract_column(response: Column, percent: str = "fraction") -> Column:
@@ -310,48 +343,54 @@ def equal_column(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def tool_calls(text: str | None, form: str = "tagged_json") -> list[dict]:
-    """Calls (name, arguments as JSON) in a response. form: tagged_json, xml_function or harmony."""
-    import json
-
-    out = []
-    text = text or ""
-    if form == "tagged_json":
-        for body in re.findall(r"<tool_call>(.*?)</tool_call>", text, re.S):
-            try:
-                call = json.loads(body)
-                out.append({"name": call["name"], "arguments": json.dumps(call.get("arguments", {}), sort_keys=True, ensure_ascii=False)})
-            except (ValueError, KeyError, TypeError):
-                continue
-    elif form == "xml_function":
-        for name, body in re.findall(r"<function=([^>\s]+)>(.*?)</function>", text, re.S):
-            given = {k: v.strip("\n") for k, v in re.findall(r"<parameter=([^>\s]+)>(.*?)</parameter>", body, re.S)}
-            out.append({"name": name, "arguments": json.dumps(given, sort_keys=True, ensure_ascii=False)})
-    elif form == "harmony":
-        for name, body in re.findall(r"to=functions\.(\w+)[^{]*?<\|message\|>(.*?)<\|call\|>", text, re.S):
-            try:
-                out.append({"name": name, "arguments": json.dumps(json.loads(body), sort_keys=True, ensure_ascii=False)})
-            except ValueError:
-                continue
-    else:
-        raise ValueError(f"unknown form {form!r}")
-    return out
+def name_overlap(a: Column, b: Column) -> Column:
+    """Multiset Jaccard of two arrays of names; 1 for two empty ones."""
+    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, n: s + F.least(F.size(F.filter(a, lambda x: x == n)), F.size(F.filter(b, lambda x: x == n))))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union == 0, 1.0).otherwise(both / union)
 
 
-#: Parsers of further formats may be added under their names.
-TOOL_FORMS = ("tagged_json", "xml_function", "harmony")
+def box_score_column(response: Column, truth: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([box_score(a, b) for a, b in zip(x, y, strict=True)], dtype="float64")
 
+    return run(response, truth)
 
-def tool_calls_column(text: Column, form: str = "tagged_json") -> Column:
-    @F.pandas_udf("array<struct<name:string,arguments:string>>")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series([tool_calls(v, form) for v in x], dtype="object")
 
-    return run(text)
+def grade_column(given: Column, truth: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([grade(a, b) for a, b in zip(x, y, strict=True)], dtype="object")
 
+    return run(given, truth)
 
-def name_overlap(a: Column, b: Column) -> Column:
-    """Multiset Jaccard of two arrays of names; 1 for two empty ones."""
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, n: s + F.least(F.size(F.filter(a, lambda x: x == n)), F.size(F.filter(b, lambda x: x == n))))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union == 0, 1.0).otherwise(both / union)
+
+def candidates(response: str | None, percent: str = "fraction") -> list[dict]:
+    """Every candidate of an answer (tier, text, value, start), each place once, in the order of the text."""
+    response = response or ""
+    found = [(m.start(1) if m[1] else m.start(2), "explicit_final", m[1] or m[2]) for m in EXPLICIT.finditer(response)]
+    at = 0
+    for box in sorted(boxed_contents(response), key=response.find):
+        start = response.find("\\boxed{" + box + "}", at)
+        found.append((start + 7, "boxed", box))
+        at = start + 1
+    last = response.rstrip().rpartition("\n")[2]
+    if last:
+        tail = last.rpartition("=")[2]
+        found.append((len(response.rstrip()) - len(tail), "implicit_terminal", tail))
+    out, seen = [], set()
+    for start, tier, text in sorted(found, key=lambda x: x[0]):
+        value = parse_number(text, percent)
+        if value is not None and (start, str(value)) not in seen:
+            seen.add((start, str(value)))
+            out.append({"tier": tier, "text": text.strip(), "value": str(value), "start": start})
+    return out
+
+
+def candidates_column(response: Column) -> Column:
+    @F.pandas_udf("array<struct<tier:string,text:string,value:string,start:int>>")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([candidates(v) for v in x], dtype="object")
+
+    return run(response)

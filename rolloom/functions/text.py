@@ -88,6 +88,44 @@ def substring_match(prediction: Column, golds: Column) -> Column:
     return F.when(F.exists(golds, lambda g: F.contains(p, normalized_answer(g))), 1.0).otherwise(0.0)
 
 
+def qa_score(response: Column, golds: Column, substring: bool = False, format_score: float = 0.0, score: float = 1.0) -> Column:
+    """Score of the last tagged answer. Without a tag 0; an exact match with more than ten opening or closing tags counts a quarter."""
+    answer = tagged_answer(response)
+    right = (substring_match if substring else exact_match)(answer, golds) == 1.0
+    many = (F.regexp_count(response, F.lit("<answer>")) > 10) | (F.regexp_count(response, F.lit("</answer>")) > 10)
+    full = F.lit(score) if substring else F.when(many, score / 4).otherwise(score)
+    return F.when(answer.isNull(), 0.0).when(right, full).otherwise(format_score)
+
+
+def capitalized(x: Column) -> Column:
+    """The first character in upper case, all others in lower case."""
+    return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))
+
+
+def unmarked(x: Column) -> Column:
+    """Without title marks and bracketed parts; double blanks become one, once."""
+    x = F.replace(x, F.lit(" [title]"), F.lit(". "))
+    return F.replace(F.regexp_replace(x, r"\[.*?\]", ""), F.lit("  "), F.lit(" "))
+
+
+def content_parts(x: Column, media: dict[str, Column]) -> tuple[Column, Column]:
+    """A text as parts (type, value): texts, and for each <kind> the next of that kind's media; and whether each kind's media are all used, no more and no fewer."""
+    kinds = "|".join(media)
+    parts = F.filter(F.split(F.regexp_replace(x, f"(<(?:{kinds})>)", "\u0001$1\u0001"), "\u0001", -1), lambda p: p != "")
+    start = F.struct(*[F.lit(0).alias(k) for k in media], F.array().cast("array<struct<type:string,value:string>>").alias("out"))
+
+    def step(s, p):
+        part = F.struct(F.lit("text").alias("type"), p.alias("value"))
+        for k, values in media.items():
+            part = F.when(p == f"<{k}>", F.struct(F.lit(k).alias("type"), F.get(values, s[k]).alias("value"))).otherwise(part)
+        return F.struct(*[(s[k] + F.when(p == f"<{k}>", 1).otherwise(0)).alias(k) for k in media], F.concat(s["out"], F.array(part)).alias("out"))
+
+    fits = F.lit(True)
+    for k, values in media.items():
+        fits = fits & (F.regexp_count(x, F.lit(f"<{k}>")) == F.size(values))
+    return F.aggregate(parts, start, step, lambda s: s["out"]), fits
+
+
 def words(x: Column) -> Column:
     """Number of white-space separated words; 0 for a blank text."""
     return F.when(stripped(x) == "", 0).otherwise(F.size(F.split(stripped(x), r"\s+")))

@@ -54,9 +54,10 @@ def per_dimension(df: DataFrame, rewards: dict[str, float], group: str, eps: flo
 
 
 def dense_ids(df: DataFrame, label: str) -> DataFrame:
-    """Labels numbered from 0 in their order. Only the distinct labels are sorted together."""
-    ids = df.select(label).distinct().withColumn("dense_id", F.row_number().over(Window.orderBy(label)) - 1)
-    return df.join(ids, label)
+    """Labels numbered from 0 in their order, without one task that holds all labels."""
+    from rolloom.operators.relations import numbered
+
+    return df.join(numbered(df.select(label).distinct(), [label], "dense_id"), label)
 
 
 def final_of_session(df: DataFrame, group: str, session: str, index: str, value: str) -> DataFrame:

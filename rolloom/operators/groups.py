@@ -126,3 +126,39 @@ def validation_by_source(df: DataFrame, source: str, value: str) -> DataFrame:
     """Means over all rows (source null) and for each source, in one aggregate."""
     g = df.groupingSets([[], [F.col(source)]], F.col(source)).agg(F.grouping(source).alias("whole"), F.avg(value).alias("mean"), F.count("*").alias("n"))
     return g.select(F.when(F.col("whole") == 1, "all").otherwise(F.col(source)).alias("source"), "mean", "n")
+
+
+def reward_extras(df: DataFrame) -> DataFrame:
+    """Means of what a reward gives beside its score; missing columns fall back (raw_correctness to acc, score to that), format reward and length penalty count 0."""
+    has = set(df.columns)
+    raw = next((c for c in ("raw_correctness", "acc") if c in has), None)
+    score = "score" if "score" in has else raw
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    out = [mean(raw).alias("raw_correctness_mean")] if raw else []
+    out += [mean(score).alias("final_score_mean")] if score else []
+    out += [mean("extraction_ok").alias("extraction_ok_ratio"), (1 - mean("extraction_ok")).alias("extraction_failure_ratio")] if "extraction_ok" in has else []
+    out += [mean("format_ok").alias("format_ok_ratio")] if "format_ok" in has else []
+    return df.agg(*(out or [F.count("*").alias("_n")])).drop("_n").withColumns({"format_reward_mean": F.lit(0.0), "length_penalty_mean": F.lit(0.0)})
+
+
+def all_reduced(df: DataFrame, key: str, rank: str, value: str, mask: str) -> DataFrame:
+    """mean, max, min, std (of all) and masked_mean by key, put together from each rank's counts, sums and central moments."""
+    on = F.when(F.col(mask), F.col(value))
+    local = df.groupBy(key, rank).agg(
+        F.count(value).alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count(value)).alias("q"), F.max(value).alias("x"), F.min(value).alias("y"), F.sum(on).alias("s"), F.count(on).alias("k"))
+    whole = local.groupBy(key).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    both = local.join(whole, key).groupBy(key).agg(
+        F.first("mean").alias("mean"), F.max("x").alias("max"), F.min("y").alias("min"), F.sqrt(F.sum(F.col("q") + F.col("n") * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))) / F.sum("n")).alias("std"), F.try_divide(F.sum("s"), F.sum("k")).alias("masked_mean"))
+    return both
+
+
+def curriculum(df: DataFrame, key: str, order: str, passed: str, value: str, step: str, rate: float, recent: int) -> DataFrame:
+    """What a sampler knows of each prompt: pass rate, its moving average, recent progress (the last ``recent`` against those before), reward variance, times and last step."""
+    v = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(passed).alias("p")))), lambda x: x["p"])
+    g = df.groupBy(key).agg(F.avg(passed).alias("pass_rate"), F.var_pop(value).alias("reward_variance"), v.alias("_v"), F.count("*").alias("times_sampled"), F.max(step).alias("last_step"))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    n = F.size("_v")
+    last = F.slice("_v", F.greatest(n - recent, F.lit(0)) + 1, recent)
+    before = F.slice("_v", F.greatest(n - 2 * recent, F.lit(0)) + 1, F.greatest(F.least(n - recent, F.lit(recent)), F.lit(0)))
+    ema = F.aggregate(F.slice("_v", 2, F.greatest(n - 1, F.lit(0))), F.col("_v")[0], lambda s, x: (1 - rate) * s + rate * x)
+    return g.withColumns({"pass_rate_ema": ema, "progress": F.when(F.size(before) > 0, mean(last) - mean(before)).otherwise(0.0)}).drop("_v")

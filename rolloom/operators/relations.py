@@ -66,6 +66,41 @@ def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
     return parts.join(offsets, "_p").withColumn(name, (F.col("_k") + F.col("_o")).cast("long")).drop("_p", "_k", "_o")
 
 
+def running(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:
+    """Adds total_<v>, the sum of v up to each row of a total order, without one task that holds all rows."""
+    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    upto = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumns({f"total_{v}": F.sum(v).over(upto) for v in values})
+    sums = parts.groupBy("_p").agg(*[F.sum(v).alias(v) for v in values])
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_p", *[F.sum(v).over(before).alias(f"_o_{v}") for v in values])
+    zero = lambda v: F.coalesce(F.col(f"_o_{v}"), F.lit(0))
+    return parts.join(F.broadcast(offsets), "_p").withColumns({f"total_{v}": F.col(f"total_{v}") + zero(v) for v in values}).drop("_p", *[f"_o_{v}" for v in values])
+
+
+def at_indices(df: DataFrame, order: list[str], indices: list[int]) -> DataFrame:
+    """pos and the row at each listed place of the order, as often and in the order as listed; a place beyond the rows is an error."""
+    listed = df.sparkSession.createDataFrame(list(enumerate(indices)), "pos int, rn long")
+    found = F.broadcast(listed).join(numbered(df, order), "rn", "left")
+    return _assert(found, F.col(order[0]).isNull(), "an index is out of range").drop("rn")
+
+
+def column_union(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Columns of both sides by row id; a shared column must be equal, and both sides must have the same rows."""
+    shared = [c for c in right.columns if c in left.columns and c != key]
+    both = left.withColumn("_left", F.lit(True)).join(right.withColumnsRenamed({c: f"_r_{c}" for c in shared}).withColumn("_right", F.lit(True)), key, "full_outer")
+    both = _assert(both, F.col("_left").isNull() | F.col("_right").isNull(), "row sets differ")
+    for c in shared:
+        both = _assert(both, ~F.col(c).eqNullSafe(F.col(f"_r_{c}")), f"{c} differs")
+    return both.drop("_left", "_right", *[f"_r_{c}" for c in shared])
+
+
+def merged_maps(a: Column, b: Column) -> tuple[Column, Column]:
+    """Both maps together (b goes first where they disagree), and whether shared keys have equal values."""
+    fits = F.forall(F.map_keys(b), lambda k: ~F.map_contains_key(a, k) | F.try_element_at(a, k).eqNullSafe(F.try_element_at(b, k)))
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b), fits
+
+
 def equal_splits(df: DataFrame, k: int, order: list[str]) -> DataFrame:
     """k contiguous splits of equal size; the rows that are left over go."""
     rows = numbered(df, order)
@@ -86,19 +121,21 @@ def sample_indices(n: int, k: int, seed: int) -> list[int]:
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows with the smallest seeded hash of a key: a stable random sample."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
 def hash_split(df: DataFrame, key: str, test: int, of: int = 100) -> DataFrame:
     """Adds ``is_test`` for about test/of of the keys, always the same ones."""
-    return df.withColumn("is_test", F.crc32(F.col(key).cast("string")) % of < test)
+    h = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return df.withColumn("is_test", h % of < test)
 
 
 def quotas(df: DataFrame, source: str, counts: dict[str, int], order: list[str]) -> DataFrame:
-    """The first rows of each source, as many as its quota."""
+    """The first rows of each source, as many as its quota. The largest quota limits each task's rows before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(source).orderBy(*order))
     limit = F.coalesce(*[F.when(F.col(source) == s, n) for s, n in counts.items()], F.lit(0))
-    return df.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
+    first = df.where(F.col(source).isin(list(counts))).withColumn("_r", rank).where(F.col("_r") <= max(counts.values(), default=0))
+    return first.where(F.col("_r") <= limit).drop("_r")
 
 
 def diverse(df: DataFrame, categories: Column, key: str, order: str, each: int = 8, limit: int = 100) -> DataFrame:
@@ -126,6 +163,26 @@ def nonconstant_groups(df: DataFrame, group: str, metric: str) -> DataFrame:
     return marked.crossJoin(F.broadcast(some)).where(F.col("_keep") | ~F.coalesce("_some", F.lit(False))).drop("_keep", "_some")
 
 
+def _seen_groups(df: DataFrame, group: str, seen: str) -> DataFrame:
+    """Each group with its number of rows and its first appearance."""
+    return df.groupBy(group).agg(F.count("*").alias("_n"), F.min(seen).alias("_seen"))
+
+
+def dynamic_sampling(df: DataFrame, group: str, metric: str, seen: str, divisor: int) -> DataFrame:
+    """Rows of groups with both positive and other values, in whole mini-batches: the groups that appear last go until the rows divide. All rows if nothing is left."""
+    mixed = df.groupBy(group).agg(((F.max(metric) > 0) & (F.min(metric) <= 0)).alias("_mixed"), F.count("*").alias("_n"), F.min(seen).alias("_seen")).where("_mixed").drop("_mixed")
+    upto = running(mixed, ["_seen", group], ["_n"])
+    last = upto.where(F.col("total__n") % divisor == 0).agg(F.max("total__n").alias("_last"))
+    kept = upto.crossJoin(F.broadcast(last)).where(F.col("total__n") <= F.col("_last")).select(group, F.lit(True).alias("_kept"))
+    some = last.select(F.col("_last").isNotNull().alias("_some"))
+    return df.join(kept, group, "left").crossJoin(F.broadcast(some)).where(F.coalesce("_kept", F.lit(False)) | ~F.col("_some")).drop("_kept", "_some")
+
+
+def first_groups(df: DataFrame, group: str, seen: str, n: int) -> DataFrame:
+    """Rows of the n groups that appear first."""
+    return df.join(_seen_groups(df, group, seen).orderBy("_seen", group).limit(n).select(group), group, "left_semi")
+
+
 def pad_to_multiple(df: DataFrame, divisor: int, order: list[str]) -> DataFrame:
     """Rows repeated from the start until their number divides; repeated ones have is_padding."""
     n = df.count()
@@ -155,10 +212,9 @@ def upsert(events: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def cumulative(df: DataFrame, by: str, counters: list[str]) -> DataFrame:
-    """Running totals over steps; steps are aggregated before the one-partition window."""
+    """Running totals over steps; steps are aggregated first."""
     steps = df.groupBy(by).agg(*[F.sum(c).alias(c) for c in counters])
-    w = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(by, *counters, *[F.sum(c).over(w).alias(f"total_{c}") for c in counters])
+    return running(steps, [by], counters).select(by, *counters, *[f"total_{c}" for c in counters])
 
 
 def at_milestones(steps: DataFrame, cumulative_col: str, metric: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:

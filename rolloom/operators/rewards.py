@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolloom.functions.guard import within
+
 #: Reward managers by name: functions from columns to a score column.
 MANAGERS: dict[str, Callable[..., Column]] = {}
 
@@ -38,16 +40,21 @@ def load_function(path: str, name: str) -> Callable:
     return getattr(module, name)
 
 
-def custom_reward(f: Callable, on_error: str = "raise", **fixed) -> Callable[..., Column]:
-    """A column function of (source, response, truth, extra) around f. on_error: raise, or null with the error in a status column."""
+def custom_reward(f: Callable, on_error: str = "raise", seconds: float | None = None, **fixed) -> Callable[..., Column]:
+    """A column function of (source, response, truth, extra) around f. on_error: raise, or null with the error in a status column.
+
+    seconds: time that a row has; a row that takes longer is stopped and counts as an error ("timeout").
+    """
 
     @F.pandas_udf("score double, status string")
     def run(source: pd.Series, response: pd.Series, truth: pd.Series, extra: pd.Series) -> pd.DataFrame:
         rows = []
         for a, b, c, d in zip(source, response, truth, extra, strict=True):
             try:
-                got = f(a, b, c, d, **fixed)
-                rows.append((float(got["score"] if isinstance(got, dict) else got), None))
+                got, late = within(lambda: f(a, b, c, d, **fixed), seconds) if seconds else (f(a, b, c, d, **fixed), False)  # noqa: B023
+                if late and on_error == "raise":
+                    raise TimeoutError(f"a row took more than {seconds} s")
+                rows.append((None, "timeout") if late else (float(got["score"] if isinstance(got, dict) else got), None))
             except Exception as e:
                 if on_error == "raise":
                     raise
@@ -57,6 +64,34 @@ def custom_reward(f: Callable, on_error: str = "raise", **fixed) -> Callable[...
     return run
 
 
+def batched(f: Callable) -> Callable[..., Column]:
+    """A column function around a scorer of lists (sources, responses, truths, extras), which gives a list of scores."""
+
+    @F.pandas_udf("double")
+    def run(source: pd.Series, response: pd.Series, truth: pd.Series, extra: pd.Series) -> pd.Series:
+        got = f(source.tolist(), response.tolist(), truth.tolist(), extra.tolist())
+        if len(got) != len(source):
+            raise ValueError("a scorer must give one score a row")
+        return pd.Series([float(x["score"] if isinstance(x, dict) else x) for x in got])
+
+    return run
+
+
+def flat_status(source: Column, response: Column, truth: Column, names: dict[str, str], other: str) -> Column:
+    """One flat struct of a verified response: score, acc, raw_correctness, extraction_ok, format_ok, status, error, predicted, raw, source."""
+    from rolloom.functions.answers import verify_column
+
+    x = verify_column(response, truth)
+    kind = F.lit(other)
+    for name, canonical in names.items():
+        kind = F.when(source == name, canonical).otherwise(kind)
+    found = x["value"].isNotNull()
+    one = x["correct"].cast("double")
+    return F.struct(
+        one.alias("score"), one.alias("acc"), one.alias("raw_correctness"), found.alias("extraction_ok"), (x["status"] == "boxed").alias("format_ok"), F.coalesce(x["error"], F.lit("ok")).alias("status"), x["error"].alias("error"), x["value"].alias("predicted"),
+        x["answer"].alias("raw"), kind.alias("source"))
+
+
 def dispatch(source: Column, scorers: dict[str, Column], prefixes: dict[str, Column] | None = None) -> Column:
     """The scorer of a row's source: by name, then by prefix; another source is an error."""
     out = F.raise_error(F.concat(F.lit("no scorer for "), source)).cast("double")
@@ -84,10 +119,30 @@ def batch(score: Column, length: Column, **_) -> Column:
     return score
 
 
-def best_over_pairs(df: DataFrame, golds: str, predictions: str, same: Callable[[Column, Column], Column]) -> DataFrame:
-    """The best score of every gold against every prediction of a row."""
-    scores = F.flatten(F.transform(golds, lambda g: F.transform(predictions, lambda p: F.when(same(g, p), 1.0).otherwise(0.0))))
-    return df.withColumn("best", F.coalesce(F.array_max(scores), F.lit(0.0)))
+@manager("prime")
+def prime(score: Column, length: Column, **_) -> Column:
+    """Scorers run beside each other; one that failed (null) counts 0."""
+    return F.coalesce(score, F.lit(0.0))
+
+
+@manager("combined")
+def combined(score: Column, length: Column, others: dict[float, Column] | None = None, **_) -> Column:
+    """Several rewards with weights; each is also an advantage of its own, see advantages.per_dimension."""
+    for weight, other in (others or {}).items():
+        score = score + weight * other
+    return score
+
+
+@manager("limited")
+def limited(score: Column, length: Column, **_) -> Column:
+    """Scores of a rate-limited scorer; the limit itself is streaming.limited."""
+    return score
+
+
+@manager("remote")
+def remote(score: Column, length: Column, answered: Column | None = None, **_) -> Column:
+    """Scores that came from elsewhere; null where no answer came, which is never counted as 0."""
+    return score if answered is None else F.when(answered, score)
 
 
 def dense_flops(tokens: Column, parameters: float, layers: int, hidden: int, mean_length: Column) -> Column:

@@ -25,13 +25,6 @@ def line_scores(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", normalize.line_score(r, F.lit("2")).alias("x")).select("doc_id", "x.score", "x.pred")
 
 
-@query("nrm4_quantity", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN (doc_id % 9) || '000' WHEN 1 THEN '5*10^6' ELSE '7+3/4' END AS answer FROM documents WHERE doc_id % 9 <> 0")
-def quantities(t: Tables) -> DataFrame:
-    k = F.col("doc_id") % 3
-    x = F.when(k == 0, F.concat((F.col("doc_id") % 9).cast("string"), F.lit(",000"))).when(k == 1, "\\text{$5million}").otherwise("7 3/4")
-    return t.documents.where("doc_id % 9 <> 0").select("doc_id", normalize.plain_quantity(x).alias("answer"))
-
-
 @query("nrm4_all_quantities", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN (doc_id % 9 * 1000)::VARCHAR WHEN 1 THEN '5*10^6' ELSE '7+3/4' END AS answer FROM documents")
 def all_quantities(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 3
@@ -55,7 +48,6 @@ def marked(t: Tables) -> DataFrame:
 
 
 @query("ext3_exact_numbers", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '1/2' WHEN 1 THEN '1200' ELSE '1/4' END AS value FROM documents")
-@query("ext2_candidates", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '1/2' WHEN 1 THEN '1200' ELSE '1/4' END AS value FROM documents")
 def numbers(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 3
     r = F.concat(F.lit("Answer: "), F.when(k == 0, "$0.5$").when(k == 1, "\\$1,200").otherwise("25\\%"))
@@ -72,23 +64,6 @@ def spelled(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", run(F.when(k == 0, "0.5").when(k == 1, "\\dfrac12").when(k == 2, "x = 1/2").otherwise("\\left\\tfrac{1}{2}")).alias("answer"))
 
 
-@query("nrm3_latex_variants", "SELECT doc_id, '\\frac{1}{2}' AS answer FROM documents")
-def variants(t: Tables) -> DataFrame:
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(answers.mathd_form)
-
-    k = F.col("doc_id") % 4
-    return t.documents.select("doc_id", run(F.when(k == 0, "0.5").when(k == 1, "\\dfrac12").when(k == 2, "x = 1/2").otherwise("\\left\\tfrac{1}{2}")).alias("answer"))
-
-
-@query("ver6_grades", "SELECT doc_id, (doc_id % 2 = 0) AS correct FROM documents")
-@query("scr4_box_scorer", "SELECT doc_id, (doc_id % 2 = 0) AS correct FROM documents")
-def graded(t: Tables) -> DataFrame:
-    state = answers.equal_column(F.concat(F.lit("(1,"), (F.col("doc_id") % 2).cast("string"), F.lit(".0)")), F.lit("(1, 0)"))
-    return t.documents.select("doc_id", state.alias("state")).select("doc_id", (F.col("state") == "equal").alias("correct"))
-
-
 @query("scr5_graded", "SELECT doc_id, (doc_id % 2 = 0) AS correct FROM documents")
 def prime_graded(t: Tables) -> DataFrame:
     r = F.concat(F.lit("\\boxed{(1,"), (F.col("doc_id") % 2).cast("string"), F.lit(".0)}"))
@@ -110,8 +85,6 @@ def adapted(t: Tables) -> DataFrame:
 
 
 @query("udf1_custom_reward", "SELECT doc_id, (n_chars % 10)::DOUBLE AS score FROM documents")
-@query("scr9_batched", "SELECT doc_id, (n_chars % 10)::DOUBLE AS score FROM documents")
-@query("udf3_guarded", "SELECT doc_id, (n_chars % 10)::DOUBLE AS score FROM documents")
 def custom(t: Tables) -> DataFrame:
     run = rewards.custom_reward(lambda source, response, truth, extra: {"score": int(truth) % 10}, on_error="null")
     return t.documents.select("doc_id", run(F.col("source"), F.col("lang"), F.col("n_chars"), F.lit(None).cast("string"))["score"].alias("score"))
@@ -136,30 +109,6 @@ def generator(t: Tables) -> DataFrame:
     return t.documents.where("doc_id % 3 > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 3 - 1)).alias("session_id"))
 
 
-@query("agg40_best_over_pairs", "SELECT doc_id, (lang IN ('en', 'de') OR source = 'src1')::INT::DOUBLE AS best FROM documents")
-def over_pairs(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.array("lang", "source").alias("p"), F.array(F.lit("en"), F.lit("de"), F.lit("src1")).alias("g"))
-    return rewards.best_over_pairs(rows, "g", "p", lambda a, b: a == b).select("doc_id", "best")
-
-
-@query("scr10_passed_cases", "SELECT user_id, round(avg((value > 20)::INT), 6) AS score FROM events GROUP BY 1")
-def passed(t: Tables) -> DataFrame:
-    from rolloom.operators.validation import fraction_of_cases
-
-    return rounded(fraction_of_cases(t.events.withColumn("ok", F.col("value") > 20), ["user_id"], "ok"), "score")
-
-
-@query("prj2_numbered_then_filtered", "WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS source_index FROM documents) SELECT doc_id, source_index FROM x WHERE doc_id % 3 <> 0")
-def numbered(t: Tables) -> DataFrame:
-    rows = relations.numbered(t.documents.select("doc_id"), ["doc_id"], "source_index")
-    return rows.where("doc_id % 3 <> 0").select("doc_id", "source_index")
-
-
-@query("jon5_column_union", "SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)")
-def column_union(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "lang").join(t.labels.select("doc_id", "quality"), "doc_id")
-
-
 @query("ord4_head_samples", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 30")
 def head_samples(t: Tables) -> DataFrame:
     return t.documents.select("doc_id").orderBy("doc_id").limit(30)
@@ -171,49 +120,6 @@ def resumed(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", key.alias("k")).orderBy("k", "doc_id").offset(20).limit(40).select("doc_id")
 
 
-@query("set5_merged_maps", "SELECT doc_id, lang AS a, source AS b FROM documents")
-def merged(t: Tables) -> DataFrame:
-    m = F.map_concat(F.create_map(F.lit("a"), "lang"), F.create_map(F.lit("b"), "source"))
-    return t.documents.select("doc_id", m["a"].alias("a"), m["b"].alias("b"))
-
-
-@query("tok15_pair_encoding", "SELECT conv_id, turn, least(len(regexp_extract_all(text, '\\S+')) + 1, 32)::INT AS n FROM conversations WHERE trim(text) <> ''")
-def pair_encoding(t: Tables) -> DataFrame:
-    from rolloom.functions import arrays as A
-
-    ids = F.concat(F.transform(F.split(text.stripped(F.col("text")), r"\s+"), lambda w: F.length(w)), F.array(F.lit(1)))
-    return t.conversations.where(F.trim("text") != "").select("conv_id", "turn", F.size(A.truncate(ids, 32)).alias("n"))
-
-
-@query("tok22_turn_stream", "SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS total, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS own FROM conversations GROUP BY 1")
-@query("tok23_turn_accumulator", "SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS total, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS own FROM conversations GROUP BY 1")
-def turns(t: Tables) -> DataFrame:
-    rows = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.length("text").cast("long").alias("n")))).alias("t"))
-    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("own"))
-    state = F.aggregate("t", zero, lambda s, x: F.struct((s["total"] + x["n"]).alias("total"), (s["own"] + F.when(x["role"] == "assistant", x["n"]).otherwise(0)).alias("own")))
-    return rows.select("conv_id", F.size("t").cast("long").alias("turns"), state.alias("s")).select("conv_id", "turns", "s.total", "s.own")
-
-
-@query("bal4_checked", "SELECT o_orderkey % 10 AS batch, count(*) AS n, count(*) AS rows FROM orders GROUP BY 1")
-@query("bal6_restored", "SELECT o_orderkey % 10 AS batch, count(*) AS n, count(*) AS rows FROM orders GROUP BY 1")
-def restored(t: Tables) -> DataFrame:
-    rows = t.orders.select((F.col("o_orderkey") % 10).alias("batch"), F.col("o_orderkey").alias("row"), F.round("o_totalprice").cast("long").alias("length"))
-    parts = balance.partition(rows, "batch", "row", "length", 3)
-    back = rows.join(parts, ["batch", "row"])
-    return back.groupBy("batch").agg(F.count("*").alias("n"), F.count_distinct("row").alias("rows"))
-
-
-@query("bal5_micro_batches", "SELECT l_linestatus AS status, count(*) AS n, true AS fits FROM lineitem WHERE l_orderkey % 50 = 1 GROUP BY 1")
-def micro(t: Tables) -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = balance.micro_batches(pdf["n"].tolist(), 400)
-        fits = all(sum(pdf["n"].iloc[i] for i in p) <= 400 for p in parts)
-        return pd.DataFrame([(pdf["status"].iloc[0], sum(map(len, parts)), fits)], columns=["status", "n", "fits"])
-
-    rows = t.lineitem.where("l_orderkey % 50 = 1").select(F.col("l_linestatus").alias("status"), F.col("l_quantity").cast("long").alias("n"))
-    return rows.groupBy("status").applyInPandas(one, "status string, n long, fits boolean")
-
-
 @query("bal5_all_micro_batches", "WITH x AS (SELECT l_quantity::BIGINT AS q, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) - 1) // 256 AS step FROM lineitem) SELECT step, count(*) AS n, sum(q)::BIGINT AS tokens, true AS fits FROM x GROUP BY 1")
 def all_micro(t: Tables) -> DataFrame:
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"]
@@ -228,20 +134,6 @@ def flops(t: Tables) -> DataFrame:
     return g.select("status", F.round(rewards.dense_flops(F.col("s"), 7e9, 28, 3584, F.col("m")) / 1e15, 4).alias("petaflops"))
 
 
-@query("str5_oldest_fresh", "WITH s AS (SELECT user_id, max_by(event_type, event_id) AS status, max(event_id) AS last_id FROM events GROUP BY 1) SELECT user_id, last_id FROM s WHERE last_id > 100 ORDER BY last_id, user_id LIMIT 10")
-def oldest_fresh(t: Tables) -> DataFrame:
-    s = relations.latest_status(t.events, ["user_id"], "event_type", "event_id")
-    return s.where("at > 100").orderBy("at", "user_id").limit(10).select("user_id", F.col("at").alias("last_id"))
-
-
-@query("str8_running_budget", "SELECT event_type, count(*) AS total_responses, round(sum(value), 3) AS total_tokens FROM events GROUP BY 1")
-def running_budget(t: Tables) -> DataFrame:
-    from rolloom.streaming.streams import running_totals
-
-    out = running_totals(t.events.withColumn("responses", F.lit(1).cast("long")).withColumnRenamed("value", "tokens"), "event_type", ["responses", "tokens"])
-    return out.withColumn("total_tokens", F.round("total_tokens", 3))
-
-
 @query("str_window_sliding", "SELECT epoch(w)::BIGINT AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1")
 def sliding(t: Tables) -> DataFrame:
     from rolloom.streaming.streams import windowed
@@ -250,21 +142,6 @@ def sliding(t: Tables) -> DataFrame:
     return out.select(F.unix_timestamp("start").alias("start"), "n")
 
 
-@query("pip1_experiment", "WITH {ROLLOUTS}, g AS (SELECT prompt_id, count(*) n, count_if(is_correct) c FROM d WHERE NOT (is_correct AND NOT extraction_ok) GROUP BY 1) SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_rows, round(count_if(c > 0 AND c < n) / count(*), 6) AS mixed_rate FROM g")
-@query("pip2_analysis", "WITH {ROLLOUTS}, g AS (SELECT prompt_id, count(*) n, count_if(is_correct) c FROM d WHERE NOT (is_correct AND NOT extraction_ok) GROUP BY 1) SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_rows, round(count_if(c > 0 AND c < n) / count(*), 6) AS mixed_rate FROM g")
-def analysis(t: Tables) -> DataFrame:
-    _, summary, _ = rewards.run_metrics(t.unique, ["prompt_id"])
-    return rounded(summary.select("n_groups", "n_rows", "mixed_rate"), "mixed_rate")
-
-
-@query("pip4_rescore_symbolic", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'wrong_answer' END AS before, CASE WHEN doc_id % 3 = 0 THEN 'equal' ELSE 'different' END AS after, count(*) AS n FROM documents GROUP BY ALL")
-def rescored(t: Tables) -> DataFrame:
-    before = answers.verify_column(F.concat(F.lit("\\boxed{"), (F.col("doc_id") % 2).cast("string"), F.lit("}")), F.lit("0"))
-    after = answers.equal_column((F.col("doc_id") % 3).cast("string"), F.lit("0"))
-    rows = t.documents.select(F.coalesce(before["error"], F.lit("ok")).alias("b"), after.alias("a"))
-    return relations.transitions(rows, F.col("b"), F.col("a"))
-
-
 @query("pip6_run_summary", "WITH {ROLLOUTS}, s AS (SELECT 'gpu/util' AS name, avg(l_discount * 100) AS value FROM lineitem UNION ALL SELECT 'pass@1', avg(raw_reward) FROM d WHERE sample_id = 1) SELECT name, round(value, 5) AS value FROM s")
 def summary(t: Tables) -> DataFrame:
     gpu = t.lineitem.agg(F.avg(F.col("l_discount") * 100).alias("value")).select(F.lit("gpu/util").alias("name"), "value")
@@ -272,56 +149,18 @@ def summary(t: Tables) -> DataFrame:
     return gpu.unionByName(first).withColumn("value", F.round("value", 5))
 
 
-@query("ord1_sorted_groups", "WITH {ROLLOUTS} SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) AS place FROM (SELECT DISTINCT prompt_id FROM r) ORDER BY 1 LIMIT 100")
-def sorted_groups(t: Tables) -> DataFrame:
-    g = groups.group_metrics(t.unique, ["prompt_id"]).select("prompt_id")
-    return relations.numbered(g, ["prompt_id"], "place").orderBy("prompt_id").limit(100).select("prompt_id", (F.col("place") + 1).alias("place"))
-
-
 @query("ord1_all_sorted_groups", "WITH {ROLLOUTS} SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) AS place FROM (SELECT DISTINCT prompt_id FROM r)")
 def all_sorted_groups(t: Tables) -> DataFrame:
     g = groups.group_metrics(t.unique, ["prompt_id"]).select("prompt_id")
     return relations.numbered(g, ["prompt_id"], "place").select("prompt_id", (F.col("place") + 1).alias("place"))
 
 
-@query("src25_collected_responses", "SELECT l_orderkey, array_to_string(list(l_quantity::BIGINT::VARCHAR ORDER BY l_linenumber, l_partkey, l_suppkey), ',') AS responses FROM lineitem GROUP BY 1")
+@query("src25_collected_responses", "SELECT l_orderkey, array_to_string(list(l_quantity::BIGINT::VARCHAR ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity), ',') AS responses FROM lineitem GROUP BY 1")
 def collected(t: Tables) -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").cast("string").alias("q"))))
-    return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(rows, lambda x: x["q"]), ",").alias("responses"))
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))))
+    return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(rows, lambda x: x["q"].cast("string")), ",").alias("responses"))
 
 
 @query("prj10_lists", "SELECT vec_id, len(embedding)::INT AS n, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings")
 def lists(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.size("embedding").alias("n"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
-
-
-@query("src6_dataset_rows", "SELECT doc_id, 'docs-train-' || lpad(doc_id::VARCHAR, 6, '0') AS prompt_id, (doc_id % 9)::VARCHAR AS gold FROM documents")
-@query("src7_dataset_union", "SELECT doc_id, 'docs-train-' || lpad(doc_id::VARCHAR, 6, '0') AS prompt_id, (doc_id % 9)::VARCHAR AS gold FROM documents")
-def dataset_rows(t: Tables) -> DataFrame:
-    answer = F.concat(F.col("lang"), F.lit("\n#### "), (F.col("doc_id") % 9).cast("string"))
-    parts = [t.documents.where((F.col("doc_id") % 2) == k) for k in (0, 1)]
-    both = parts[0].unionByName(parts[1])
-    return both.select("doc_id", F.format_string("docs-%s-%06d", F.lit("train"), "doc_id").alias("prompt_id"), text.hash_answer(answer).alias("gold"))
-
-
-@query("str3_staleness_budget", "SELECT user_id % 4 AS worker, count(*) AS made, count(*) >= 100 AS paused FROM events GROUP BY 1")
-def staleness_budget(t: Tables) -> DataFrame:
-    from rolloom.streaming.streams import StalenessBudget
-
-    limit = StalenessBudget(50, 1.0, 1).limit
-    g = t.events.groupBy((F.col("user_id") % 4).alias("worker")).agg(F.count("*").alias("made"))
-    return g.withColumn("paused", F.col("made") >= limit)
-
-
-@query("str2_ready", "WITH s AS (SELECT user_id, max_by(event_type, event_id) AS status FROM events GROUP BY 1) SELECT count_if(status = 'click')::BIGINT AS finished, count_if(status = 'click') >= 3 AS ready FROM s")
-def ready(t: Tables) -> DataFrame:
-    from rolloom.streaming.streams import enough
-
-    s = relations.latest_status(t.events, ["user_id"], "event_type", "event_id")
-    return enough(s.withColumn("status", F.when(F.col("status") == "click", "finished").otherwise("running")), 3).select("finished", "ready")
-
-
-@query("dis1_two_level_sum", "SELECT l_orderkey, round(sum(l_discount), 4) AS total FROM lineitem GROUP BY 1")
-def two_level(t: Tables) -> DataFrame:
-    part = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_discount").alias("s"))
-    return part.groupBy("l_orderkey").agg(F.round(F.sum("s"), 4).alias("total"))

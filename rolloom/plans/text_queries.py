@@ -26,12 +26,6 @@ def hash_answers(t: Tables) -> DataFrame:
     return responses(t).select("doc_id", text.hash_answer(F.col("response")).alias("strict"), text.last_number(F.col("response")).alias("flexible"))
 
 
-@query("src27_case_sampler", R + "SELECT doc_id, n_chars || '000' AS strict, (doc_id % 7)::VARCHAR AS flexible FROM r")
-def sampled_cases(t: Tables) -> DataFrame:
-    case = text.sampled_case(F.col("response"), F.col("n_chars").cast("string"))
-    return responses(t).select("doc_id", case.alias("x")).select("doc_id", "x.strict", "x.flexible")
-
-
 @query("src27_case_rates", "SELECT round(avg((doc_id % 3 < 2)::INT), 6) AS strict_accuracy, round(avg((doc_id % 3 <> 1)::INT), 6) AS flexible_accuracy, round(avg((doc_id % 3 = 2)::INT), 6) AS format_error_rate FROM documents")
 def case_rates(t: Tables) -> DataFrame:
     k, n = F.col("doc_id") % 3, F.col("n_chars").cast("string")
@@ -53,11 +47,6 @@ def boxes(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.element_at(found, -1).alias("last"), F.size(found).alias("n"))
 
 
-@query("ext5_last_boxed", "SELECT doc_id, (doc_id % 7)::VARCHAR AS last FROM documents")
-def last_box(t: Tables) -> DataFrame:
-    return responses(t).select("doc_id", F.element_at(text.boxed(F.right("response", F.lit(300))), -1).alias("last"))
-
-
 @query("nrm5_normalized", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(url), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS answer FROM pages")
 def normalized(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.normalized_answer(F.col("url")).alias("answer"))
@@ -71,27 +60,12 @@ def scored(t: Tables) -> DataFrame:
     return responses(t).groupBy("source").agg(F.round(F.avg(score), 6).alias("score"))
 
 
-@query("scr1_dispatch", R + "SELECT CASE WHEN source IN ('src1', 'src2') THEN 'hash' WHEN source LIKE 'src1%' THEN 'box' ELSE 'tag' END AS scorer, count(*) AS n, round(avg(CASE WHEN source IN ('src1', 'src2') THEN 1 WHEN source LIKE 'src1%' THEN (doc_id % 7 = 3)::INT ELSE (lang = 'en')::INT END), 6) AS score FROM r GROUP BY 1")
-def dispatched(t: Tables) -> DataFrame:
-    r = F.col("response")
-    kind = F.when(F.col("source").isin("src1", "src2"), "hash").when(F.col("source").startswith("src1"), "box").otherwise("tag")
-    score = F.when(kind == "hash", (text.hash_answer(r) == F.concat(F.col("n_chars").cast("string"), F.lit("000"))).cast("double"))
-    score = score.when(kind == "box", (F.element_at(text.boxed(F.right(r, F.lit(300))), -1) == "3").cast("double")).otherwise(text.exact_match(text.tagged_answer(r), F.array(F.lit("en"))))
-    return responses(t).groupBy(kind.alias("scorer")).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("score"))
-
-
 @query("scr6_exact_match", R + "SELECT lang, round(avg((lang IN ('en', 'fr'))::INT), 6) AS score, count(*) AS n FROM r GROUP BY 1")
 def matched(t: Tables) -> DataFrame:
     score = text.exact_match(text.tagged_answer(F.col("response")), F.array(F.lit("the EN."), F.lit("Fr")))
     return responses(t).groupBy("lang").agg(F.round(F.avg(score), 6).alias("score"), F.count("*").alias("n"))
 
 
-@query("scr6_substring_match", R + "SELECT lang, round(avg((lang IN ('en', 'es'))::INT), 6) AS score FROM r GROUP BY 1")
-def contained(t: Tables) -> DataFrame:
-    score = text.substring_match(text.tagged_answer(F.col("response")), F.array(F.lit("E")))
-    return responses(t).groupBy("lang").agg(F.round(F.avg(F.when(F.col("lang") == "de", 0.0).otherwise(score)), 6).alias("score"))
-
-
 @query("scr7_format_score", R + "SELECT doc_id, round(0.9 * (doc_id % 7 = 3)::INT + 0.1 * (doc_id % 2)::INT, 6) AS score FROM r")
 def formatted(t: Tables) -> DataFrame:
     whole = F.concat(F.when(F.col("doc_id") % 2 == 1, F.lit("<think>x\n")).otherwise(F.lit("")), F.lit("</think>\\boxed{"), (F.col("doc_id") % 7).cast("string"), F.lit("}"))
@@ -99,13 +73,6 @@ def formatted(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(0.9 * (F.element_at(text.boxed(whole), -1) == "3").cast("int") + 0.1 * ok.cast("int"), 6).alias("score"))
 
 
-@query("scr8_name_overlap", "SELECT doc_id, round(CASE WHEN doc_id % 3 = 0 THEN 1.0 / 3 WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END, 6) AS score FROM documents")
-def overlap(t: Tables) -> DataFrame:
-    k = F.col("doc_id") % 3
-    a = F.when(k == 0, F.array(F.lit("f"), F.lit("f"), F.lit("g"))).when(k == 1, F.array(F.lit("f"))).otherwise(F.array(F.lit("g")))
-    return t.documents.select("doc_id", F.round(answers.name_overlap(a, F.array(F.lit("f"))), 6).alias("score"))
-
-
 @query("ext1_numeric_extraction", "SELECT CASE doc_id % 4 WHEN 0 THEN 'boxed' WHEN 1 THEN 'explicit_final' WHEN 2 THEN 'ambiguous' ELSE 'missing' END AS status, count(*) AS n FROM documents GROUP BY 1")
 def extraction(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 4
@@ -121,14 +88,6 @@ def verified(t: Tables) -> DataFrame:
     return t.documents.select(answers.verify_column(r, gold).alias("x")).groupBy(F.coalesce("x.error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
 
 
-@query("ver2_modes", "SELECT CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'wrong_answer' WHEN 2 THEN 'invalid_ground_truth' ELSE 'missing_answer' END AS error, count(*) AS n FROM documents GROUP BY 1")
-def verified_by_mode(t: Tables) -> DataFrame:
-    k = F.col("doc_id") % 4
-    gold = F.when(k == 0, "0.5").when(k == 1, "2").when(k == 2, "x+y").otherwise("3")
-    r = F.when(k == 3, "none").otherwise("\\boxed{\\frac{1}{2}}")
-    return t.documents.select(answers.verify_mode_column(r, gold, "evaluation").alias("x")).groupBy(F.coalesce("x.error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
-
-
 @query("ver2_both_modes", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'missing_boxed_answer' ELSE 'boxed_answer_parse_error' END AS training, CASE WHEN doc_id % 3 < 2 THEN 'ok' ELSE 'answer_parse_error' END AS evaluation FROM documents")
 def both_modes(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 3
@@ -137,20 +96,6 @@ def both_modes(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", *x).select("doc_id", *[F.coalesce(F.col(m)["error"], F.lit("ok")).alias(m) for m in ("training", "evaluation")])
 
 
-@query("ver5_equality", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'equal' WHEN 1 THEN 'equal' WHEN 2 THEN 'different' ELSE 'unsupported' END AS state FROM documents")
-def equality(t: Tables) -> DataFrame:
-    k = F.col("doc_id") % 4
-    a = F.when(k == 0, "(1, \\frac12)").when(k == 1, "50\\%").when(k == 2, "7").otherwise("x^2")
-    b = F.when(k == 0, "(1,0.5)").when(k == 1, "0.5").when(k == 2, "8").otherwise("x*x")
-    return t.documents.select("doc_id", answers.equal_column(a, b).alias("state"))
-
-
-@query("ext10_tool_calls", "SELECT doc_id, 'find' AS name, '{\"n\": ' || doc_id || '}' AS arguments FROM documents")
-def tools(t: Tables) -> DataFrame:
-    r = F.concat(F.lit('x <tool_call>{"name": "find", "arguments": {"n": '), F.col("doc_id").cast("string"), F.lit("}}</tool_call> <tool_call>bad</tool_call>"))
-    return t.documents.select("doc_id", F.explode(answers.tool_calls_column(r)).alias("c")).select("doc_id", "c.name", "c.arguments")
-
-
 @query("agg12_word_lengths", "SELECT source, round(avg(len(regexp_extract_all(text, '\\S+'))), 5) AS words FROM documents GROUP BY 1")
 def word_lengths(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.round(F.avg(text.words(F.col("text"))), 5).alias("words"))
@@ -182,27 +127,6 @@ def searched(t: Tables) -> DataFrame:
     return t.events.where(F.contains("props", F.lit('"k": 1')) | (F.replace(F.col("event_id").cast("string"), F.lit("-"), F.lit("")) == "42")).select("event_id")
 
 
-@query("flt8_masked", "SELECT page_id, replace(url, 'example', '*******') AS url FROM pages")
-def masked(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_replace("url", "example", "*******").alias("url"))
-
-
-@query("ord7_hash_split", None)
-def split(t: Tables) -> DataFrame:
-    return relations.hash_split(t.documents, "doc_id", 10).select("doc_id", "is_test")
-
-
-@query("flt9_diverse_cases", None)
-def diverse(t: Tables) -> DataFrame:
-    kinds = F.filter(F.array(F.col("lang"), F.when(F.col("n_chars") > 5000, F.lit("long"))), lambda x: x.isNotNull())
-    return relations.diverse(t.documents.select("doc_id", "lang", "n_chars"), kinds, "doc_id", "doc_id", 8, 60)
-
-
-@query("ord3_seeded_sample", None)
-def sampled(t: Tables) -> DataFrame:
-    return relations.hash_sample(t.documents.select("doc_id"), "doc_id", 50, 7)
-
-
 @query("prj3_templates", "SELECT doc_id, 'Q: ' || lang || chr(10) || 'A {x}' AS prompt FROM documents")
 def templated(t: Tables) -> DataFrame:
     filled = F.replace(F.replace(F.replace(F.lit("Q: {question}\nA {{x}}"), F.lit("{question}"), F.col("lang")), F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
@@ -216,37 +140,16 @@ def few_shot(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(chat).alias("n"), F.element_at(chat, -1)["content"].alias("last"))
 
 
-@query("prj5_prompt_records", "SELECT source AS data_source, lang AS ability, count(*) AS n, min(doc_id) AS first_index FROM documents GROUP BY ALL")
-def records(t: Tables) -> DataFrame:
-    rows = t.documents.select(
-        F.col("source").alias("data_source"), F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("prompt"), F.col("lang").alias("ability"),
-        F.struct(F.lit("rule").alias("style"), F.col("n_chars").cast("string").alias("ground_truth")).alias("reward_model"), F.struct(F.lit("train").alias("split"), F.col("doc_id").alias("index")).alias("extra_info"))
-    return rows.groupBy("data_source", "ability").agg(F.count("*").alias("n"), F.min("extra_info.index").alias("first_index"))
-
-
 @query("prj1_numbered_prompts", "SELECT doc_id, 'data-train-' || lpad(doc_id::VARCHAR, 6, '0') AS prompt_id FROM documents")
 def prompt_ids(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.format_string("data-%s-%06d", F.lit("train"), "doc_id").alias("prompt_id"))
 
 
-@query("prj6_cleanup", "SELECT page_id, replace(replace(regexp_replace(replace(url || ' [title] a [b] c', ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' '), '//', '/') AS text FROM pages")
-def cleaned(t: Tables) -> DataFrame:
-    x = F.replace(F.concat("url", F.lit(" [title] a [b] c")), F.lit(" [title]"), F.lit(". "))
-    x = F.replace(F.regexp_replace(x, r"\[.*?\]", ""), F.lit("  "), F.lit(" "))
-    return t.pages.select("page_id", F.replace(x, F.lit("//"), F.lit("/")).alias("text"))
-
-
 @query("prj7_coalesced_truth", "SELECT doc_id, 'src_' || source AS data_source, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, 'gold') AS truth FROM documents")
 def truths(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.concat(F.lit("src_"), "source").alias("data_source"), F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.lit("gold")).alias("truth"))
 
 
-@query("prj8_placeholders", "SELECT doc_id, 2::INT AS images, 3::INT AS texts FROM documents")
-def placeholders(t: Tables) -> DataFrame:
-    x = F.concat(F.lit("a<image>"), "lang", F.lit("<image>b"))
-    return t.documents.select("doc_id", F.regexp_count(x, F.lit("<image>")).alias("images"), F.size(F.filter(F.split(x, "<image>|<video>|<audio>", -1), lambda p: p != "")).alias("texts"))
-
-
 @query("prj9_defaults", "SELECT event_id, coalesce(json_extract(props, '$.k')::BIGINT, 0) AS index FROM events")
 def defaults(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).alias("index"))
@@ -297,18 +200,11 @@ def generation_table(t: Tables) -> DataFrame:
 
 
 @query("src4_load_many", "SELECT count(*) * 2 AS n FROM documents")
-@query("src5_pairs", "SELECT count(*) * 2 AS n FROM documents")
 def load_many(t: Tables) -> DataFrame:
     path = f"{t.sf_dir}/documents.parquet"
     return files.load_tables(t.spark, [path, path]).agg(F.count("*").alias("n"))
 
 
-@query("tok14_chat_tokens", "SELECT conv_id, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS tokens, coalesce(sum(CASE WHEN role = 'assistant' THEN len(regexp_extract_all(text, '\\S+')) END), 0)::BIGINT AS trained FROM conversations GROUP BY 1")
-def chat_tokens(t: Tables) -> DataFrame:
-    n = text.words(F.col("text"))
-    return t.conversations.groupBy("conv_id").agg(F.sum(n).cast("long").alias("tokens"), F.coalesce(F.sum(F.when(F.col("role") == "assistant", n)), F.lit(0)).cast("long").alias("trained"))
-
-
 @query("str6_reward_of_session", "SELECT conv_id, turn, max_by(length(text), turn) OVER (PARTITION BY conv_id) AS final_score FROM conversations QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1 AND count(*) OVER (PARTITION BY conv_id) > 0")
 def session_reward(t: Tables) -> DataFrame:
     w = relations.Window.partitionBy("conv_id")
@@ -326,9 +222,3 @@ def by_version(t: Tables) -> DataFrame:
 def tumbling(t: Tables) -> DataFrame:
     g = t.events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
     return g.select(F.unix_timestamp("window.start").alias("start"), "n", "total")
-
-
-@query("str9_span_sessions", None)
-def span_sessions(t: Tables) -> DataFrame:
-    g = t.events.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "30 minutes")).agg(F.count("*").alias("n"))
-    return g.select("user_id", F.unix_timestamp("session_window.start").alias("start"), "n")

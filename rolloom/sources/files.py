@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -153,3 +155,137 @@ def latest_step(spark: SparkSession, path: str, step: str) -> DataFrame:
     df = spark.read.parquet(path)
     newest = df.agg(F.max(step)).first()[0]
     return df.where(F.col(step) == newest)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _files(spark, path)
+    return fs.exists(place)
+
+
+def make_folders(spark: SparkSession, path: str) -> None:
+    fs, place = _files(spark, path)
+    fs.mkdirs(place)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder."""
+    fs, place = _files(spark, path)
+    return fs.getContentSummary(place).getLength()
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """Copies a file or folder between any two file systems that Spark knows."""
+    (a, x), (b, y) = _files(spark, source), _files(spark, target)
+    if not spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(a, x, b, y, False, True, spark.sparkContext._jsc.hadoopConfiguration()):
+        raise OSError(f"{source} was not copied")
+
+
+def cached_copy(spark: SparkSession, source: str, cache: str) -> str:
+    """Where a file's copy lies below ``cache``, by the MD5 of its path. Copied again if its size differs."""
+    target = f"{cache.rstrip('/')}/{hashlib.md5(source.encode()).hexdigest()}/{source.rstrip('/').rpartition('/')[2]}"
+    if not exists(spark, target) or size_of(spark, target) != size_of(spark, source):
+        copy(spark, source, target)
+        if size_of(spark, target) != size_of(spark, source):
+            raise OSError(f"the copy of {source} is not whole")
+    return target
+
+
+def write_text(spark: SparkSession, path: str, value: str) -> None:
+    """One small text file, whole or not at all: written beside its place and renamed."""
+    fs, place = _files(spark, path)
+    _, beside = _files(spark, path + ".tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(value.encode()))
+    out.close()
+    fs.delete(place, False)
+    if not fs.rename(beside, place):
+        raise OSError(f"{path} was not written")
+
+
+def write_json(spark: SparkSession, path: str, value: object) -> None:
+    write_text(spark, path, json.dumps(value, ensure_ascii=False, allow_nan=False, indent=2, sort_keys=True))
+
+
+def write_dump(df: DataFrame, folder: str, step: int) -> None:
+    """One step's generations as <step>.jsonl: a step's batch is small, so it is one file."""
+    spark, beside = df.sparkSession, f"{folder}/.{step}-{uuid.uuid4().hex}"
+    df.coalesce(1).write.json(beside)
+    fs, place = _files(spark, beside)
+    part = next(x.getPath() for x in fs.listStatus(place) if x.getPath().getName().startswith("part-"))
+    fs.rename(part, _files(spark, f"{folder}/{step}.jsonl")[1])
+    fs.delete(place, True)
+
+
+def write_report(groups: DataFrame, summary: DataFrame, issues: DataFrame, folder: str) -> None:
+    """prompt_group_metrics.csv (tags joined by ;), summary.json (null without groups) and issues.jsonl."""
+    groups.withColumn("tags", F.concat_ws(";", "tags")).write.mode("overwrite").option("header", True).csv(f"{folder}/prompt_group_metrics.csv")
+    row = summary.first()
+    write_json(groups.sparkSession, f"{folder}/summary.json", None if row is None or not row["n_groups"] else row.asDict())
+    issues.write.mode("overwrite").json(f"{folder}/issues.jsonl")
+
+
+def provenance(spark: SparkSession, config: dict) -> dict:
+    """What a run was made with: versions, the configuration and its digest."""
+    text = json.dumps(config, sort_keys=True)
+    return {"spark": spark.version, "config": config, "config_sha256": hashlib.sha256(text.encode()).hexdigest()}
+
+
+def write_splits(splits: dict[str, DataFrame], folder: str) -> None:
+    """<split>.parquet for each split, and <split>_example.json with its first row."""
+    for name, df in splits.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        row = df.limit(1).select(F.to_json(F.struct("*")).alias("x")).first()
+        write_json(df.sparkSession, f"{folder}/{name}_example.json", json.loads(row.x) if row else None)
+
+
+def dataset(spark: SparkSession, path: str, name: str, split: str, question: str, answer: str, index: str) -> DataFrame:
+    """Rows of a question set from local files: prompt_id, source_index, question, gold (the hash answer)."""
+    from rolloom.functions.text import hash_answer
+
+    df = load_tables(spark, [path])
+    return df.select(
+        F.format_string("%s-%s-%06d", F.lit(name), F.lit(split), F.col(index)).alias("prompt_id"), F.col(index).alias("source_index"), F.col(question).alias("question"), hash_answer(F.col(answer)).alias("gold"))
+
+
+def newest(spark: SparkSession, folder: str, suffix: str = ".parquet") -> str:
+    """The file or folder with the suffix, anywhere below ``folder``, that was changed last (of equals, the last name)."""
+    fs, place = _files(spark, folder)
+    found, waiting = [], [place]
+    while waiting:
+        for x in fs.listStatus(waiting.pop()):
+            if x.getPath().getName().endswith(suffix):
+                found.append((x.getModificationTime(), x.getPath().toString()))
+            elif x.isDirectory():
+                waiting.append(x.getPath())
+    if not found:
+        raise FileNotFoundError(folder)
+    return max(found)[1]
+
+
+def categories(spark: SparkSession, root: str, names: list[str], levels: list[str] | None = None, level: str = "level") -> DataFrame:
+    """The newest file of each category's folder, in the given order: category, order and columns, of the given levels."""
+    out = None
+    for k, name in enumerate(names):
+        one = spark.read.parquet(newest(spark, f"{root}/{name}")).select(F.lit(name).alias("category"), F.lit(k).alias("category_order"), "*")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no categories")
+    return out if levels is None else out.where(F.col(level).isin(levels))
+
+
+def masked(df: DataFrame, pattern: str) -> DataFrame:
+    """For a viewer: matches in text columns become *, other columns become JSON."""
+    as_json = lambda c: F.regexp_replace(F.to_json(F.struct(F.col(c).alias("v"))), r'^\{"v":|\}$', "")
+    return df.select(*[(F.regexp_replace(c, pattern, "*") if kind == "string" else as_json(c)).alias(c) for c, kind in df.dtypes])

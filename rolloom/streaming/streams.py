@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 
 @dataclass
@@ -126,3 +127,93 @@ def file_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 def console_sink(rows: int = 20) -> Callable[[DataFrame, int], None]:
     return lambda batch, epoch: print(f"step:{epoch} - " + " | ".join(map(str, batch.limit(rows).collect())))
+
+
+@dataclass
+class TokenBucket:
+    """A rate limit: ``rate`` tokens a second, at most ``most`` at once. Larger requests leave a debt."""
+
+    rate: float
+    most: float | None = None
+    tokens: float | None = None
+    last: float | None = None
+
+    def acquire(self, n: float, now: float) -> float:
+        """Takes n tokens at time ``now`` and returns the time to wait first."""
+        most = self.most or self.rate
+        if self.tokens is None or self.last is None:
+            self.tokens, self.last = most, now
+        self.tokens, self.last = min(most, self.tokens + (now - self.last) * self.rate), now
+        wait = max(n - self.tokens, 0.0) / self.rate
+        if wait and n <= most:  # the tokens that come while waiting are taken at once
+            self.tokens, self.last = 0.0, now + wait
+        else:
+            self.tokens -= n
+        return wait
+
+
+def limited(requests: DataFrame, key: str, ts: str, cost: str, rate: float, most: float, concurrent: int, seconds: float) -> DataFrame:
+    """key, ts, cost, started of every request of a client: it starts when the bucket has its cost and fewer than
+    ``concurrent`` requests, which take ``seconds`` each, run. A client's requests are one queue, so one task."""
+    types = dict(requests.dtypes)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([ts, cost], kind="stable")
+        bucket, running, started = TokenBucket(rate, most), deque(), []
+        clock = 0.0
+        for at, n in zip(pdf[ts], pdf[cost], strict=True):
+            clock = max(clock, float(at))
+            while running and running[0] <= clock:
+                running.popleft()
+            if len(running) >= concurrent:
+                clock = running.popleft()
+            clock += bucket.acquire(float(n), clock)
+            running.append(clock + seconds)
+            started.append(clock)
+        return pdf.assign(started=started)
+
+    return requests.select(key, ts, cost).groupBy(key).applyInPandas(one, f"{key} {types[key]}, {ts} {types[ts]}, {cost} {types[cost]}, started double")
+
+
+def staleness_trace(events: DataFrame, stream: str, order: str, kind: str, required: int, threshold: float, sync_step: int = 1) -> DataFrame:
+    """stream, order, made, paused after each event: "sample" counts while not paused, "sync" sets the count back to what is queued.
+
+    Samples since the last sync are numbered by a window, so no state is kept outside of Spark; a sample beyond the limit is not made.
+    """
+    limit = StalenessBudget(required, threshold, sync_step).limit
+    w = Window.partitionBy(stream).orderBy(order)
+    version = F.sum((F.col(kind) == "sync").cast("int")).over(w)
+    rows = events.withColumn("_v", version)
+    wanted = F.sum((F.col(kind) == "sample").cast("int")).over(Window.partitionBy(stream, "_v").orderBy(order))
+    return rows.select(stream, order, kind, F.least(wanted, F.lit(limit)).alias("made"), (wanted >= limit).alias("paused"), ((F.col(kind) == "sample") & (wanted <= limit)).alias("is_made"))
+
+
+def whole_batches(rows: DataFrame, partition: str, order: str, n: int) -> DataFrame:
+    """Rows with ``batch``: the k-th n rows of a partition, by order; an incomplete last batch is left out."""
+    by = Window.partitionBy(partition)
+    at, count = F.row_number().over(by.orderBy(order)) - 1, F.count("*").over(by)
+    return rows.withColumns({"batch": F.floor(at / n), "_whole": F.floor(count / n)}).where("batch < _whole").drop("_whole")
+
+
+def take_oldest(status: DataFrame, key: str, step: str, now: int, n: int, max_age: int) -> DataFrame:
+    """The n finished or failed prompts with the smallest step (then key), less those older than ``max_age`` steps; nothing if fewer than n are there."""
+    ready = status.where(F.col("status").isin("finished", "failure"))
+    chosen = ready.orderBy(step, key).limit(n)
+    enough_rows = ready.agg((F.count("*") >= n).alias("_enough"))
+    return chosen.crossJoin(F.broadcast(enough_rows)).where("_enough").drop("_enough").withColumn("dropped", F.lit(now) - F.col(step) > max_age)
+
+
+def with_retries(f: Callable[[pd.DataFrame], pd.DataFrame], attempts: int = 16) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A mapInPandas function that tries each batch up to ``attempts`` times; the last error is raised."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(attempts):
+                try:
+                    yield f(b)
+                    break
+                except Exception:
+                    if k + 1 == attempts:
+                        raise
+
+    return run

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rolloom.functions import answers, normalize, text
+from rolloom.functions import answers, normalize, text, tools
 from rolloom.operators import balance, relations
 from rolloom.operators.tokens import AdaptiveKL
 from rolloom.plans.catalog import QUERIES
@@ -102,16 +102,15 @@ def test_verification(response, truth, error):
 
 
 @pytest.mark.parametrize("a, b, state", [
-    ("\\frac12", "0.5", "equal"), ("(1,2)", "(1, 2.0)", "equal"), ("(1,2)", "[1,2]", "different"), ("\\{1,2\\}", "\\{2,1\\}", "equal"), ("x^2", "x*x", "unsupported"), ("50\\%", "0.5", "equal"), ("1", "2", "different"), ("\\sqrt3", "\\sqrt{3}", "equal"), (None, "1", "different"),
+    ("\\frac12", "0.5", "equal"), ("(1,2)", "(1, 2.0)", "equal"), ("(1,2)", "[1,2]", "different"), ("\\{1,2\\}", "\\{2,1\\}", "equal"), ("x^2", "x*x", "equal"), ("x \\oplus y", "y \\oplus x", "unsupported"), ("50\\%", "0.5", "equal"), ("1", "2", "different"), ("\\sqrt3", "\\sqrt{3}", "equal"), (None, "1", "different"),
 ])
 def test_equality(a, b, state):
     assert answers.equal(a, b) == state
 
 
 def test_tool_call_forms():
-    assert answers.tool_calls("<function=f><parameter=x>1</parameter></function>", "xml_function") == [{"name": "f", "arguments": '{"x": "1"}'}]
-    assert answers.tool_calls('to=functions.g <|message|>{"y": 2}<|call|>', "harmony") == [{"name": "g", "arguments": '{"y": 2}'}]
-    assert answers.tool_calls(None) == []
+    assert tools.calls("<tool_call><function=f><parameter=x>1</parameter></function></tool_call>", "xml_function") == [{"name": "f", "arguments": '{"x": "1"}'}]
+    assert tools.calls(None, "hermes") == []
 
 
 def test_balance():
