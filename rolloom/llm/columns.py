@@ -69,19 +69,23 @@ def total(columns: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def meet(rows: DataFrame, small: DataFrame, keys: list[str], most: int = MAX_BROADCAST, how: str = "inner") -> DataFrame:
+def meet(rows: DataFrame, small: DataFrame, keys: list[str], most: int = MAX_BROADCAST, how: str = "inner", n: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``small``, which has at most one row for each key (nulls are equal). how: inner or left.
+    n: a number that ``small`` has at most, where it is known; else its rows are counted.
 
     ``small`` is counted: up to ``most`` rows it is broadcast. Beyond, keys that hold more than one row in ``HOT``
     (there are fewer of them than ``HOT``) are joined by broadcasting their rows of ``small``, and all others by a
     shuffle, in which no key has a larger share.
     """
-    small = materialize(small.withColumnsRenamed({k: f"_{k}" for k in keys}))
+    small = small.withColumnsRenamed({k: f"_{k}" for k in keys})
     names = [*rows.columns, *[c for c in small.columns if c not in {f"_{k}" for k in keys}]]
     same = total_and(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)
-    if small.count() <= most:
+    if n is None:
+        small = materialize(small)
+        n = small.count()
+    if n <= most:
         return rows.join(F.broadcast(small), same, how).select(*names)
-    rows = materialize(rows)
+    rows, small = materialize(rows), materialize(small)
     least = rows.count() / HOT
     hot = materialize(rows.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.count("*").alias("_c")).where(F.col("_c") > least).drop("_c"))
     is_hot = lambda prefix: total_and(F.col(f"{prefix}{k}").eqNullSafe(F.col(f"_hot_{k}")) for k in keys)

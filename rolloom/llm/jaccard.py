@@ -61,6 +61,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rolloom.llm.columns import MAX_BROADCAST as MAX_ROWS
 from rolloom.llm.columns import meet, written
 from rolloom.session import materialize, prepare
 
@@ -373,22 +374,20 @@ def near_copies(heavy: DataFrame, chunk: int, n_pivots: int = PIVOTS) -> DataFra
     by = Window.partitionBy("label").orderBy(F.xxhash64("class"), "class")
     chosen = named.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n_pivots)
     pivots = materialize(chosen.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("class", "set"))).alias("pivots")))
-    size = pivots.select(F.sum(F.aggregate("pivots", F.lit(0).cast("long"), lambda a, p: a + F.length(p["set"])))).first()[0] or 0
-    seen = meet(named, pivots, ["label"], 1 << 62 if size <= PIVOT_BYTES else 0).select("label", "class", "n", "set", "pivots")
+    size, n = pivots.select(F.sum(F.aggregate("pivots", F.lit(0).cast("long"), lambda a, p: a + F.length(p["set"]))), F.count("*")).first()
+    seen = meet(named, pivots, ["label"], MAX_ROWS if (size or 0) <= PIVOT_BYTES else -1, n=n).select("label", "class", "n", "set", "pivots")
     seen = materialize(seen.mapInArrow(_to_pivots, "label long, class long, n long, d array<double>, linked array<long>"))
     links = materialize(seen.select(F.col("class").alias("a"), F.explode("linked").alias("b")))
 
     # Parts of a group: what its pivots hold together, and the rest (null).
     parts = components(links).withColumnRenamed("label", "part")
     members = materialize(seen.drop("linked").join(parts, "class", "left"))
-    at = members.select("label", "part", "n", F.posexplode("d").alias("p", "x")).groupBy("label", "part", "p").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    ranges = at.groupBy("label", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "low", "high"))), lambda r: F.struct(r["low"].alias("low"), r["high"].alias("high"))).alias("ranges"))
-    sizes = members.groupBy("label", "part").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
-    both = meet(sizes, ranges, ["label", "part"])
+    ranges = F.array(*[F.struct(F.min(F.get("d", F.lit(i))).alias("low"), F.max(F.get("d", F.lit(i))).alias("high")) for i in range(n_pivots)])
+    both = members.groupBy("label", "part").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"), F.filter(ranges, lambda r: r["low"].isNotNull()).alias("ranges"))
     before = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("start", F.coalesce(F.sum("chunks").over(before), F.lit(0)).cast("int"))
     groups = both.groupBy("label").agg(F.collect_list(F.struct("part", "start", "chunks", "ranges")).alias("groups")).where((F.size("groups") > 1) | F.exists("groups", lambda g: g["part"].isNull()))
-    near = meet(members, groups, ["label"])
+    near = meet(members, groups, ["label"], n=n)
     # Bounds are a little wider than 0.2, for the rounding of distances.
     reaches = lambda g: F.forall(F.zip_with(F.col("d"), g["ranges"], lambda x, r: (x >= r["low"] - 0.2000001) & (x <= r["high"] + 0.2000001)), lambda ok: ok)
     others = F.filter("groups", lambda g: (~g["part"].eqNullSafe(F.col("part")) | g["part"].isNull()) & reaches(g))
@@ -407,7 +406,7 @@ def components(links: DataFrame) -> DataFrame:
     rounds grows with the logarithm of a component's diameter.
     """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).toDF("class", "other").distinct())
-    labels = materialize(both.groupBy("class").agg(F.min("other").alias("m")).select("class", F.least("class", "m").alias("label")))
+    labels = both.groupBy("class").agg(F.min("other").alias("m")).select("class", F.least("class", "m").alias("label"))
     while True:
         near = both.join(labels.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.min("label").alias("m"))
         spread = labels.join(near, "class").select("class", F.least("label", "m").alias("label"), F.col("label").alias("old"))

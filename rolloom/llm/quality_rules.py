@@ -139,29 +139,29 @@ def _binned(d2: Column) -> Column:
     return F.round(F.least(F.sqrt(d2), F.lit(1000.0)) * 32).cast("long")
 
 
-def _concentrated(near: DataFrame, keys: list[str], share: float) -> DataFrame:
+def _concentrated(near: DataFrame, keys: list[str], share: float, n: int) -> DataFrame:
     """One concentration step: parameters of the vectors with the smallest bins that hold ``share`` of the texts."""
     limits = near.groupBy(*keys).agg(F.percentile("bin", share, F.col("w")).alias("limit"))
-    return materialize(_estimate(meet(near, limits, keys).where("bin <= limit"), keys))
+    return materialize(_estimate(meet(near, limits, keys, n=n).where("bin <= limit"), keys))
 
 
-def fitted(vectors: DataFrame, share: float, first_steps: int, max_steps: int) -> DataFrame:
-    """pool and its minimum-determinant parameters, over counted vectors (pool, FEATURES, w)."""
+def fitted(vectors: DataFrame, n: int, share: float, first_steps: int, max_steps: int) -> DataFrame:
+    """pool and its minimum-determinant parameters, over counted vectors (pool, FEATURES, w) of at most n pools."""
     mids = vectors.groupBy("pool").agg(*[F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("w")).alias(f"p_{x}") for x in FEATURES])
     z = [F.abs(F.col(x) - F.col(f"p_{x}")[1]) / ((F.col(f"p_{x}")[2] - F.col(f"p_{x}")[0]) / 1.349 + RIDGE[x] * SCALE) for x in FEATURES]
     starts = [_binned(total(v**2 for v in z)), _binned(F.greatest(*z) ** 2), F.pmod(F.xxhash64(*FEATURES), F.lit(1000))]
     bins = F.array(*[F.struct(F.lit(i).alias("start"), b.alias("bin")) for i, b in enumerate(starts)])
-    near = meet(vectors, mids, ["pool"]).select("pool", *FEATURES, "w", F.explode(bins).alias("x")).select("pool", *FEATURES, "w", "x.*")
+    near = meet(vectors, mids, ["pool"], n=n).select("pool", *FEATURES, "w", F.explode(bins).alias("x")).select("pool", *FEATURES, "w", "x.*")
     every = vectors.withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(STARTS)])))
     for k in range(first_steps):
-        found = _concentrated(near, ["pool", "start"], share)
+        found = _concentrated(near, ["pool", "start"], share, STARTS * n)
         if k + 1 < first_steps:
-            near = _distance(meet(every, found, ["pool", "start"])).withColumn("bin", _binned(F.col("d2")))
+            near = _distance(meet(every, found, ["pool", "start"], n=STARTS * n)).withColumn("bin", _binned(F.col("d2")))
     best = found.groupBy("pool").agg(F.min(F.struct("log_det", "start", *PARAMETERS[1:])).alias("x")).select("pool", *[F.col(f"x.{c}").alias(c) for c in PARAMETERS])
     for _ in range(max_steps):
-        near = _distance(meet(vectors, best, ["pool"])).withColumn("bin", _binned(F.col("d2")))
-        new = _concentrated(near, ["pool"], share).select("pool", F.struct(*PARAMETERS).alias("new"))
-        both = meet(best, new, ["pool"]).withColumn("falls", F.col("new.log_det") < F.col("log_det") - 1e-6)
+        near = _distance(meet(vectors, best, ["pool"], n=n)).withColumn("bin", _binned(F.col("d2")))
+        new = _concentrated(near, ["pool"], share, n).select("pool", F.struct(*PARAMETERS).alias("new"))
+        both = best.join(new, "pool").withColumn("falls", F.col("new.log_det") < F.col("log_det") - 1e-6)
         best = materialize(both.select("pool", *[F.when(F.col("falls"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in PARAMETERS], "falls"))
         falls = best.where("falls").limit(1).count()
         best = best.drop("falls")
@@ -185,14 +185,15 @@ def evaluate(docs: DataFrame, share: float = 0.75, first_steps: int = 2, max_ste
     rows = materialize(statistics(docs, **columns).withColumns(_vector()))
     passing = rows.where(~F.col("base_failed"))
     pools = materialize(pooled(passing, min_group))
+    n = pools.count()
     counted = passing.groupBy("lang", "source", *FEATURES).agg(F.count("*").alias("w"))
-    vectors = materialize(meet(counted, pools, ["lang", "source"]).groupBy("pool", *FEATURES).agg(F.sum("w").alias("w")))
-    best = fitted(vectors, share, first_steps, max_steps)
-    near = _distance(meet(vectors, best, ["pool"]))
+    vectors = materialize(meet(counted, pools, ["lang", "source"], n=n).groupBy("pool", *FEATURES).agg(F.sum("w").alias("w")))
+    best = fitted(vectors, n, share, first_steps, max_steps)
+    near = _distance(meet(vectors, best, ["pool"], n=n))
     scale = near.groupBy("pool").agg(F.sum("w").alias("n_pool"), F.percentile(_binned(F.col("d2")), 0.5, F.col("w")).alias("mid"))
     scale = scale.select("pool", "n_pool", F.greatest(F.lit(1.0), (F.col("mid") / 32) ** 2 / CHI2_MEDIAN).alias("scale"))
-    known = meet(meet(pools, best, ["pool"]), scale, ["pool"]).drop("pool")
-    judged = _distance(meet(passing, known, ["lang", "source"])).withColumn("distance", F.when(F.col("n_pool") >= min_group, F.col("d2") / F.col("scale")))
+    known = meet(pools, best.join(scale, "pool"), ["pool"], n=n).drop("pool")
+    judged = _distance(meet(passing, known, ["lang", "source"], n=n)).withColumn("distance", F.when(F.col("n_pool") >= min_group, F.col("d2") / F.col("scale")))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     kept = judged.select(*names, (F.col("distance").isNull() | (F.col("distance") <= chi2_quantile(tail))).alias("kept"), "distance")
     return rows.where("base_failed").select(*names, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")).unionByName(kept)
