@@ -105,10 +105,10 @@ def _(t: Tables) -> DataFrame:
     return batch(t).agg(F.round(-F.sum(A.masked_sum(F.col("v"), F.col("m"))) / F.sum(A.mask_count(F.col("m"))), 6).alias("nll"))
 
 
-@tok("tok13_topk_overlap", ", a AS (SELECT DISTINCT vec_id, id FROM x WHERE i < 32), b AS (SELECT DISTINCT vec_id, id FROM x WHERE i >= 32) SELECT vec_id, count(*) AS n FROM a JOIN b USING (vec_id, id) GROUP BY 1")
+@tok("tok13_topk_overlap", ", a AS (SELECT DISTINCT vec_id, id FROM x WHERE i < 32), b AS (SELECT DISTINCT vec_id, id FROM x WHERE i >= 32), o AS (SELECT vec_id, count(*) AS n FROM a JOIN b USING (vec_id, id) GROUP BY 1) SELECT vec_id, coalesce(n, 0) AS n FROM embeddings LEFT JOIN o USING (vec_id)")
 def _(t: Tables) -> DataFrame:
     both = F.size(F.array_intersect(F.slice("ids", 1, 32), F.slice("ids", 33, 32))).cast("long")
-    return batch(t).select("vec_id", both.alias("n")).where("n > 0")
+    return batch(t).select("vec_id", both.alias("n"))
 
 
 @tok("tok16_truncated_weights", "SELECT vec_id, round(sum(least(exp(v - w), 1.01) * m), 5) AS value FROM x GROUP BY 1")

@@ -455,12 +455,12 @@ def _(t: Tables) -> DataFrame:
     return rounded(out, *out.columns)
 
 
-@query("agg34_distributed_mean", "SELECT event_id % 50 AS step, round(avg(value), 3) AS mean, round(max(value), 3) AS max, round(min(value), 3) AS min, round(stddev_pop(value), 3) AS std, round(sum(CASE WHEN user_id % 2 = 0 THEN value END) / count_if(user_id % 2 = 0), 3) AS masked_mean FROM events GROUP BY 1")
+@query("agg34_distributed_mean", "SELECT event_id % 50 AS step, round(avg(value), 8) AS mean, round(max(value), 8) AS max, round(min(value), 8) AS min, round(stddev_pop(value), 8) AS std, round(sum(CASE WHEN user_id % 2 = 0 THEN value END) / count_if(user_id % 2 = 0), 8) AS masked_mean FROM events GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     """Ranks send sums and counts, not means: the whole is put together from them."""
     rows = t.events.select((F.col("event_id") % 50).alias("step"), (F.col("user_id") % 4).alias("rank"), "value", (F.col("user_id") % 2 == 0).alias("mask"))
     out = groups.all_reduced(rows, "step", "rank", "value", "mask")
-    return out.select("step", *[F.round(c, 3).alias(c) for c in ("mean", "max", "min", "std", "masked_mean")])
+    return out.select("step", *[F.round(c, 8).alias(c) for c in ("mean", "max", "min", "std", "masked_mean")])
 
 
 @query("win14_curriculum", """WITH x AS (SELECT o_custkey, list(((o_orderstatus = 'F')::INT)::DOUBLE ORDER BY o_orderdate, o_orderkey) AS v, var_pop(o_totalprice / 1000) AS q, max(o_orderdate::DATE) AS last_step FROM orders GROUP BY 1)

@@ -205,12 +205,10 @@ def load_many(t: Tables) -> DataFrame:
     return files.load_tables(t.spark, [path, path]).agg(F.count("*").alias("n"))
 
 
-@query("str6_reward_of_session", "SELECT conv_id, turn, max_by(length(text), turn) OVER (PARTITION BY conv_id) AS final_score FROM conversations QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1 AND count(*) OVER (PARTITION BY conv_id) > 0")
+@query("str6_reward_of_session", "SELECT conv_id, turn, role, max_by(length(text), (turn, role, text)) OVER (PARTITION BY conv_id) AS final_score FROM conversations")
 def session_reward(t: Tables) -> DataFrame:
     w = relations.Window.partitionBy("conv_id")
-    once = F.count("*").over(relations.Window.partitionBy("conv_id", "turn"))
-    rows = t.conversations.select("conv_id", "turn", F.max_by(F.length("text"), "turn").over(w).cast("long").alias("final_score"), once.alias("c"))
-    return rows.where("c = 1").drop("c")
+    return t.conversations.select("conv_id", "turn", "role", F.max_by(F.length("text"), F.struct("turn", "role", "text")).over(w).cast("long").alias("final_score"))
 
 
 @query("str11_by_version", "SELECT event_id // 500 AS version, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
