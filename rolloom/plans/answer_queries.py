@@ -291,3 +291,94 @@ def _(t: Tables) -> DataFrame:
     rows = [("\\boxed{7} then \\boxed{x}",), ("The answer is 7",), ("\\boxed{8} and 7",), ("\\boxed{x}, 7",), ("\\boxed{6} \\boxed{7.0}",)]
     x = [answers.verify_mode_column(F.col("c0"), F.lit("7"), mode).alias(mode) for mode in ("training", "evaluation")]
     return laid_out(t, rows).select("doc_id", *x).select("doc_id", *[F.coalesce(F.col(m)["error"], F.lit("ok")).alias(m) for m in ("training", "evaluation")])
+
+
+EXTRACTIONS = [
+    ("so \\boxed{\\frac{1}{2}}", "boxed", "1/2"), ("\\boxed{3}\nThe answer is 1,200.", "explicit_final", "1200"), ("\\boxed{1} or \\boxed{2}", "ambiguous", None), ("no number", "missing", None), ("x = 5", "implicit_terminal", "5"), ("#### 7", "explicit_final", "7"),
+    ("\\boxed{x}", "parse_error", None), ("Answer: 2\nAnswer: 3", "ambiguous", None), ("Answer: 2\nFinal answer is 2.0", "explicit_final", "2"), ("I saw 3 cats and 4 dogs.", "ambiguous", None), ("I saw 3 cats.", "missing", None), ("", "missing", None), ("$12$", "implicit_terminal", "12"),
+    ("3/4", "implicit_terminal", "3/4"), ("it costs\n\\$1,234.50", "implicit_terminal", "2469/2"), ("25\\%", "implicit_terminal", "1/4"), ("\\boxed{4} and \\boxed{4.0}", "boxed", "4"), ("a = b = -8", "implicit_terminal", "-8"), ("\\boxed{5", "missing", None),
+]
+
+
+@query("ext1_statuses", expected(status=[c[1] for c in EXTRACTIONS], value=[c[2] for c in EXTRACTIONS]))
+def _(t: Tables) -> DataFrame:
+    return laid_out(t, EXTRACTIONS).select("doc_id", answers.extract_column(F.col("c0")).alias("x")).select("doc_id", "x.status", "x.value")
+
+
+NUMBERS = [
+    ("$0.5$", "1/2"), ("\\$1,200", "1200"), ("25\\%", "1/4"), ("-3.50", "-7/2"), ("1/3", "1/3"), ("\\frac{-2}{6}", "-1/3"), (".125", "1/8"), ("+7", "7"), ("1e5", None), ("1,20", None), ("2/0", None), ("10%", "1/10"), ("-\\frac{3}{4}", "-3/4"), ("1,234,567.25", "4938269/4"), ("\\(8\\)", "8"),
+    ("- $5", "-5"), ("6 / 8", "3/4"), ("007", "7"), ("five", None),
+]
+
+
+@query("ext3_number_forms", expected(value=[c[1] for c in NUMBERS]))
+def _(t: Tables) -> DataFrame:
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if (n := answers.parse_number(v)) is None else str(n))
+
+    return laid_out(t, NUMBERS).select("doc_id", run("c0").alias("value"))
+
+
+BRACES = [("\\boxed{1} \\boxed{2}", "1|2"), ("\\boxed{\\frac{1}{2}}", "\\frac{1}{2}"), ("\\boxed{a\\boxed{b}c}", "b|a\\boxed{b}c"), ("\\boxed{open", ""), ("\\boxed{}", ""), ("x } \\boxed{{y}} }", "{y}"), ("\\boxed{1}\\boxed{", "1"), ("none", "")]
+
+
+@query("ext4_nested_boxes", expected(boxes=[c[1] for c in BRACES]))
+def _(t: Tables) -> DataFrame:
+    return laid_out(t, BRACES).select("doc_id", F.array_join(text.boxed(F.col("c0")), "|").alias("boxes"))
+
+
+ARITHMETIC = [("1+2*3", 7.0), ("2^3^2", 512.0), ("(1+1)*4", 8.0), ("8/4/2", 1.0), ("7/2", 3.5), ("1/0", None), ("abc", None), (".5+.5", 1.0), ("10-3-2", 5.0), ("2*(3+(4-1))", 12.0), ("", None), ("(1", None), ("2 3", None), ("-4+1", -3.0), ("2^(0-1)", 0.5)]
+
+
+@query("nrm6_expressions", expected(value=[c[1] for c in ARITHMETIC]))
+def _(t: Tables) -> DataFrame:
+    from rolloom.functions import normalize
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([normalize.safe_arithmetic(v) for v in x], dtype="float64")
+
+    return laid_out(t, ARITHMETIC).select("doc_id", F.nanvl(run("c0"), F.lit(None).cast("double")).alias("value"))
+
+
+QUANTITIES = [("\\text{$5million}", "5*10^6"), ("7 3/4", "7+3/4"), ("1,000", "1000"), ("3.0", "3"), ("5 cm", "5"), ("90^\\circ", "90"), ("12 degrees", "12"), ("\\$50", "50"), ("2 billion", "2 *10^9"), ("0050", "50"), ("{4}", "4"), ("- 5", "-5"), ("X", "x"), ("-0", "0"), ("1,234.00", "1234")]
+
+
+@query("nrm4_forms", expected(answer=[c[1] for c in QUANTITIES]))
+def _(t: Tables) -> DataFrame:
+    from rolloom.functions import normalize
+
+    return laid_out(t, QUANTITIES).select("doc_id", normalize.plain_quantity(F.col("c0")).alias("answer"))
+
+
+VERDICTS = [
+    ("\\boxed{0.5}", "1/2", "ok"), ("\\boxed{3}", "4", "wrong_answer"), ("", "4", "missing_answer"), ("\\boxed{3}", "x", "invalid_ground_truth"), ("\\boxed{-2}", "-2.0", "ok"), ("\\boxed{1} \\boxed{2}", "1", "ambiguous_answer"), ("The answer is 1,200", "1200", "ok"), ("\\boxed{y}", "1", "answer_parse_error"),
+    ("#### 50%", "0.5", "ok"), ("so 7", "7", "missing_answer"), ("= 7", "7", "ok"), ("\\boxed{1/3}", "0.3333", "wrong_answer"),
+]
+
+
+@query("ver1_errors", expected(error=[c[2] for c in VERDICTS]))
+def _(t: Tables) -> DataFrame:
+    return laid_out(t, VERDICTS).select("doc_id", F.coalesce(answers.verify_column(F.col("c0"), F.col("c1"))["error"], F.lit("ok")).alias("error"))
+
+
+# (response, truth, correct, format, pred): an answer with pi is tried with pi and with 3.14
+TRIPLES = [
+    ("The answer is \\boxed{7}", "7", True, True, "7"), ("The answer is 6.28", "2\\pi", True, False, "6.28"), ("The answer is \\boxed{\\frac{2}{4}}", "\\frac{1}{2}", True, False, "\\frac{2}{4}"), ("The answer is 9", "8", False, False, "9"), ("Step 2: \\boxed{9}", "8", False, True, "9"), ("The answer is (1, 2)", "(1,2)", True, True, "(1, 2)"),
+]
+
+
+@query("scr5_pi_and_fractions", expected(correct=[c[2] for c in TRIPLES], format=[c[3] for c in TRIPLES], pred=[c[4] for c in TRIPLES]))
+def _(t: Tables) -> DataFrame:
+    return laid_out(t, TRIPLES).select("doc_id", answers.prime_score_column(F.col("c0"), F.col("c1")).alias("x")).select("doc_id", "x.correct", "x.format", "x.pred")
+
+
+LINES = [("so\nAnswer: 12", "12", 1.0), ("Answer: 11\nanswer : 12", "12", 1.0), ("Answer: $\\frac12$", "\\frac{1}{2}", 1.0), ("no line 12", "12", -1.0), ("Answer: 1,000", "1000", 1.0), ("Answer: x=3", "3", 1.0), ("Answer: 12 dollars", "12", 1.0), ("Answer: 13", "12", -1.0), ("Answer: \\text{12}", "12", 1.0)]
+
+
+@query("scr3_line_forms", expected(score=[c[2] for c in LINES]))
+def _(t: Tables) -> DataFrame:
+    from rolloom.functions import normalize
+
+    return laid_out(t, LINES).select("doc_id", normalize.line_score(F.col("c0"), F.col("c1"))["score"].alias("score"))
