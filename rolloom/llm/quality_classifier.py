@@ -14,8 +14,9 @@ fixed size.
 Defined results: null texts count as empty and get a score like any text; a null id
 is never held out and never trains; of repeated ids one row trains; labels that
 are null or contradict each other within an id do not train; without labels of
-both kinds every score is the share of label 1 (0.5 without any); an empty table
-gives an empty result; other columns are ignored.
+both kinds every score is the share of label 1 (0.5 without any); very long texts count
+whole; equal texts have equal scores, so ties need no order; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -26,9 +26,10 @@ Positions: between two matches lie the pieces that ``split`` gives, so a running
 sum of lengths over the matches of a row and kind gives starts in code points.
 
 Defined results: a null text counts as empty; a text without spans has an empty
-span list (and the SHA-256 of the empty string); repeated rows are scanned each;
-null ids are carried through; an empty table gives an empty result; other columns
-are ignored. Tokens that overlap a base span are not reported again.
+span list (and the SHA-256 of the empty string); very long texts are scanned whole;
+spans that begin at one place are listed by kind; repeated rows are scanned each; null
+ids are carried through; an empty table gives an empty result; other columns are
+ignored, whatever their names. Tokens that overlap a base span are not reported again.
 """
 
 from __future__ import annotations
