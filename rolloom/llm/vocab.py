@@ -28,13 +28,21 @@ BLANKS = "\t-\r \x85\xa0"
 #: Texts with any of these take the library's path.
 UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ſ]|<\\|")
 BEYOND_LATIN = re.compile("[^\x00-\x1b\x20-įı-ſ]")
+#: Those of them that ASCII texts can have.
+UNUSUAL_ASCII = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 UNEVEN_BLANKS = re.compile(rf"[{BLANKS}] (?![^{BLANKS}])|[{BLANKS}][{BLANKS}] ")
 BYTE_PIECES = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 WORD_PIECES = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
-#: Entries of a worker's table; it starts anew beyond.
-TABLE_SIZE = 300_000
+#: Entries of a worker's tables; they start anew beyond.
+TABLE_SIZE = 100_000
 #: Characters of the texts that are worked on together.
-SLICE = 8 << 20
+SLICE = 4 << 20
+
+
+def unusual(text: str) -> bool:
+    if text.isascii():
+        return any(x in text for x in UNUSUAL_ASCII)
+    return UNUSUAL.search(text) is not None
 
 
 def _byte_letters() -> dict[int, int]:
@@ -121,9 +129,10 @@ class BytePieces(Vocabulary):
             size += len(text or "")
         if held:
             yield self._block(held)
+        pa.default_memory_pool().release_unused()
 
     def _block(self, texts: list[str]) -> Block:
-        even = [not UNUSUAL.search(t) and not UNEVEN_BLANKS.search(t) for t in texts]
+        even = [not unusual(t) and not UNEVEN_BLANKS.search(t) for t in texts]
         split = pc.split_pattern(pa.array([t if ok else "" for t, ok in zip(texts, even, strict=True)], pa.large_string()), " ")
         ends = split.offsets.to_numpy()
         words = split.flatten().dictionary_encode()
@@ -150,18 +159,23 @@ class WordEncoder(Vocabulary):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.older: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        """Ids of a word, as bytes. Words not seen since the table was last full are forgotten."""
-        ids = self.older.get(word)
-        if ids is None:
-            if word.isascii() and word.isalpha():
-                found = [t.id for t in self.library.model.tokenize(word)]
-            else:
-                found = [i for p in WORD_PIECES.findall(word) for i in self.piece(p)]
-            ids = array("I", found).tobytes()
-        self.words[word] = ids
+        """Ids of a word, as bytes. Words that come again are kept apart from those met once, which are soon forgotten."""
+        ids = self.words.pop(word, None)
+        if ids is not None:
+            if len(self.hot) >= 2 * TABLE_SIZE:
+                self.hot.clear()
+            self.hot[word] = ids
+            return ids
+        if word.isascii() and word.isalpha():
+            found = [t.id for t in self.library.model.tokenize(word)]
+        else:
+            found = [i for p in WORD_PIECES.findall(word) for i in self.piece(p)]
+        if len(self.words) >= TABLE_SIZE:
+            self.words.clear()
+        ids = self.words[word] = array("I", found).tobytes()
         return ids
 
     def _latin(self, texts: list[str]) -> list[np.ndarray]:
@@ -169,9 +183,7 @@ class WordEncoder(Vocabulary):
         split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
         ends = split.offsets.to_numpy()
         words = split.flatten().dictionary_encode()
-        if len(self.words) >= TABLE_SIZE:
-            self.older, self.words = self.words, {}
-        get = self.words.get
+        get = self.hot.get
         known = [get(w) or self._word(w) for w in words.dictionary.to_pylist()]
         if not known:
             return [np.empty(0, np.uint32)] * len(texts)
@@ -189,7 +201,7 @@ class WordEncoder(Vocabulary):
         size = 0
         for text in texts:
             text = text or ""
-            odd = UNUSUAL.search(text) is not None
+            odd = unusual(text)
             if held and (odd or size + len(text) > SLICE):
                 yield from self._latin(held)
                 held, size = [], 0
@@ -200,6 +212,7 @@ class WordEncoder(Vocabulary):
                 size += len(text)
         if held:
             yield from self._latin(held)
+        pa.default_memory_pool().release_unused()
 
 
 _open: dict[tuple[type, str], Vocabulary] = {}
