@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_OF_A_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 4000
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -17,9 +18,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     The folder for checkpoints is the one the cluster names in
     ``spark.checkpoint.dir``. Where that is unset, a temporary folder is used if all of
     Spark runs in this process (tests, a laptop); on a cluster that is an error, since
-    executors could not share the folder.
+    executors could not share the folder. Batches for Python hold at most
+    ``BATCH_ROWS`` rows where the session has Spark's own default, so that a worker's memory
+    stays small with long texts.
     """
     sc = spark.sparkContext
+    if spark.conf.get(ROWS_OF_A_BATCH) == "10000":
+        spark.conf.set(ROWS_OF_A_BATCH, str(BATCH_ROWS))
     known = sc.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         sc.environment["PYTHONPATH"] = f"{ROOT}:{known}" if known else ROOT
