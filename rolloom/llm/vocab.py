@@ -33,8 +33,10 @@ UNUSUAL_ASCII = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 UNEVEN_BLANKS = re.compile(rf"[{BLANKS}] (?![^{BLANKS}])|[{BLANKS}][{BLANKS}] ")
 BYTE_PIECES = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 WORD_PIECES = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
+#: Single marks that often end a word.
+MARKS = frozenset(".,;:!?")
 #: Entries of a worker's tables; they start anew beyond.
-TABLE_SIZE = 100_000
+TABLE_SIZE = 125_000
 #: Characters of the texts that are worked on together.
 SLICE = 4 << 20
 
@@ -169,15 +171,22 @@ class WordEncoder(Vocabulary):
                 self.hot.clear()
             self.hot[word] = ids
             return ids
-        if word.isascii() and word.isalpha():
-            found = [t.id for t in self.library.model.tokenize(word)]
-        else:
-            found = [i for p in WORD_PIECES.findall(word) for i in self.piece(p)]
         if len(self.words) >= TABLE_SIZE:
             self.words.clear()
-        ids = self.words[word] = array("I", found).tobytes()
+        ids = self.words[word] = self._worked_out(word)
         return ids
 
+    def _worked_out(self, word: str) -> bytes:
+        stem, last = word[:-1], word[-1:]
+        if word.isalpha():  # one pre-token
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.library.model.tokenize(mapped)]
+        elif last in MARKS and stem.isalpha():  # a word and a mark
+            return (self.hot.get(stem) or self.words.get(stem) or self._worked_out(stem)) + array("I", self.piece(last)).tobytes()
+        else:
+            found = [i for p in WORD_PIECES.findall(word) for i in self.piece(p)]
+        return array("I", found).tobytes()
+
     def _latin(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts within the Latin blocks: words are told apart by Arrow, and each distinct one is worked out once."""
         split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
