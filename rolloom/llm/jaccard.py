@@ -528,7 +528,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     _release(spark)
 
     named = reps.join(labels, "class", "left").select("class", "first_id", F.coalesce("label", "class").alias("label"))
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_class = materialize(named.join(least, "label").select("class", "component_id", "label"))
+    least = named.groupBy("label").agg(F.min("first_id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    by_class = materialize(meet(named, least, ["label"], how="left").select("class", F.coalesce("least", "first_id").alias("component_id"), "label"))
     linked = nodes.where("n > 0").join(by_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class", "label", "rid")
     return linked.unionByName(nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "class", F.lit(None).cast("long").alias("label"), "rid"))
