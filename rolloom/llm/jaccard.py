@@ -370,9 +370,9 @@ def near_copies(heavy: DataFrame, chunk: int, n_pivots: int = PIVOTS) -> DataFra
     edges = meet(rows, first, ["token"]).where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
     named = materialize(heavy.join(components(edges), "class").select("label", "class", "n", "set"))
 
-    # Pivots: at most ``n_pivots`` a group, by the hash of their class.
-    by = Window.partitionBy("label").orderBy(F.xxhash64("class"), "class")
-    chosen = named.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n_pivots)
+    # Pivots: at most ``n_pivots`` a group, the smallest class of each part of the classes by hash.
+    picked = named.groupBy("label", F.pmod(F.xxhash64("class"), F.lit(n_pivots)).alias("b")).agg(F.min("class").alias("class")).select("class")
+    chosen = named.join(picked, "class", "left_semi")
     pivots = materialize(chosen.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("class", "set"))).alias("pivots")))
     size, n = pivots.select(F.sum(F.aggregate("pivots", F.lit(0).cast("long"), lambda a, p: a + F.length(p["set"]))), F.count("*")).first()
     seen = meet(named, pivots, ["label"], MAX_ROWS if (size or 0) <= PIVOT_BYTES else -1, n=n).select("label", "class", "n", "set", "pivots")
