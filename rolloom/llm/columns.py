@@ -10,10 +10,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.session import materialize
+from rolloom.session import materialize, relieve
 
 #: Rows of a small table that may be broadcast; beyond, keys with more than one row in so many are joined apart.
 MAX_BROADCAST, HOT = 100_000, 200
+#: Words of 64 row numbers that may be broadcast (16 million rows where they are dense).
+MAX_WORDS = 250_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -94,6 +96,21 @@ def meet(rows: DataFrame, small: DataFrame, keys: list[str], most: int = MAX_BRO
     return few.select(*names).unionByName(rest.select(*names))
 
 
+def of_rows(rows: DataFrame, number: str, listed: DataFrame, there: bool = True, most: int = MAX_WORDS) -> DataFrame:
+    """The rows whose number (column ``number``, from monotonically_increasing_id) is in ``listed`` (one column; repeats don't matter), or is not (there=False).
+
+    64 neighbouring numbers are one word of bits, so what is broadcast (counted first, up to ``most`` words; beyond, a
+    shuffled join) has a row for 64 rows where many are listed, and never more rows than are listed.
+    """
+    word, bits, r = free_name(rows.columns, "_word"), free_name(rows.columns, "_bits"), F.col(listed.columns[0])
+    words = listed.select(F.shiftright(r, 6).alias(word), (r.bitwiseAND(63)).cast("int").alias("_place")).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, _place)")).alias(bits))
+    words = materialize(words)
+    words = F.broadcast(words) if words.count() <= most else words.hint("merge")
+    found = F.getbit(F.col(bits), F.col(number).bitwiseAND(63).cast("int")) == 1
+    both = rows.join(words, F.shiftright(F.col(number), 6) == F.col(word), "inner" if there else "left")
+    return both.where(found if there else F.col(bits).isNull() | ~found).select(*rows.columns)
+
+
 def total_and(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -101,6 +118,7 @@ def total_and(conditions: Iterable[Column]) -> Column:
 def written(df: DataFrame) -> DataFrame:
     """The rows from a table written in the shared folder: like a checkpoint, but later scans read only the columns that they need."""
     spark = df.sparkSession
+    relieve(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -52,7 +52,6 @@ when read again (any file source does).
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,8 +61,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rolloom.llm.columns import MAX_BROADCAST as MAX_ROWS
-from rolloom.llm.columns import meet, written
-from rolloom.session import materialize, prepare
+from rolloom.llm.columns import meet, of_rows, written
+from rolloom.session import materialize, prepare, release
 
 SHINGLE = 5
 #: A shingle that more short lists than this hold, in hash order, counts as frequent.
@@ -74,9 +73,9 @@ REACH = 4
 #: Shingles of a chunk of a group of near copies; a task compares two chunks.
 CHUNK = 1_000_000
 #: Pivots of a group of near copies, and bytes of all pivots up to which they are broadcast.
-PIVOTS, PIVOT_BYTES = 8, 64 << 20
-#: Classes up to which their row numbers are broadcast to fetch texts; beyond, a shuffled join does it.
-MAX_BROADCAST = 2_000_000
+PIVOTS, PIVOT_BYTES = 8, 8 << 20
+#: Groups of near copies up to which the ranges of their parts are broadcast.
+MAX_GROUPS = 10_000
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _random = np.random.default_rng(20240101)
@@ -387,7 +386,7 @@ def near_copies(heavy: DataFrame, chunk: int, n_pivots: int = PIVOTS) -> DataFra
     before = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("start", F.coalesce(F.sum("chunks").over(before), F.lit(0)).cast("int"))
     groups = both.groupBy("label").agg(F.collect_list(F.struct("part", "start", "chunks", "ranges")).alias("groups")).where((F.size("groups") > 1) | F.exists("groups", lambda g: g["part"].isNull()))
-    near = meet(members, groups, ["label"], n=n)
+    near = meet(members, groups, ["label"], MAX_GROUPS, n=n)
     # Bounds are a little wider than 0.2, for the rounding of distances.
     reaches = lambda g: F.forall(F.zip_with(F.col("d"), g["ranges"], lambda x, r: (x >= r["low"] - 0.2000001) & (x <= r["high"] + 0.2000001)), lambda ok: ok)
     others = F.filter("groups", lambda g: (~g["part"].eqNullSafe(F.col("part")) | g["part"].isNull()) & reaches(g))
@@ -418,24 +417,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _release(spark) -> None:
-    """Lets Spark remove the shuffle files of steps that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """class and text of the rows wanted (class, rid)."""
-    wanted = materialize(wanted)
-    if wanted.count() <= MAX_BROADCAST:
-        wanted = F.broadcast(wanted)
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text")).join(wanted, "rid").select("class", "text")
+    """rid and text of the rows wanted (rid)."""
+    return of_rows(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text")), "rid", wanted)
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
     """The pairs (a, b) that link."""
-    texts = materialize(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class"), text_col))
-    rows = pairs.select("a", "b").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a")
+    for c in ("b", "a"):
+        pairs = pairs.join(reps.select(F.col("class").alias(c), F.col("rid").alias(f"r{c}")), c)
+    pairs = materialize(pairs)
+    texts = materialize(_texts(docs, pairs.select(F.explode(F.array("ra", "rb")).alias("rid")), text_col))
+    rows = pairs.join(texts.select(F.col("rid").alias("rb"), F.col("text").alias("tb")), "rb").join(texts.select(F.col("rid").alias("ra"), F.col("text").alias("ta")), "ra")
     return materialize(rows.select("a", "b", "ta", "tb").mapInArrow(_decided, "a long, b long"))
 
 
@@ -449,6 +442,7 @@ def _rare_and_frequent(n: int, s: np.ndarray, frequent: np.ndarray) -> tuple[np.
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_frequent: int = MAX_FREQUENT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, with its class, its component's label (null for empty sets) and its row number (rid)."""
     spark = prepare(docs.sparkSession)
+    release(spark)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
     nodes = written(ids.mapInArrow(_nodes, "doc_id long, rid long, n long, class long, head binary"))
     heads = nodes.where("head IS NOT NULL").select("class", "n", "head")
@@ -459,7 +453,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
         return np.sort(top.column("h").to_numpy().astype(np.int64).view(np.uint64))
 
     first = spark.sparkContext.broadcast(counted(heads.mapInArrow(_prefix_counts, "h long, n long")))
-    _release(spark)
+    release(spark)
 
     def short_of(n: int, s: np.ndarray) -> bool:
         """Whether a head ends before the shingles that would take the places of its frequent ones."""
@@ -485,7 +479,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "n", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "n", "set"])
 
     def settled(sets: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """class, size, part of the set, rare and frequent shingles of what need not be read again."""
@@ -506,26 +500,27 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
                     names=["class", "n", "tokens", "set"])
 
     def read_again(classes: DataFrame) -> DataFrame:
-        wanted = classes.distinct().join(reps.select("class", "rid"), "class")
+        wanted = classes.distinct().join(reps.select("class", "rid"), "class").select("rid")
         return written(_texts(docs, wanted, text_col).mapInArrow(whole_sets, "class long, n long, set binary"))
 
     reps = materialize(nodes.where("n > 0").groupBy("class").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id")))
     known = heads.withColumnRenamed("head", "set").unionByName(read_again(heads.mapInArrow(lacking, "class long")))
     late = counted(known.mapInArrow(next_counts, "h long, n long")) if len(first.value) else first.value
     shared = spark.sparkContext.broadcast(np.union1d(first.value, late))
-    _release(spark)
+    release(spark)
     known = known.unionByName(read_again(heads.mapInArrow(unsettled, "class long")))
 
     pairs = known.mapInArrow(short_lists, "h long, class long, n long").repartition("h").sortWithinPartitions("h", "class").mapInArrow(_pairs, "a long, b long, na long, nb long")
     need = F.greatest(F.lit(1), F.ceil(4 * (F.col("na") + F.col("nb")) / 9) - F.greatest(F.ceil(4 * F.col("na") / 5), F.ceil(4 * F.col("nb") / 5)) + 1)
     pairs = materialize(pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("a", "b"))
-    _release(spark)
+    release(spark)
     links = _verified(docs, reps.select("class", "rid"), pairs, text_col)
 
     heavy = known.mapInArrow(frequent_sets, "class long, n long, tokens array<long>, set binary")
+    release(spark)
     heavy = materialize(heavy.groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("set").alias("set")))
     labels = components(links.unionByName(near_copies(heavy, chunk)))
-    _release(spark)
+    release(spark)
 
     named = reps.join(labels, "class", "left").select("class", "first_id", F.coalesce("label", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("first_id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")

@@ -3,6 +3,7 @@ import random
 import brute
 import numpy as np
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from rolloom.llm import jaccard
 
@@ -120,3 +121,48 @@ def test_a_large_family_is_linked_in_one_pass(spark):
     df = spark.createDataFrame([(i, len(s), [5], bytearray(np.array(s, np.uint64).tobytes())) for i, s in enumerate(sets)], "class long, n long, tokens array<long>, set binary")
     links = jaccard.near_copies(df, 2000, 4).collect()
     assert len(links) <= 4 * 4000 and {r.a for r in links} == set(range(4000)) and len({r.b for r in links}) == 4
+
+
+def broadcast_rows(monkeypatch):
+    """A list that gets the number of rows of each table that is broadcast on purpose, but for those of components (``meet`` bounds them)."""
+    sent, real = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(0 if "_label" in df.columns else df.count()) or real(df))
+    return sent
+
+
+def test_candidates_are_fetched_by_bits(spark, tmp_path, monkeypatch):
+    words = [F.concat(F.lit(f"w{k}x"), F.expr("id div 2")) for k in range(60)]
+    docs = spark.range(0, 6000, 1, 2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *words, F.concat(F.lit("end"), "id")).alias("text"))
+    docs.write.parquet(str(tmp_path / "d"))
+    sent = broadcast_rows(monkeypatch)
+    got = {r.doc_id: r.component_id for r in jaccard.cluster(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == {i: i // 2 * 2 for i in range(6000)}
+    assert max(sent) <= 600  # of 6,000 candidates
+
+
+def test_of_rows(spark):
+    from rolloom.llm.columns import of_rows
+
+    rows = spark.range(0, 3000, 1, 3).select(F.col("id").alias("_word"), F.monotonically_increasing_id().alias("rid"))
+    for share in (1, 2, 700):
+        listed = rows.where(f"_word % {share} = 0").select("rid")
+        listed = listed.union(listed)
+        for most in (250_000, -1):
+            got = sorted(r[0] for r in of_rows(rows, "rid", listed, most=most).collect())
+            rest = sorted(r[0] for r in of_rows(rows, "rid", listed, there=False, most=most).collect())
+            assert got == [i for i in range(3000) if i % share == 0]
+            assert rest == [i for i in range(3000) if i % share]
+    assert of_rows(rows, "rid", rows.select("rid").limit(0)).count() == 0
+
+
+def test_a_swollen_heap_is_shrunk(spark, monkeypatch):
+    from rolloom import session
+
+    calls = []
+    monkeypatch.setattr(session, "release", calls.append)
+    monkeypatch.setattr(session, "HEAP_SHARE", 1.0)
+    session.materialize(spark.range(3))
+    assert not calls
+    monkeypatch.setattr(session, "HEAP_SHARE", 0.0)
+    session.materialize(spark.range(3))
+    assert calls
