@@ -1,9 +1,9 @@
 """A corpus pipeline of five operators: quality rules, near duplicates, decontamination, secrets, packing.
 
 Decisions meet the rows again by row number, which a second scan of the same files
-gives again. What goes (or is changed) is the smaller side: it is broadcast up to
-``MAX_BROADCAST`` rows, counted first, and shuffled beyond, so texts do not move
-where the decisions are few.
+gives again. Rows that go are broadcast as bits of their numbers (``of_rows``), so texts do
+not move. Spans of secrets are broadcast up to ``MAX_BROADCAST`` rows, counted first; beyond,
+the rows that have any, and no others, are shuffled.
 
 Defined results: as each operator states. A stage that filters keeps every row that it
 does not reject as it is, with all its columns, whatever their names: row numbers and
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.llm import decontamination, jaccard, packing, quality_rules, secrets
-from rolloom.llm.columns import free_name, meet
+from rolloom.llm.columns import free_name, meet, of_rows
 from rolloom.session import materialize, prepare, table
 
-MAX_BROADCAST = 2_000_000
+MAX_BROADCAST = 100_000
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -36,15 +36,10 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
-def _bounded(rows: DataFrame) -> DataFrame:
-    rows = materialize(rows)
-    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST else rows
-
-
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose number is not in ``gone`` (one column)."""
     rows, name = _numbered(docs)
-    return rows.join(_bounded(gone.toDF(name)), name, "left_anti").drop(name)
+    return of_rows(rows, name, gone, there=False).drop(name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,8 +69,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows, name = _numbered(docs)
     spans = free_name(rows.columns, "_spans")
     found = secrets.scan(rows, id_col=name).where(F.size("span_list") > 0).select("doc_id", "span_list").toDF(name, spans)
-    hit = F.col(spans).isNotNull()
-    rows = rows.join(_bounded(found), name, "left").withColumn("text", F.when(hit, secrets.redacted(F.col("text"), F.col(spans))).otherwise(F.col("text")))
+    found, hit = materialize(found), F.col(spans).isNotNull()
+    if found.count() <= MAX_BROADCAST:
+        rows = rows.join(F.broadcast(found), name, "left")
+    else:
+        clean = of_rows(rows, name, found.select(name), there=False).withColumn(spans, F.lit(None).cast(found.schema[spans].dataType))
+        rows = of_rows(rows, name, found.select(name)).join(found.hint("merge"), name).unionByName(clean)
+    rows = rows.withColumn("text", F.when(hit, secrets.redacted(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)

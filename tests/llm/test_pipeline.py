@@ -69,3 +69,25 @@ def test_clashing_names_long_texts_and_missing_columns(spark, tmp_path):
     redacted = {r.doc_id: r.text for r in cp.without_secrets(spark, docs, D).collect()}
     assert redacted[2] == clean + " [SECRET]" and redacted[1] == clean
     assert {r.doc_id for r in cp.packed(spark, docs, D).collect()} == {1, 2, 3, 4}
+
+
+def test_rows_that_go_are_broadcast_as_bits(spark, tmp_path, monkeypatch):
+    from test_jaccard import broadcast_rows
+
+    docs = spark.range(0, 8000, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.expr("id div 2")).alias("text"))
+    docs.write.parquet(str(tmp_path / "d"))
+    sent = broadcast_rows(monkeypatch)
+    got = cp.near_duplicates(spark, spark.read.parquet(str(tmp_path / "d")), D)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 8000, 2))
+    assert max(sent) <= 400  # of 4,000 that go
+
+
+def test_many_secrets_move_only_their_rows(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}" + (f" password = abcdefghij{i:06d}" if i % 3 == 0 else ""), i) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(2)
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    few = sorted(cp.without_secrets(spark, docs, D).collect())
+    monkeypatch.setattr(cp, "MAX_BROADCAST", -1)
+    assert sorted(cp.without_secrets(spark, docs, D).collect()) == few
+    assert sum("[SECRET]" in r.text for r in few) == 30
