@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rolloom.session import materialize
+
 
 def _assert(df: DataFrame, bad: Column, message: str) -> DataFrame:
     """Rows as they are; running the plan fails at a row where ``bad`` holds."""
@@ -52,12 +54,21 @@ def repeat_rows(df: DataFrame, n: int | Column, order: list[str], interleave: bo
     return out.withColumn("place", place)
 
 
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows in ranges of the order, with the range's number ``_p``, made once.
+
+    They are kept, since a second run of the same plan may cut other ranges: bounds are sampled, and small
+    ranges are put together by the size of the columns in use.
+    """
+    return materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
     """Rows numbered from 0 in a total order, without one task that holds all rows.
 
     Rows are range-partitioned by the order; counts of partitions give offsets.
     """
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    parts = _ranged(df, order)
     w = Window.partitionBy("_p").orderBy(*order)
     parts = parts.withColumn("_k", F.row_number().over(w) - 1)
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
@@ -68,7 +79,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
 
 def running(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:
     """Adds total_<v>, the sum of v up to each row of a total order, without one task that holds all rows."""
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    parts = _ranged(df, order)
     upto = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumns({f"total_{v}": F.sum(v).over(upto) for v in values})
     sums = parts.groupBy("_p").agg(*[F.sum(v).alias(v) for v in values])
