@@ -20,7 +20,7 @@ def small_ranges(spark):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["agg37_imbalance"])
+@pytest.mark.parametrize("name", ["agg37_imbalance", "prj2_numbered_then_filtered"])
 def test_numbers_do_not_depend_on_a_second_cut(spark, small, tmp_path, small_ranges, name):
     for table, key in (("orders", "o_orderkey"), ("documents", "doc_id")):
         rows = spark.read.parquet(f"{small}/{table}.parquet")
