@@ -54,7 +54,7 @@ def repeat_rows(df: DataFrame, n: int | Column, order: list[str], interleave: bo
     return out.withColumn("place", place)
 
 
-def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+def _ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
     """The rows in ranges of the order, with the range's number ``_p``, made once.
 
     They are kept, since a second run of the same plan may cut other ranges: bounds are sampled, and small
@@ -63,7 +63,7 @@ def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
     return materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], name: str = "rn") -> DataFrame:
     """Rows numbered from 0 in a total order, without one task that holds all rows.
 
     Rows are range-partitioned by the order; counts of partitions give offsets.

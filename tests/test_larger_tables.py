@@ -35,3 +35,11 @@ def test_running_sums_do_not_depend_on_a_second_cut(spark, small_ranges):
     rows = spark.range(0, 60000, 1, 4).select(F.col("id").alias("k"), F.lit(1).alias("v"), F.repeat(F.lit("x"), (F.col("id") % 200).cast("int")).alias("other"))
     got = relations.running(rows, ["k"], ["v"])
     assert got.where("total_v <> k + 1").count() == 0 and got.count() == 60000
+
+
+def test_ids_that_are_null_or_negative_are_numbered_as_in_sql(spark, tmp_path):
+    rows = spark.range(-500, 1500, 1, 3).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("doc_id"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.dir"))
+    next((tmp_path / "documents.dir").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    name = "prj2_numbered_then_filtered"
+    compare(spark, name, QUERIES[name], ORACLES[name], str(tmp_path))
